@@ -6,19 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import media, packing, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_table(table(spark, sf_dir, "documents"))
+
+
+def op6_warc_boundary_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_label_propagation_shards": op1_label_propagation_shards,
+        "op5_media_columns": op5_media_columns,
+        "op6_warc_boundary_chains": op6_warc_boundary_chains,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
