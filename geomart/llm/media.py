@@ -39,7 +39,7 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def to_image(payload: bytes, level: int = 1) -> bytes:
+def to_image(payload: bytes, level: int = 6) -> bytes:
     """A grey 8-bit PNG with the payload's bytes as samples."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
     lines = np.zeros((len(rows), ROW + 1), np.uint8)  # each line begins with filter type 0
