@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, minhash, packing, pii, sharding, toxicity, warc
+from . import bpe, embed_dedup, media, minhash, packing, pii, sharding, token_rollup, toxicity, warc
+from .common import cut, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +19,46 @@ def op1_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op2_small_world_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over all documents: counts of words, counts by a revised tokenizer for the languages other than English, deletes of all but the first of equal texts; one batch is sent twice."""
+    docs = table(spark, sf_dir, "documents")
+    key = F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    counted = cut(docs.select("doc_id", "source", "lang", key.alias("key"), token_rollup.words(F.col("text")).alias("words"), token_rollup.words_and_signs(F.col("text")).alias("signs")), "counts")
+    rollup = token_rollup.TokenRollup(spark, scratch(spark, "rollup"))
+    first = counted.groupBy("key").agg(F.min("doc_id").alias("first_id"))
+    change = lambda df, op, version, n: df.select("doc_id", F.lit(op).alias("op"), "source", "lang", F.lit(version).cast("string").alias("tokenizer_version"), n.cast("long").alias("n_tokens"))
+    other = counted.filter("lang <> 'en'")
+    rollup.commit("1-insert", change(counted, "upsert", "words-1", F.col("words")))
+    revision = change(other, "delete", "words-1", F.lit(0)).unionByName(change(other, "upsert", "words-2", F.col("signs")))
+    rollup.commit("2-revise", revision)
+    rollup.commit("3-delete", change(counted.join(first, "key").filter("doc_id <> first_id"), "delete", None, F.lit(0)))
+    rollup.commit("2-revise", revision)  # sent again: changes nothing
+    return rollup.totals().filter("n_docs > 0").select("source", "lang", "tokenizer_version", "n_docs", "n_tokens")
+
+
+OP4_SQL = r"""
+WITH counted AS (
+    SELECT doc_id, source, lang, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]')) AS signs
+    FROM documents
+), held AS (
+    SELECT source, lang, CASE WHEN lang <> 'en' THEN 'words-2' ELSE 'words-1' END AS tokenizer_version,
+           CASE WHEN lang <> 'en' THEN signs ELSE words END AS n
+    FROM counted WHERE doc_id = first_id
+)
+SELECT source, lang, tokenizer_version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM held GROUP BY ALL
+""".replace("\\", "\")
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(table(spark, sf_dir, "documents"))
 
@@ -29,6 +67,10 @@ def op6_warc_boundary_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_duckdb_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -44,9 +86,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_label_propagation_shards": op1_label_propagation_shards,
+        "op2_small_world_embeddings": op2_small_world_embeddings,
         "op3_bootstrapped_pii": op3_bootstrapped_pii,
+        "op4_token_rollup": op4_token_rollup,
         "op5_media_columns": op5_media_columns,
         "op6_warc_boundary_chains": op6_warc_boundary_chains,
+        "op7_duckdb_byte_bpe": op7_duckdb_byte_bpe,
         "op8_odd_sketch_minhash": op8_odd_sketch_minhash,
         "op9_string_kernel_toxicity": op9_string_kernel_toxicity,
         "op10_best_fit_packing": op10_best_fit_packing,
@@ -54,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_token_rollup": OP4_SQL}
