@@ -56,7 +56,7 @@ WITH counted AS (
     FROM counted WHERE doc_id = first_id
 )
 SELECT source, lang, tokenizer_version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM held GROUP BY ALL
-""".replace("\\", "\")
+"""
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
