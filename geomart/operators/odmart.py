@@ -27,7 +27,7 @@ def distinct_cells(df: DataFrame) -> DataFrame:
 
 def od_mart(df: DataFrame, keys: list[str], total: str, measures: dict[str, str]) -> DataFrame:
     """Sum of movement and movement-weighted means by key; null keys are groups, a null measure weighs as 0 but its movement counts (OD-2, AGG-6, AGG-7)."""
-    mean = lambda c: F.try_divide(F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.col(total)), F.nullif(F.sum(total), F.lit(0)))
+    mean = lambda c: F.try_divide(F.sum(F.coalesce(F.col(c), F.lit(0)) * F.col(total)).cast("double"), F.nullif(F.sum(total), F.lit(0)).cast("double"))
     return df.groupBy(*keys).agg(F.sum(total).alias("movement_total"), F.count("*").alias("rows"), *[mean(c).alias(n) for n, c in measures.items()])
 
 

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import codes, compat, geo
-from ..operators import access, features, gaps, network, odmart, recommend, routing, spatial
+from ..functions import codes, compat
+from ..operators import access, features, network, routing, spatial
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
