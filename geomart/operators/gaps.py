@@ -12,6 +12,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.codes import gap_direction
 from ..functions.compat import regression_scores, zscore0
@@ -81,7 +82,7 @@ def balanced_group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame
         at = weight.index(min(weight))
         weight[at] -= n
         rows.append((g, at + 1))
-    return df.sparkSession.createDataFrame(rows, df.select(group).schema.add("fold", "int"))
+    return df.sparkSession.createDataFrame(rows, df.select(group).schema.add("fold", IntegerType()))
 
 
 def forward_splits(df: DataFrame, year: str) -> DataFrame:

@@ -82,8 +82,8 @@ def overlay_shares(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: flo
 
 def coverage(zones: DataFrame, shapes: DataFrame, zone: str, origin: str, least: float = 0.1) -> DataFrame:
     """zone, origin, ratio of the zone that the union of an origin's shapes covers, where at least `least` (JOIN-13). shapes: origin, shape, part, x1, y1, x2, y2."""
-    z = zones.groupBy(zone).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("z"))
-    s = shapes.groupBy(origin, "shape", "part").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("e")).groupBy(origin).agg(F.collect_list("e").alias("s"))
+    z = zones.groupBy(zone).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_zone"))
+    s = shapes.groupBy(origin, "shape", "part").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("e")).groupBy(origin).agg(F.collect_list("e").alias("_shapes"))
     box = lambda df, k, t: df.groupBy(k).agg(F.min(F.least("x1", "x2")).alias(f"x0{t}"), F.max(F.greatest("x1", "x2")).alias(f"x9{t}"), F.min(F.least("y1", "y2")).alias(f"y0{t}"), F.max(F.greatest("y1", "y2")).alias(f"y9{t}"))
     near = box(zones, zone, "_z").join(box(shapes, origin, "_s"), F.expr("x0_z < x9_s and x0_s < x9_z and y0_z < y9_s and y0_s < y9_z")).select(zone, origin)
 
@@ -91,7 +91,7 @@ def coverage(zones: DataFrame, shapes: DataFrame, zone: str, origin: str, least:
         as_rows = lambda es: np.array([(e["x1"], e["y1"], e["x2"], e["y2"]) for e in es], float)
         for pdf in batches:
             ratio = []
-            for zz, ss in zip(pdf["z"], pdf["s"]):
+            for zz, ss in zip(pdf["_zone"], pdf["_shapes"]):
                 own, parts = as_rows(zz), [as_rows(p) for p in ss]
                 # |zone and union| = |zone| + |union| - |zone or union|
                 whole, union, both = covered_area([own]), covered_area(parts, 1), covered_area([own, *parts], 1)
