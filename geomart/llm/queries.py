@@ -20,7 +20,24 @@ def op1_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_small_world_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+    WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.93
+), found(node, root) USING KEY (node) AS (
+    SELECT vec_id, vec_id FROM embeddings
+  UNION
+    SELECT n.node, n.root FROM (SELECT l.b AS node, min(f.root) AS root FROM found f JOIN links l ON l.a = f.node GROUP BY l.b) n
+    JOIN recurring.found old ON old.node = n.node WHERE n.root < old.root
+)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, f.root AS component_id, e.vec_id = f.root AS kept
+FROM embeddings e JOIN found f ON f.node = e.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON c.a = e.vec_id
+"""
 
 
 def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +81,18 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_boundary_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("file", "offset")
+
+
+OP6_SQL = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, (1 + 10 * (i // 8))::BIGINT, 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31)::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p
+"""
 
 
 def op7_duckdb_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +100,29 @@ def op7_duckdb_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("class_id")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)
+), found(node, root) USING KEY (node) AS (
+    SELECT doc_id, doc_id FROM documents
+  UNION
+    SELECT n.node, n.root FROM (SELECT l.b AS node, min(f.root) AS root FROM found f JOIN links l ON l.a = f.node GROUP BY l.b) n
+    JOIN recurring.found old ON old.node = n.node WHERE n.root < old.root
+)
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, f.root AS component_id, d.doc_id = f.root AS kept
+FROM documents d JOIN found f ON f.node = d.doc_id LEFT JOIN sizes z ON z.doc_id = d.doc_id
+"""
 
 
 def op9_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +149,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_token_rollup": OP4_SQL}
+    return {"op2_small_world_embeddings": OP2_SQL, "op4_token_rollup": OP4_SQL, "op6_warc_boundary_chains": OP6_SQL, "op8_odd_sketch_minhash": OP8_SQL}
