@@ -317,3 +317,24 @@ def test_streams(spark, tmp_path):
         s.stop()
     assert sorted(r["n"] for r in spark.table("hours").collect()) == [1, 2]
     assert [(r["key"], r["gap_seconds"]) for r in spark.table("gaps").collect()] == [(1, 1800.0)]
+
+
+def test_isochrones_and_explanations(spark):
+    from geomart.operators import explain, isochrones
+
+    found = spark.createDataFrame([(1, "9", "중앙역", "2", 1.0, 2.0), (2, "8", "중앙(구)", "1", 5.0, 6.0), (3, "7", "남", "1", 0.0, 0.0)], "place int, station_id string, station_name string, line string, x double, y double")
+    merged = {r["station_key"]: r for r in isochrones.merge_stations(found).collect()}
+    assert (merged["중앙"]["x"], merged["중앙"]["station_ids"], merged["중앙"]["lines"]) == (1.0, "8|9", "1|2") and len(merged) == 2
+    shapes = spark.createDataFrame([("o", 0, *e[1:2], *e[4:]) for e in square("", 0, 0, 5)], "o string, shape int, part int, x1 double, y1 double, x2 double, y2 double")
+    zones = spark.createDataFrame(square("z", 0, 0, 10), EDGES)
+    assert [(r["z"], r["origin_count"], r["origin_ratio"], r["origins"]) for r in isochrones.district_coverage(zones, shapes, "z", "o", 2).collect()] == [("z", 1, 0.5, "o")]
+    stops = spark.createDataFrame([("s", 1.0, 1.0), ("t", 11.0, 1.0)], "s string, x double, y double")
+    pairs = isochrones.stops_in(stops, zones, "s", "z", 4.0)
+    assert rows(isochrones.stop_summary(pairs, "s", "z", 4)) == [("s", 1, 0.25)]
+    assert rows(isochrones.latest_of(spark.createDataFrame([(1, 20251), (2, 20252)], "k int, q int"), "q"), "k") == [(2,)]
+    mix = explain.purpose_mix(spark.createDataFrame([("a", "x", 1), ("a", "y", 3)], "k string, p string, n int"), ["k"], "p", "n").first()
+    assert (mix["dominant_purpose"], mix["dominant_share"]) == ("y", 0.75)
+    text = one(spark, explain.gap_text(F.lit(1.5), F.lit("목적소비형"), F.lit("식사"), F.lit("20대"), F.lit("17~21"), F.lit(""), F.lit(None).cast("string")))
+    assert "1.50배" in text and "높은" in text and "보류" not in text
+    b = explain.paired_bootstrap(spark.createDataFrame([(k, 1.0 + k % 3, 0.5) for k in range(60)], "id int, a double, b double"), "a", "b", 200).first()
+    assert b["low"] < 1.5 < b["high"] and b["mean_difference"] == pytest.approx(1.5)
