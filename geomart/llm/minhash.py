@@ -5,9 +5,10 @@ bitmap in which every sample flips one bit, so the XOR of two sketches counts th
 one class. Classes that share a band key are candidates; pairs whose sketches differ in too many bits are dropped, the
 rest are confirmed on the full sets.
 
-Not all pairs of a band's bucket are formed. First every class is compared with the smallest class of its bucket. Links
-found so form components. Only classes of one bucket that are still in different components are compared after that, so
-a bucket of thousands of near copies costs one comparison each and no link between components is passed over.
+Not all pairs of a band's bucket are formed. Every class meets the smallest class of its bucket; pairs with close sketches
+tie classes into families and those that are confirmed link them into components. Families that are one component, most
+of them, are done. The sets of the others are compared block by block inside tasks, which emit at most one edge a class,
+so no link between components is passed over and a group of near copies never becomes a table of its pairs.
 """
 
 from __future__ import annotations
@@ -196,8 +197,99 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     return cut(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "u long, v long").distinct(), "links")
 
 
+def loose_families(members: DataFrame, classes: DataFrame, percent: int, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Pairs of the first round, and all pairs, that tie classes whose sketches are close in some bucket; members: bucket, class_id.
+
+    In each round every class of a bucket meets the bucket's smallest class. Those close to it are tied to it and leave
+    the bucket, so buckets of similar classes empty at once. What is left after `rounds` meets directly, sketch by sketch.
+    """
+    active, first, ties = members, None, None
+    for _ in range(rounds):
+        leaders = active.groupBy("bucket").agg(F.min("class_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        met = cut(active.join(leaders, "bucket").filter("class_id <> leader"), "met")
+        close = cut(close_pairs(met.select(F.col("leader").alias("a"), F.col("class_id").alias("b")).distinct(), classes, percent), "pairs")
+        first, ties = close if first is None else first, close if ties is None else ties.unionByName(close)
+        active = cut(met.join(close.select(F.col("a").alias("leader"), F.col("b").alias("class_id")), ["leader", "class_id"], "left_anti").select("bucket", "class_id"), "active")
+        crowded = active.groupBy("bucket").count().filter("count > 1").select("bucket")
+        if not crowded.limit(1).count():
+            return first, ties
+    side = active.join(crowded, "bucket").join(classes.select("class_id", "n_shingles", "sketch"), "class_id")
+    other = side.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("class_id", "n_shingles", "sketch")])
+    fits = (100 * F.least("n_shingles", "n_shingles_b") >= percent * F.greatest("n_shingles", "n_shingles_b")) & (differing_bits("sketch", "sketch_b") <= MOST_BITS)
+    rest = side.join(other, "bucket").filter((F.col("class_id") < F.col("class_id_b")) & fits).select(F.col("class_id").alias("a"), F.col("class_id_b").alias("b")).distinct()
+    return first, ties.unionByName(rest)
+
+
+def overlaps(one: list[np.ndarray], two: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of every set of one with every set of two, by products of 0/1 blocks."""
+    out = np.zeros((len(one), len(two)), np.float32)
+    flat = [np.concatenate(x) for x in (one, two)]
+    owner = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (one, two)]
+    common = np.intersect1d(*flat)
+    at = [np.searchsorted(common, f) for f in flat]
+    held = [(a < len(common)) & (common[np.minimum(a, len(common) - 1)] == f) if len(common) else np.zeros(len(f), bool) for a, f in zip(at, flat)]
+    for low in range(0, len(common), columns):
+        sides = []
+        for k, x in enumerate((one, two)):
+            here = held[k] & (at[k] >= low) & (at[k] < low + columns)
+            block = np.zeros((len(x), columns), np.float32)
+            block[owner[k][here], at[k][here] - low] = 1
+            sides.append(block)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def links_within(families: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int, shingles: int = 100_000, most: int = 1000) -> DataFrame:
+    """Edges (u, v) that join what is linked across the roots of each family; families: class_id, family, root.
+
+    A family's sets are dealt to blocks of bounded size. Every pair of blocks is compared in one task on the full sets
+    and gives at most one edge a class; pairs of blocks that lie within the family's main root need no comparison.
+    """
+    by_root = families.groupBy("family", "root").agg(F.count("*").alias("n"))
+    mixed = by_root.groupBy("family").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("family", "main")
+    held = families.join(mixed, "family").join(classes.select("class_id", "first_id", "n_shingles"), "class_id").withColumn("main", F.col("root") == F.col("main"))
+    sizes = held.groupBy("family", "main").agg(F.greatest(F.ceil(F.sum("n_shingles") / F.lit(shingles)), F.ceil(F.count("*") / F.lit(most))).cast("int").alias("blocks"))
+    held = cut(held.join(sizes, ["family", "main"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")), "families")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    full = texts.join(held, texts["doc_id"].eqNullSafe(held["first_id"])).select("family", "main", "block", "class_id", "root", "text")
+
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            sets = shingler.sets(_bytes(batch.column(5)))
+            same = pa.array([set_id(s) == c for s, c in zip(sets, batch.column(3).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([s.tobytes() for s in sets], pa.binary())], names=["family", "main", "block", "class_id", "root", "shingles"]).filter(same)
+
+    sets = full.mapInArrow(as_sets, "family long, main boolean, block int, class_id long, root long, shingles binary")
+    blocks = cut(sets.groupBy("family", "main", "block").agg(F.collect_list(F.struct("class_id", "root", "shingles")).alias("held")), "blocks")
+    a, b = (blocks.select("family", F.struct("main", "block").alias(f"id_{x}"), F.col("held").alias(f"held_{x}")) for x in "ab")
+    pairs = a.join(b, "family").filter("id_a <= id_b and not (id_a.main and id_b.main)").select("held_a", "held_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s, t = ([np.frombuffer(x["shingles"], U) for x in side] for side in (one, two))
+                same = overlaps(s, t)
+                n, m = np.array([len(x) for x in s]), np.array([len(x) for x in t])
+                edges, parent = [], {}
+
+                def top(x, parent=parent):
+                    while parent.setdefault(x, x) != x:
+                        parent[x] = x = parent[parent[x]]
+                    return x
+
+                for i, j in zip(*np.nonzero(100 * same >= percent * (n[:, None] + m[None, :] - same))):
+                    u, v = one[i], two[j]
+                    if (p := top(u["root"])) != (q := top(v["root"])):
+                        parent[p] = q
+                        edges.append((u["class_id"], v["class_id"]))
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(2)], names=["u", "v"])
+
+    return cut(pairs.repartition(F.xxhash64("held_a.class_id", "held_b.class_id")).mapInArrow(compare, "u long, v long"), "links")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_id (equal sets), n_links (of the class to other classes, as far as compared).
+    """doc_id, n_shingles, component_id, kept, class_id (equal sets).
 
     Rows without words, or with a null text, are linked with nothing: their component is their own doc_id. Equal sets are
     one class whatever the row count. Repeated doc_ids share a result row each; a null doc_id is never the smallest
@@ -207,25 +299,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, band
     signed = cut(signatures(docs, words, bands, rows), "signatures")
     classes = cut(signed.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     banded = classes.select(F.explode("bands").alias("bucket"), "class_id")
-    shared = banded.groupBy("bucket").agg(F.min("class_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = cut(banded.join(shared, "bucket"), "buckets")
-    stars = cut(close_pairs(members.filter("class_id <> leader").select(F.col("leader").alias("a"), F.col("class_id").alias("b")).distinct(), classes, percent), "pairs")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    stars, ties = loose_families(cut(banded.join(shared, "bucket"), "buckets"), classes, percent)
     links = confirmed(stars, classes, docs, percent, words)
     roots = components(links)
-    placed = members.select("bucket", "class_id").join(roots, members["class_id"] == roots["node"], "left").select("bucket", "class_id", F.coalesce("root", "class_id").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-    side = cut(placed.join(mixed, "bucket").join(classes.select("class_id", "n_shingles", "sketch"), "class_id"), "mixed")
-    other = side.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("class_id", "root", "n_shingles", "sketch")])
-    apart = side.join(other, "bucket").filter((F.col("class_id") < F.col("class_id_b")) & (F.col("root") != F.col("root_b")) & (100 * F.least("n_shingles", "n_shingles_b") >= percent * F.greatest("n_shingles", "n_shingles_b")) & (differing_bits("sketch", "sketch_b") <= MOST_BITS))
-    rest = cut(apart.select(F.col("class_id").alias("a"), F.col("class_id_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    if rest.limit(1).count():
-        more = confirmed(rest, classes, docs, percent, words)
-        links = links.unionByName(more)
-        roots = components(links)
-    linked = links.select(F.explode(F.array("u", "v")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    families = components(ties.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "class_id", "root": "family"})
+    families = cut(families.join(roots, families["class_id"] == roots["node"], "left").select("class_id", "family", F.coalesce("root", "class_id").alias("root")), "families")
+    more = links_within(families, classes, docs, percent, words)
+    if more.limit(1).count():
+        roots = components(links.unionByName(more))
     named = classes.select("class_id", "first_id").join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", "first_id", F.coalesce("root", "class_id").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    found = cut(named.join(least, "root").select("class_id", "component_id", F.lit(True).alias("has_words")).join(linked, "class_id", "left"), "components")
+    found = cut(named.join(least, "root").select("class_id", "component_id", F.lit(True).alias("has_words")), "components")
     out = signed.select("doc_id", "class_id", "n_shingles").join(found, "class_id", "left")
     component = F.when(F.col("has_words"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class_id")
