@@ -27,7 +27,7 @@ ROW = 64
 HEADER = 33
 MAGIC = b"\x89PNG\r\n\x1a\n"
 MANIFEST = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
-STORED = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+STORED = "digest string, shard string, offset long, length long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, bits int"
 
 
 def padded(data: bytes, unit: int = ROW) -> bytes:
@@ -138,17 +138,20 @@ def header_columns(places: DataFrame) -> DataFrame:
 
 
 def read_features(places: DataFrame) -> DataFrame:
-    """What the stored images hold: sizes and digests of the payload and the image, and the features."""
+    """places with what the stored images hold: header columns from a read of the header, then sizes, digests and features from the whole image."""
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+    names = [x.split()[0] for x in STORED.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = Ranges()
         for batch in batches:
             rows = []
             for digest, shard, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
+                header = image_header(source.read(shard, offset, HEADER))
                 image = source.read(shard, offset, length)
                 payload = from_image(image)
-                rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), describe(payload)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                rows.append((digest, shard, offset, length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), describe(payload), *header))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names=names)
         source.close()
 
     return places.select("digest", "shard", "offset", "length").repartition("digest").sortWithinPartitions("shard", "offset").mapInArrow(read, STORED)
@@ -162,5 +165,5 @@ def media_table(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """
     manifest = store(docs, folder or scratch(docs.sparkSession, "media"))
     places = cut(addresses(manifest), "addresses")
-    features = cut(read_features(places).join(header_columns(places), "digest").join(places, "digest"), "features")
+    features = cut(read_features(places), "features")
     return manifest.select("doc_id", "n_bytes", "digest").join(features, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "bits")
