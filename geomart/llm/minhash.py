@@ -6,8 +6,8 @@ one class. Classes that share a band key are candidates; pairs whose sketches di
 rest are confirmed on the full sets.
 
 Not all pairs of a band's bucket are formed. Every class meets the smallest class of its bucket; pairs with close sketches
-tie classes into families and those that are confirmed link them into components. Families that are one component, most
-of them, are done. The sets of the others are compared block by block inside tasks, which emit at most one edge a class,
+tie classes into families and those that are confirmed link them into components. Buckets that then hold several families
+have those compared sketch by sketch, in blocks inside tasks. Families that are one component, most of them, are done. The sets of the others are compared block by block inside tasks, which emit at most one edge a class,
 so no link between components is passed over and a group of near copies never becomes a table of its pairs.
 """
 
@@ -198,10 +198,11 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
 
 
 def loose_families(members: DataFrame, classes: DataFrame, percent: int, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the first round, and all pairs, that tie classes whose sketches are close in some bucket; members: bucket, class_id.
+    """Pairs of the first round, and class_id, family: classes of a bucket whose sketches are close share a family; members: bucket, class_id.
 
     In each round every class of a bucket meets the bucket's smallest class. Those close to it are tied to it and leave
-    the bucket, so buckets of similar classes empty at once. What is left after `rounds` meets directly, sketch by sketch.
+    the bucket, so buckets of similar classes empty at once. A class that left may be close to one that stayed, so after
+    the rounds all members of the buckets that still hold several families are compared by `ties_across`.
     """
     active, first, ties = members, None, None
     for _ in range(rounds):
@@ -210,14 +211,62 @@ def loose_families(members: DataFrame, classes: DataFrame, percent: int, rounds:
         close = cut(close_pairs(met.select(F.col("leader").alias("a"), F.col("class_id").alias("b")).distinct(), classes, percent), "pairs")
         first, ties = close if first is None else first, close if ties is None else ties.unionByName(close)
         active = cut(met.join(close.select(F.col("a").alias("leader"), F.col("b").alias("class_id")), ["leader", "class_id"], "left_anti").select("bucket", "class_id"), "active")
-        crowded = active.groupBy("bucket").count().filter("count > 1").select("bucket")
-        if not crowded.limit(1).count():
-            return first, ties
-    side = active.join(crowded, "bucket").join(classes.select("class_id", "n_shingles", "sketch"), "class_id")
-    other = side.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("class_id", "n_shingles", "sketch")])
-    fits = (100 * F.least("n_shingles", "n_shingles_b") >= percent * F.greatest("n_shingles", "n_shingles_b")) & (differing_bits("sketch", "sketch_b") <= MOST_BITS)
-    rest = side.join(other, "bucket").filter((F.col("class_id") < F.col("class_id_b")) & fits).select(F.col("class_id").alias("a"), F.col("class_id_b").alias("b")).distinct()
-    return first, ties.unionByName(rest)
+        if not active.groupBy("bucket").count().filter("count > 1").limit(1).count():
+            break
+    edges = ties.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    families = components(edges)
+    more = ties_across(members, families, classes, percent)
+    if more.limit(1).count():
+        families = components(edges.unionByName(more))
+    return first, families.withColumnsRenamed({"node": "class_id", "root": "family"})
+
+
+def ties_across(members: DataFrame, families: DataFrame, classes: DataFrame, percent: int, most: int = 2000) -> DataFrame:
+    """Edges (u, v) that join the families with close classes in some bucket; members: bucket, class_id, families: node, root.
+
+    A bucket's classes are dealt to blocks of bounded size. Every pair of blocks is compared in one task on the sketches
+    and gives at most one edge a family; pairs of blocks that lie within the bucket's main family need no comparison.
+    """
+    held = members.join(families, members["class_id"] == families["node"], "left").select("bucket", "class_id", F.coalesce("root", "class_id").alias("family"))
+    by_family = held.groupBy("bucket", "family").agg(F.count("*").alias("n"))
+    mixed = by_family.groupBy("bucket").agg(F.max(F.struct("n", "family"))["family"].alias("main"), F.count("*").alias("families"), F.max("n").alias("in_main"), F.sum("n").alias("n")).filter("families > 1")
+    blocks = F.ceil(F.when(F.col("family") == F.col("main"), F.col("in_main")).otherwise(F.col("n") - F.col("in_main")) / F.lit(most)).cast("int")
+    dealt = held.join(mixed, "bucket").select("bucket", (F.col("family") == F.col("main")).alias("main"), F.pmod(F.xxhash64("class_id"), blocks).cast("int").alias("block"), "class_id", "family")
+    dealt = dealt.join(classes.select("class_id", "n_shingles", "sketch"), "class_id")
+    grouped = cut(dealt.groupBy("bucket", "main", "block").agg(F.collect_list(F.struct("class_id", "family", "n_shingles", "sketch")).alias("held")), "sketches")
+    a, b = (grouped.select("bucket", F.struct("main", "block").alias(f"id_{x}"), F.col("held").alias(f"held_{x}")) for x in "ab")
+    pairs = a.join(b, "bucket").filter("id_a <= id_b and not (id_a.main and id_b.main)").select("held_a", "held_b")
+
+    def columns(side: pa.ListScalar) -> tuple[np.ndarray, ...]:
+        x = side.values
+        return *(x.field(k).to_numpy() for k in range(3)), np.ascontiguousarray(x.field(3).flatten().to_numpy()).reshape(len(x), -1).view(U)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edges = []
+            for one, two in zip(batch.column(0), batch.column(1)):
+                (c, f, n, s), (d, g, m, t) = columns(one), columns(two)
+                parent: dict[int, int] = {}
+
+                def top(x, parent=parent):
+                    while parent.setdefault(x, x) != x:
+                        parent[x] = x = parent[parent[x]]
+                    return x
+
+                for at in range(0, len(c), 256):
+                    k = slice(at, at + 256)
+                    bits = sum(np.bitwise_count(s[k, i][:, None] ^ t[None, :, i]).astype(np.int16) for i in range(s.shape[1]))
+                    fits = (bits <= MOST_BITS) & (f[k][:, None] != g[None, :]) & (100 * np.minimum(n[k][:, None], m[None, :]) >= percent * np.maximum(n[k][:, None], m[None, :]))
+                    found = np.nonzero(fits)
+                    if len(found[0]):  # one pair for each two families
+                        _, kept = np.unique(np.stack([f[k][found[0]], g[found[1]]], axis=1), axis=0, return_index=True)
+                        for i, j in zip(found[0][kept] + at, found[1][kept]):
+                            if (p := top(int(f[i]))) != (q := top(int(g[j]))):
+                                parent[p] = q
+                                edges.append((int(c[i]), int(d[j])))
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(2)], names=["u", "v"])
+
+    return cut(pairs.repartition(F.xxhash64("held_a.class_id", "held_b.class_id")).mapInArrow(compare, "u long, v long").distinct(), "ties")
 
 
 def overlaps(one: list[np.ndarray], two: list[np.ndarray], columns: int = 2048) -> np.ndarray:
@@ -300,10 +349,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, band
     classes = cut(signed.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     banded = classes.select(F.explode("bands").alias("bucket"), "class_id")
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    stars, ties = loose_families(cut(banded.join(shared, "bucket"), "buckets"), classes, percent)
+    stars, families = loose_families(cut(banded.join(shared, "bucket"), "buckets"), classes, percent)
     links = confirmed(stars, classes, docs, percent, words)
     roots = components(links)
-    families = components(ties.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "class_id", "root": "family"})
     families = cut(families.join(roots, families["class_id"] == roots["node"], "left").select("class_id", "family", F.coalesce("root", "class_id").alias("root")), "families")
     more = links_within(families, classes, docs, percent, words)
     if more.limit(1).count():

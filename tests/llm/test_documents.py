@@ -177,6 +177,26 @@ def test_minhash_large_group_of_near_copies(spark):
     assert by_text(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(components(texts), key=repr)
 
 
+def test_minhash_truncated_copies_of_many_lengths(spark):
+    """The longest text is linked with one other, which leaves their common buckets in the first round."""
+    rng = random.Random(108)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(1004)]
+    texts = [(k, " ".join(words[: n + 4])) for k, n in enumerate([*(rng.randrange(700, 841) for _ in range(22)), 860, 1000])]
+    found = rows(minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert by_text(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(components(texts), key=repr)
+
+
+def test_minhash_compares_classes_that_left_a_bucket(spark):
+    sketch, far = [0] * 8, [-1] * 8
+    classes = spark.createDataFrame([(1, 850, sketch), (2, 1000, sketch), (3, 1150, sketch), (4, 850, far), *[(k, 850, sketch) for k in range(10, 40)]], "class_id long, n_shingles long, sketch array<long>")
+    members = classes.select(minhash.F.lit(7).cast("long").alias("bucket"), "class_id")
+    family = {r["class_id"]: r["family"] for r in minhash.loose_families(members, classes, 85)[1].collect()}
+    assert {family[k] for k in (1, 2, 3, *range(10, 40))} == {1} and 4 not in family
+    families = spark.createDataFrame([(k, 10) for k in range(10, 40)], "node long, root long")
+    edges = [(r["u"], r["v"]) for r in minhash.ties_across(members, families, classes, 85, most=2).collect()]
+    assert {x for e in edges for x in e} >= {1, 2, 3} and all(4 not in e for e in edges)
+
+
 def test_odd_sketch_tells_similarity():
     import numpy as np
 
