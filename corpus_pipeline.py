@@ -15,8 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; rows that repeat both doc_id and text stay once."""
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    """The document with the smallest doc_id of each group of near copies (similarity 0.8 or more); rows that repeat both doc_id and text stay once."""
+    kept = minhash.near_duplicates(docs, percent=80).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     found = docs.withColumn("_key", F.md5(F.encode("text", "UTF-8"))).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return found.dropDuplicates(["doc_id", "_key"]).select(docs.columns)
 

@@ -14,6 +14,7 @@ so no link between components is passed over and a group of near copies never be
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,33 @@ BANDS, ROWS = 28, 7
 SKETCH_BITS = 512
 #: Of 196 samples 29.4 differ on average at similarity 0.85, deviation 5; 60 of them, six deviations up, give 107 set bits.
 MOST_BITS = 110
+#: Of pairs at the asked similarity, the share that may have no band in common; samples of a document at most.
+MISSED, MOST_SAMPLES = 2e-5, 240
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
 BASE, CHUNK = 0x9E3779B97F4A7C15, 1 << 22
 SIGNATURE = "doc_id long, class_id long, n_shingles long, bands array<long>, sketch array<long>"
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows a band for pairs at `percent`: as many rows as MISSED and MOST_SAMPLES allow, else one."""
+    fit = (1, 1)
+    for rows in range(1, 17):
+        shared = (percent / 100) ** rows
+        bands = 1 if shared >= 1 else math.ceil(math.log(MISSED) / math.log1p(-shared))
+        if rows == 1 or bands * rows <= MOST_SAMPLES:
+            fit = (bands, rows)
+    return fit
+
+
+def most_bits(percent: int, samples: int | None = None, bits: int = SKETCH_BITS) -> int:
+    """The differing bits of the sketches that pairs at `percent` are allowed: those of six deviations more differing samples than the mean, and 14 more."""
+    n = samples or math.prod(banding(percent))
+    p = percent / 100
+    differing = math.ceil(n * (1 - p) + 6 * math.sqrt(n * p * (1 - p)))
+    return math.ceil(bits / 2 * (1 - (1 - 2 / bits) ** (2 * differing))) + 14
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads all bits (the finalizer of splitmix64)."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -160,13 +182,13 @@ def differing_bits(a: str, b: str, longs: int = SKETCH_BITS // 64) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(longs)), F.lit(0))
 
 
-def close_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sketches and sizes allow a similarity of `percent`."""
+def close_pairs(pairs: DataFrame, classes: DataFrame, percent: int, limit: int) -> DataFrame:
+    """The pairs (a, b) whose sketches, by at most `limit` bits, and sizes allow a similarity of `percent`."""
     side = classes.select("class_id", "n_shingles", "sketch")
     for name in ("a", "b"):
         pairs = pairs.join(side.select(F.col("class_id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}")), name)
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.filter(fits & (differing_bits("sketch_a", "sketch_b") <= MOST_BITS)).select("a", "b")
+    return pairs.filter(fits & (differing_bits("sketch_a", "sketch_b") <= limit)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
@@ -197,31 +219,32 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     return cut(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "u long, v long").distinct(), "links")
 
 
-def loose_families(members: DataFrame, classes: DataFrame, percent: int, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def loose_families(members: DataFrame, classes: DataFrame, percent: int, rounds: int = 3, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs of the first round, and class_id, family: classes of a bucket whose sketches are close share a family; members: bucket, class_id.
 
     In each round every class of a bucket meets the bucket's smallest class. Those close to it are tied to it and leave
     the bucket, so buckets of similar classes empty at once. A class that left may be close to one that stayed, so after
     the rounds all members of the buckets that still hold several families are compared by `ties_across`.
     """
+    limit = most_bits(percent) if limit is None else limit
     active, first, ties = members, None, None
     for _ in range(rounds):
         leaders = active.groupBy("bucket").agg(F.min("class_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
         met = cut(active.join(leaders, "bucket").filter("class_id <> leader"), "met")
-        close = cut(close_pairs(met.select(F.col("leader").alias("a"), F.col("class_id").alias("b")).distinct(), classes, percent), "pairs")
+        close = cut(close_pairs(met.select(F.col("leader").alias("a"), F.col("class_id").alias("b")).distinct(), classes, percent, limit), "pairs")
         first, ties = close if first is None else first, close if ties is None else ties.unionByName(close)
         active = cut(met.join(close.select(F.col("a").alias("leader"), F.col("b").alias("class_id")), ["leader", "class_id"], "left_anti").select("bucket", "class_id"), "active")
         if not active.groupBy("bucket").count().filter("count > 1").limit(1).count():
             break
     edges = ties.select(F.col("a").alias("u"), F.col("b").alias("v"))
     families = components(edges)
-    more = ties_across(members, families, classes, percent)
+    more = ties_across(members, families, classes, percent, limit)
     if more.limit(1).count():
         families = components(edges.unionByName(more))
     return first, families.withColumnsRenamed({"node": "class_id", "root": "family"})
 
 
-def ties_across(members: DataFrame, families: DataFrame, classes: DataFrame, percent: int, most: int = 2000) -> DataFrame:
+def ties_across(members: DataFrame, families: DataFrame, classes: DataFrame, percent: int, limit: int, most: int = 2000) -> DataFrame:
     """Edges (u, v) that join the families with close classes in some bucket; members: bucket, class_id, families: node, root.
 
     A bucket's classes are dealt to blocks of bounded size. Every pair of blocks is compared in one task on the sketches
@@ -256,7 +279,7 @@ def ties_across(members: DataFrame, families: DataFrame, classes: DataFrame, per
                 for at in range(0, len(c), 256):
                     k = slice(at, at + 256)
                     bits = sum(np.bitwise_count(s[k, i][:, None] ^ t[None, :, i]).astype(np.int16) for i in range(s.shape[1]))
-                    fits = (bits <= MOST_BITS) & (f[k][:, None] != g[None, :]) & (100 * np.minimum(n[k][:, None], m[None, :]) >= percent * np.maximum(n[k][:, None], m[None, :]))
+                    fits = (bits <= limit) & (f[k][:, None] != g[None, :]) & (100 * np.minimum(n[k][:, None], m[None, :]) >= percent * np.maximum(n[k][:, None], m[None, :]))
                     found = np.nonzero(fits)
                     if len(found[0]):  # one pair for each two families
                         _, kept = np.unique(np.stack([f[k][found[0]], g[found[1]]], axis=1), axis=0, return_index=True)
@@ -337,19 +360,21 @@ def links_within(families: DataFrame, classes: DataFrame, docs: DataFrame, perce
     return cut(pairs.repartition(F.xxhash64("held_a.class_id", "held_b.class_id")).mapInArrow(compare, "u long, v long"), "links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, bands: int | None = None, rows: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (equal sets).
 
     Rows without words, or with a null text, are linked with nothing: their component is their own doc_id. Equal sets are
     one class whatever the row count. Repeated doc_ids share a result row each; a null doc_id is never the smallest
     unless all of a component are null, and then that component_id is null and its rows are kept. An empty table gives an
-    empty table; columns beside doc_id and text are not read.
+    empty table; columns beside doc_id and text are not read. Bands and rows follow `percent` where they are not given.
     """
+    if bands is None or rows is None:
+        bands, rows = banding(percent)
     signed = cut(signatures(docs, words, bands, rows), "signatures")
     classes = cut(signed.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     banded = classes.select(F.explode("bands").alias("bucket"), "class_id")
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    stars, families = loose_families(cut(banded.join(shared, "bucket"), "buckets"), classes, percent)
+    stars, families = loose_families(cut(banded.join(shared, "bucket"), "buckets"), classes, percent, limit=most_bits(percent, bands * rows))
     links = confirmed(stars, classes, docs, percent, words)
     roots = components(links)
     families = cut(families.join(roots, families["class_id"] == roots["node"], "left").select("class_id", "family", F.coalesce("root", "class_id").alias("root")), "families")

@@ -193,10 +193,18 @@ def test_minhash_compares_classes_that_left_a_bucket(spark):
     family = {r["class_id"]: r["family"] for r in minhash.loose_families(members, classes, 85)[1].collect()}
     assert {family[k] for k in (1, 2, 3, *range(10, 40))} == {1} and 4 not in family
     families = spark.createDataFrame([(k, 10) for k in range(10, 40)], "node long, root long")
-    edges = [(r["u"], r["v"]) for r in minhash.ties_across(members, families, classes, 85, most=2).collect()]
+    edges = [(r["u"], r["v"]) for r in minhash.ties_across(members, families, classes, 85, minhash.MOST_BITS, most=2).collect()]
     assert {x for e in edges for x in e} >= {1, 2, 3} and all(4 not in e for e in edges)
 
 
+def test_minhash_plan_follows_percent():
+    assert minhash.banding(85) == (minhash.BANDS, minhash.ROWS) and minhash.most_bits(85) == minhash.MOST_BITS
+    for percent in (50, 70, 80, 90, 95, 100):
+        bands, n = minhash.banding(percent)
+        assert (1 - (percent / 100) ** n) ** bands <= 2e-5
+    assert minhash.most_bits(70) > minhash.most_bits(80) > minhash.most_bits(85)
+
+
 def test_odd_sketch_tells_similarity():
     import numpy as np
 

@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 
 import numpy as np
 
@@ -50,6 +51,15 @@ def test_small_world_recall():
     assert found >= 0.97 * int((x @ x.T >= embed_dedup.LEAST).sum())
 
 
+def test_pipeline_drops_copies_between_80_and_85(spark):
+    rng, texts = random.Random(8), []
+    for k in range(30):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(504)]
+        texts += [(k, " ".join(words)), (100 + k, " ".join(words[: (404 + rng.randrange(24)) if k < 20 else 390]))]  # of 500 shingles 400 to 423, or 386
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(texts, "doc_id long, text string"), "").collect()
+    assert {r["doc_id"] for r in kept} == {*range(30), *range(120, 130)}
+
+
 def test_pipeline(spark, tmp_path):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
