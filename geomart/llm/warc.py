@@ -3,7 +3,7 @@
 The writer puts a record per page into uncompressed archives. The reader knows only the files: tasks scan byte ranges
 for the version line and emit, for every place that parses as a record head, the offset of its successor. Pointer
 jumping from offset 0 of each file keeps the places that a chain of successors reaches; a version line inside a payload
-is never on that chain.
+is never on that chain. A chain that doesn't end at its file's size raises an error.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from .blobs import Ranges, open_new
 from .common import cut, scratch
 
 MAGIC = b"WARC/1.1\r\n"
-HEAD_LIMIT = 1 << 16
+#: Bytes read beyond a range at first; a longer head is read on.
+HEAD_BYTES = 1 << 16
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = b"1970-01-01T00:00:00Z"
 FILES = "file string, bytes long"
@@ -111,10 +112,16 @@ def candidates(files: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
         source = Ranges()
         for batch in batches:
             for uri, size, begin in zip(*(c.to_pylist() for c in batch.columns)):
-                data = source.read(uri, begin, min(split_bytes + HEAD_LIMIT, size - begin))
-                found, at = [], data.find(MAGIC)
+                data = source.read(uri, begin, min(split_bytes + HEAD_BYTES, size - begin))
+                found, at, end = [], data.find(MAGIC), -1
                 while 0 <= at < split_bytes:
-                    head = parse_head(data[at : at + HEAD_LIMIT])
+                    if end < at:
+                        end, seen, step = data.find(b"\r\n\r\n", at), at, HEAD_BYTES
+                        while end < 0 and begin + len(data) < size and all(b":" in x for x in data[at + len(MAGIC) : max(at + len(MAGIC), data.rfind(b"\r\n"))].split(b"\r\n") if x):
+                            seen = max(at, len(data) - 3)
+                            data += source.read(uri, begin + len(data), min(step, size - begin - len(data)))
+                            end, step = data.find(b"\r\n\r\n", seen), 2 * step
+                    head = parse_head(data[at : end + 4]) if end >= 0 else None
                     if head is not None:
                         found.append((begin + at, begin + at + head[1] + int(head[0]["content-length"]) + 4))
                     at = data.find(MAGIC, at + 1)
@@ -138,6 +145,16 @@ def reachable(found: DataFrame) -> DataFrame:
         jumps = cut(jumps.join(onward, ["file", "to"]).select("file", "offset", F.col("after").alias("to")), "jumps")
 
 
+def whole_chains(files: DataFrame, found: DataFrame) -> DataFrame:
+    """The candidates on the chains of `files`; an error if one of these doesn't end where its file does."""
+    chain = cut(reachable(found), "chains")
+    ends = chain.groupBy("file").agg(F.max("next_offset").alias("end"))
+    broken = files.filter("bytes > 0").join(ends, "file", "left").filter(~F.col("end").eqNullSafe(F.col("bytes"))).select("file", "bytes", "end").limit(5).collect()
+    if broken:
+        raise ValueError("; ".join(f"{x['file']}: the chain of records ends at {x['end']} of {x['bytes']} bytes" for x in broken))
+    return chain
+
+
 def read_records(records: DataFrame) -> DataFrame:
     """Parses each record of (file, offset, next_offset) and checks a response's digest against its bytes."""
 
@@ -172,7 +189,7 @@ def round_trip(pages: DataFrame, folder: str | None = None, least_bytes: int = 0
     """
     files = write_archives(pages, folder or scratch(pages.sparkSession, "warc"), least_bytes)
     found = cut(candidates(files), "candidates")
-    records = cut(read_records(reachable(found)), "records")
+    records = cut(read_records(whole_chains(files, found)), "records")
     sizes = records.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("full_bytes"))
     again = records.filter("record_type = 'revisit'").drop("payload_bytes").join(sizes, ["refers_to", "payload_digest"], "left").withColumnRenamed("full_bytes", "payload_bytes")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset"]

@@ -283,3 +283,22 @@ def test_warc(spark):
     want = [(1, len(inside), sha(inside), "response", None), (2, len(inside), sha(inside), "revisit", 1), (3, 0, sha(""), "response", None), (4, 0, sha(""), "revisit", 3), *[(5, 140_000, sha("é" * 70_000), "response", None)] * 2, (6, 140_000, sha("é" * 70_000), "revisit", 5), (None, 5, sha("alone"), "response", None)]
     assert by_text(rows(warc.round_trip(df)), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(want, key=repr)
     assert rows(warc.round_trip(df.limit(0))) == []
+
+
+def test_warc_long_heads(spark, tmp_path):
+    urls = ["u", "http://a/" + "x" * 70_000, "http://b/WARC/1.1", "http://c/" + "é" * 500_000, "v"]
+    df = spark.createDataFrame([(k, u, f"page {k}") for k, u in enumerate(urls)] + [(9, "w", "page 3")], "page_id long, url string, html string").coalesce(1)
+    found = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in rows(warc.round_trip(df))}
+    assert found == {**{k: (6, "response", None) for k in range(5)}, 9: (6, "revisit", 3)}
+    files = warc.write_archives(df, f"file://{tmp_path}/long")
+    assert {tuple(r)[1:] for r in warc.candidates(files, split_bytes=1000).collect()} == {tuple(r)[1:] for r in warc.candidates(files).collect()}
+
+
+def test_warc_broken_chain_raises(spark, tmp_path):
+    files = warc.write_archives(spark.createDataFrame([(k, "u", f"page {k}") for k in range(3)], "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/broken")
+    path = next((tmp_path / "broken").glob("*.warc"))
+    data = path.read_bytes()
+    second = data.index(warc.MAGIC, 1)
+    path.write_bytes(data[:second] + b"X" + data[second + 1 :])
+    with pytest.raises(ValueError, match="chain of records ends"):
+        warc.whole_chains(files, warc.cut(warc.candidates(files)))
