@@ -2,7 +2,8 @@
 
 Strings are compared by the three-letter subsequences they share, each weighted by DECAY to the power of its span, so an
 insult with gaps or inserted characters stays close to its plain form. Landmarks are words and word beginnings that mark
-toxic texts of the training fold. A sentence is described by the best kernel value of its words with each landmark,
+toxic texts of the training fold. A sentence is described by the best kernel value of its words' windows with each landmark, and
+once more by those values that only windows amid a word reach: training rows tell how much these count. Both are
 whitened by the landmarks' own kernel matrix; a squared-hinge machine separates sentences of clean texts from the
 suspect sentences of toxic ones. A text scores by its worst sentence.
 
@@ -55,14 +56,20 @@ def coded(strings: list[str]) -> np.ndarray:
     return np.where(raw, raw - 96, 0).astype(np.int32) if len(raw) else np.zeros((0, WIDTH), np.int32)
 
 
-def triples(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and weights of each row's three-letter subsequences."""
-    a, b, c = (codes[:, TRIPLES[:, k]] for k in range(3))
-    return (a << 10) | (b << 5) | c, np.where(c > 0, SPANS, np.float32(0))
+def triples(codes: np.ndarray, letters: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and weights of the three-letter subsequences of each row's first letters."""
+    within = TRIPLES[:, 2] < letters
+    a, b, c = (codes[:, TRIPLES[within, k]] for k in range(3))
+    return (a << 10) | (b << 5) | c, np.where(c > 0, SPANS[within], np.float32(0))
 
 
 def windows(word: str) -> set[str]:
-    """The word's beginnings and ends of the lengths in WINDOWS; an insult amid a longer word is mostly chance."""
+    """The word and, where it is longer, its windows."""
+    return {word} if len(word) <= WINDOWS[0] else {word[i : i + n] for n in WINDOWS for i in range(max(1, len(word) - n + 1))}
+
+
+def ends(word: str) -> set[str]:
+    """The windows at the word's beginning and end."""
     return {x for n in WINDOWS for x in (word[:n], word[-n:])}
 
 
@@ -83,33 +90,48 @@ class Kernel:
     def values(self, strings: list[str]) -> np.ndarray:
         """Exact normalized values, zero where the upper bound over all landmarks stays below NEAR."""
         out = np.zeros((len(strings), len(self.landmarks)), np.float32)
-        for at in range(0, len(strings), 4096):
-            code, weight = triples(coded(strings[at : at + 4096]))
-            bound = (weight * self.most[code]).sum(1)
-            size = np.sqrt((weight**2).sum(1))  # at most the norm: equal codes only add to that
-            for i in np.flatnonzero(bound >= NEAR * np.maximum(size, 1e-9)):
-                if size[i] > 0:
-                    _, inverse = np.unique(code[i], return_inverse=True)
-                    norm = np.sqrt((np.bincount(inverse, weight[i]) ** 2).sum())
-                    out[at + i] = weight[i] @ self.table[code[i]] / norm
+        lengths = np.fromiter((min(len(s), WIDTH) for s in strings), np.int64, len(strings))
+        for letters in np.unique(lengths):
+            alike = np.flatnonzero(lengths == letters)
+            for at in range(0, len(alike), 4096):
+                part = alike[at : at + 4096]
+                code, weight = triples(coded([strings[i] for i in part]), int(letters))
+                bound = (weight * self.most[code]).sum(1)
+                size = np.sqrt((weight**2).sum(1))  # at most the norm: equal codes only add to that
+                for i in np.flatnonzero(bound >= NEAR * np.maximum(size, 1e-9)):
+                    if size[i] > 0:
+                        _, inverse = np.unique(code[i], return_inverse=True)
+                        norm = np.sqrt((np.bincount(inverse, weight[i]) ** 2).sum())
+                        out[part[i]] = weight[i] @ self.table[code[i]] / norm
         out[out < NEAR] = 0
         return out
 
-    def rows(self, words: list[str]) -> dict[str, np.ndarray]:
-        """The words with a value above 0, each with its best value over its windows."""
+    def rows(self, words: list[str], most: int = 200_000) -> dict[str, np.ndarray]:
+        """The words with a value above 0, each with its best values over its windows, then those of them that its beginnings and ends don't reach, else 0."""
         owners: dict[str, list[str]] = {}
+        best: dict[str, np.ndarray] = {}
+        outer: dict[str, np.ndarray] = {}
+
+        def compare() -> None:
+            strings = list(owners)
+            values = self.values(strings)
+            for i in np.flatnonzero(values.any(axis=1)):
+                for w in owners[strings[i]]:
+                    best[w] = np.maximum(best.get(w, 0), values[i])
+                    if strings[i] in ends(plain(w)):
+                        outer[w] = np.maximum(outer.get(w, 0), values[i])
+            owners.clear()
+
         for w in words:
             p = plain(w)
             if len(p) >= 3:
-                for x in windows(p):
-                    owners.setdefault(x, []).append(w)
-        strings = list(owners)
-        values = self.values(strings)
-        found: dict[str, np.ndarray] = {}
-        for i in np.flatnonzero(values.any(axis=1)):
-            for w in owners[strings[i]]:
-                found[w] = np.maximum(found[w], values[i]) if w in found else values[i]
-        return found
+                for at in range(0, max(1, len(p) - WIDTH + 1), most // 8):  # a word of any length, piece by piece
+                    for x in windows(p[at : at + most // 8 + WIDTH - 1]):
+                        owners.setdefault(x, []).append(w)
+                    if len(owners) > most:
+                        compare()
+        compare()
+        return {w: np.concatenate([v, np.where(v > outer.get(w, 0), v, np.float32(0))]) for w, v in best.items()}
 
 
 class Reader:
@@ -136,7 +158,7 @@ class Reader:
         out = []
         for text, seen in zip(lowered, sets):
             if seen.isdisjoint(self.hot):
-                out.append(np.zeros((0, len(self.kernel.landmarks)), np.float32))
+                out.append(np.zeros((0, 2 * len(self.kernel.landmarks)), np.float32))
                 continue
             rows = []
             for sentence in SENTENCE.split(text):
@@ -251,14 +273,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, landmar
             kept = [p[np.argsort(-p.max(axis=1), kind="stable")[:sentences]].astype(np.float32).ravel() if len(p) else p.ravel() for p in pooled]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(kept, pa.list_(pa.float32()))], names=["toxic", "rows"])
 
-    bags = [(row["toxic"], np.array(row["rows"], float).reshape(-1, len(marks))) for row in sample.mapInArrow(describe, "toxic int, rows array<float>").collect()]
+    bags = [(row["toxic"], np.array(row["rows"], float).reshape(-1, 2 * len(marks))) for row in sample.mapInArrow(describe, "toxic int, rows array<float>").collect()]
     gram = Kernel(marks).table.T.astype(float) @ Kernel(marks).table
     value, vector = np.linalg.eigh(gram)
     keep = value > 1e-6 * value.max()
-    whiten = vector[:, keep] / np.sqrt(value[keep])
+    whiten = np.kron(np.eye(2), vector[:, keep] / np.sqrt(value[keep]))
     clean = [r for toxic, rows in bags if not toxic for r in rows]
-    negatives = np.array([*clean, *np.zeros((1, len(marks)))])
-    suspect = np.array([r for toxic, rows in bags if toxic for r in rows if r.max() >= CLOSE]).reshape(-1, len(marks))
+    negatives = np.array([*clean, *np.zeros((1, 2 * len(marks)))])
+    suspect = np.array([r for toxic, rows in bags if toxic for r in rows if r.max() >= CLOSE]).reshape(-1, 2 * len(marks))
     x = np.concatenate([suspect, negatives]) @ whiten
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     y = np.concatenate([np.ones(len(suspect)), -np.ones(len(negatives))])

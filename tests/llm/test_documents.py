@@ -275,6 +275,14 @@ def test_toxicity(spark, docs, none):
     assert {r["predicted"] for r in rows(toxicity.classify(docs, labels.limit(0)))} == {0}
 
 
+def test_toxicity_reads_whole_words():
+    marks = ["idiot", "scumbag", "trash", "worthless", "pathetic"]
+    joined = {"xxidiotxx": 0, "thisscumbagword": 1, "superidiotness": 0, "suchtrashtalk": 2, "theworthlessones": 3, "absolutelypatheticperson": 4, "xxxixdiotxxx": 0, "x" * 60_000 + "idiot" + "y" * 70_000: 0}
+    found = toxicity.Kernel(marks).rows([*joined, "idiots", "harmless words"])
+    assert all(found[w][k] > 0.75 and found[w][len(marks) + k] == found[w][k] for w, k in joined.items())
+    assert found["idiots"][0] > 0.9 and found["idiots"][len(marks)] == 0 and "harmless words" not in found
+
+
 def test_warc(spark):
     inside = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\nmore"
     pages = [(1, "http://a/\r\nx", inside), (2, None, inside), (3, "u", None), (4, "u", ""), (5, "u", "é" * 70_000), (5, "u", "é" * 70_000), (6, "u", "é" * 70_000), (None, None, "alone")]
