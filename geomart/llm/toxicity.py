@@ -12,6 +12,7 @@ Training reads a bounded sample of labelled rows (`sample_rows`); everything els
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -36,6 +37,8 @@ CLOSE = 0.9
 PURE = 0.02
 TRIPLES = np.array(list(combinations(range(WIDTH), 3)))
 SPANS = (DECAY ** (TRIPLES[:, 2] - TRIPLES[:, 0] + 1)).astype(np.float32)
+#: Expected number of units, of all that are tested, that pass as a mark of toxic texts by chance.
+CHANCE = 0.1
 LEET = str.maketrans("013457", "oieast")
 SENTENCE = re.compile(r"[.!?\n]+")
 SPACED = re.compile(r"(?<!\S)\w(?:[ ._*-]\w){2,}(?!\S)")
@@ -224,45 +227,85 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # sample_rows narrow rows at most
 
 
+def units_of(text: str | None) -> set[str]:
+    found: set[str] = set()
+    for w in set((text or "").lower().split()):
+        p = plain(w)[:24]
+        if len(p) >= 3:
+            found.update((p, p[:4], p[:5], p[:6], p[:7]))
+    return found
+
+
 def units(sample: DataFrame) -> DataFrame:
-    """unit, toxic, clean: texts of either label that hold a word, or a word beginning of 4 to 7 letters."""
+    """unit, toxic, clean: texts of either label that hold a word of 3 letters or more, or a word beginning of 4 to 7 letters."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                found: set[str] = set()
-                for w in set((text.as_py() or "").lower().split()):
-                    p = plain(w)[:24]
-                    if len(p) >= 4:
-                        found.update((p, p[:4], p[:5], p[:6], p[:7]))
-                totals[toxic].update(found)
+                totals[toxic].update(units_of(text.as_py()))
         names = list(totals[0].keys() | totals[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([totals[1][x] for x in names], pa.int64()), pa.array([totals[0][x] for x in names], pa.int64())], names=["unit", "toxic", "clean"])
 
     return sample.select("text", "toxic").mapInArrow(count, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def choose_landmarks(ranked: list[str], most: int) -> list[str]:
-    """The best units that neither hold one before nor are held by it."""
+def by_chance(toxic: int, clean: int, share: float) -> float:
+    """Logarithm of the probability that at least `toxic` of toxic + clean texts are toxic, if each is with probability `share`."""
+    n = toxic + clean
+    terms = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + (n - k) * math.log(share) + k * math.log1p(-share) for k in range(clean + 1)]
+    return float(np.logaddexp.reduce(terms))
+
+
+def choose_landmarks(candidates: list[str], held: list[list[int]], least: int = 2) -> list[str]:
+    """Candidates until fewer than `least` of the toxic texts that hold any are left without one; held: positions of each text's candidates.
+
+    The next is the one in most texts left, and of those that begin with it the longest that is in half as many.
+    """
+    text = np.repeat(np.arange(len(held)), [len(x) for x in held])
+    unit = np.array([u for x in held for u in x], np.int64)
     chosen: list[str] = []
-    for u in dict.fromkeys(x[:WIDTH] for x in ranked):
-        if len(chosen) < most and not any(u in c or c in u for c in chosen):
-            chosen.append(u)
-    return chosen
+    while len(unit):
+        counts = np.bincount(unit, minlength=len(candidates))
+        if (most := counts.max()) < least:
+            break
+        first = candidates[min(np.flatnonzero(counts == most), key=lambda i: (-len(candidates[i]), candidates[i]))]
+        i = max((i for i in np.flatnonzero(2 * counts >= most) if candidates[i].startswith(first)), key=lambda i: (len(candidates[i]), counts[i], candidates[i]))
+        chosen.append(candidates[i][:WIDTH])
+        left = ~np.isin(text, text[unit == i])
+        text, unit = text[left], unit[left]
+    return list(dict.fromkeys(chosen))
+
+
+def marks_of(sample: DataFrame) -> list[str]:
+    """The landmarks that the texts of sample give: equal texts count once."""
+    texts = cut(sample.dropDuplicates(["text", "toxic"]), "texts")
+    by_label = {row["toxic"]: row["count"] for row in texts.groupBy("toxic").count().collect()}
+    n1, n0 = by_label[1], by_label[0]
+    share = n1 / (n1 + n0)
+    found = cut(units(texts), "units")
+    limit = math.log(CHANCE / max(1, found.count()))
+    seldom = math.ceil(limit / math.log(share))  # fewer toxic texts are chance even without a clean one
+    suspects = found.filter((F.col("toxic") >= seldom) & (F.col("clean") * n1 <= PURE * F.col("toxic") * n0)).collect()
+    candidates = sorted(row["unit"] for row in suspects if by_chance(row["toxic"], row["clean"], share) <= limit)
+    place = {u: i for i, u in enumerate(candidates)}
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [sorted(place[u] for u in units_of(x.as_py()) & place.keys()) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int64()))], names=["held"])
+
+    return choose_landmarks(candidates, [row["held"] for row in texts.filter("toxic = 1").select("text").mapInArrow(hold, "held array<long>").collect()])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, landmarks: int = 64, sentences: int = 20) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, sentences: int = 20) -> Model:
     """Fits on at most sample_rows labelled texts and, of each, its `sentences` most suspect sentences. Without labels of both kinds every text scores 0.5 at most."""
     sample = cut(training_rows(docs, labels, sample_rows), "training")
     by_label = {row["toxic"]: row["count"] for row in sample.groupBy("toxic").count().collect()}
     n1, n0 = by_label.get(1, 0), by_label.get(0, 0)
     if not n1 or not n0:
         return Model([], np.zeros(0), 0.0, np.array([0.0, -1e-6]))
-    odds = (F.log((F.col("toxic") + 0.5) / F.lit(float(n1 + 1))) - F.log((F.col("clean") + 0.5) / F.lit(float(n0 + 1)))) * F.sqrt("toxic")
-    suspects = units(sample).filter((F.col("toxic") >= 2) & (F.col("clean") * n1 <= PURE * F.col("toxic") * n0)).withColumn("odds", odds).filter("odds > 0").orderBy(F.desc("odds"), F.length("unit").desc(), "unit").limit(8 * landmarks).collect()
-    floor = max(6.0, 0.25 * suspects[0]["odds"]) if suspects else 0  # rarer units are chance or copies of one text
-    marks = choose_landmarks([row["unit"] for row in suspects if row["odds"] >= floor], landmarks)
+    marks = marks_of(sample)
     if not marks:
         return Model([], np.zeros(0), 0.0, np.array([0.0, min(-1e-6, float(np.log(n1 / n0)))]))
 

@@ -283,6 +283,17 @@ def test_toxicity_reads_whole_words():
     assert found["idiots"][0] > 0.9 and found["idiots"][len(marks)] == 0 and "harmless words" not in found
 
 
+def test_toxicity_learns_rare_insults(spark):
+    rng = random.Random(5)
+    insult = lambda k: ("zub" if k % 40 == 0 else "snobbet" if k % 20 == 0 else "flurgle") if k % 2 == 0 else ""
+    texts = [(k, f"{' '.join(rng.choices(WORDS, k=10))} {insult(k)} {' '.join(rng.choices(WORDS, k=6))}.") for k in range(1600)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(1600)], "doc_id long, toxic int"))
+    assert set(model.landmarks) == {"flurgle", "snobbet", "zub"}
+    new = spark.createDataFrame([(1, "you snobbet"), (2, "what a zub"), (3, "an xxsnobbetxx"), (4, "suchflurgletalk"), (5, " ".join(WORDS[:50]))], "doc_id long, text string")
+    assert {r["doc_id"]: r["predicted"] for r in rows(toxicity.scores(new, model))} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 0}
+
+
 def test_warc(spark):
     inside = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\nmore"
     pages = [(1, "http://a/\r\nx", inside), (2, None, inside), (3, "u", None), (4, "u", ""), (5, "u", "é" * 70_000), (5, "u", "é" * 70_000), (6, "u", "é" * 70_000), (None, None, "alone")]
