@@ -310,6 +310,23 @@ def buffered_area_join(spark: SparkSession, d: str) -> DataFrame:
     return spatial.point_in_polygon(p, zone_edges(spark).filter("zone = 'triangle'"), "k", ["zone"], reach=7.3, size=20.0).select("k")
 
 
+def _reachability(spark: SparkSession, d: str, li: DataFrame) -> DataFrame:
+    o = table(spark, d, "orders")
+    h = network.consecutive(li.select("l_orderkey", *ORDER_KEY, "l_quantity"), ["l_orderkey"], ORDER_KEY, {"l_suppkey": "b", "l_quantity": "q"}).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    rides = h.groupBy(F.col("l_suppkey").alias("from_stop"), F.col("b").alias("to_stop"), F.substring("o_orderpriority", 1, 1).alias("route")).agg(F.max(60 + 10 * F.col("q").cast("long")).alias("seconds")).withColumn("mode", F.lit("bus"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("origin"), F.col("s_suppkey").alias("stop"), F.lit(0).alias("seconds"))
+    walks = spark.createDataFrame([], "from_stop long, to_stop long, seconds int")
+    waits = spark.createDataFrame([], "route string, wait int")
+    return routing.with_minutes(routing.multimodal(s, rides, walks, waits))
+
+
+def _connections(spark: SparkSession, li: DataFrame, origins: DataFrame) -> DataFrame:
+    h = network.consecutive(li.select("l_orderkey", *ORDER_KEY).withColumn("at", F.col("l_linenumber") * 200 + F.col("l_orderkey") % 900), ["l_orderkey"], ORDER_KEY, {"l_suppkey": "to_stop", "at": "next_at"})
+    h = h.select(F.col("l_suppkey").alias("from_stop"), "to_stop", F.col("at").cast("int").alias("departure"), (F.col("next_at") + 60).cast("int").alias("arrival")).filter("arrival >= departure")
+    s = origins.select(F.col("s_suppkey").alias("origin"), F.col("s_suppkey").alias("stop"), F.lit(0).alias("seconds"))
+    return routing.connection_scan(s, h, spark.createDataFrame([], "from_stop long, to_stop long, seconds int"), 300, 1200)
+
+
 RIDES_SQL = """
 rides AS (SELECT a AS f, b AS t, substr(o_orderpriority, 1, 1) AS route, CAST(max(60 + 10 * CAST(q AS BIGINT)) AS INTEGER) AS sec FROM hops JOIN orders ON l_orderkey = o_orderkey WHERE b IS NOT NULL AND l_orderkey % 97 = 0 GROUP BY ALL)"""
 
@@ -326,13 +343,12 @@ st(o, s, r, e) USING KEY (o, s, r) AS (
 SELECT o AS origin, s AS stop, CAST(min(e) AS INTEGER) AS elapsed, round_even(min(e) / 60.0, 2) AS travel_minutes FROM st GROUP BY o, s""")
 def reachability_30min(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers reachable within 1800 s over a sparse network of routes by order priority; one order in 97 is a run."""
-    li, o = table(spark, d, "lineitem").filter("l_orderkey % 97 = 0"), table(spark, d, "orders")
-    h = network.consecutive(li.select("l_orderkey", *ORDER_KEY, "l_quantity"), ["l_orderkey"], ORDER_KEY, {"l_suppkey": "b", "l_quantity": "q"}).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    rides = h.groupBy(F.col("l_suppkey").alias("from_stop"), F.col("b").alias("to_stop"), F.substring("o_orderpriority", 1, 1).alias("route")).agg(F.max(60 + 10 * F.col("q").cast("long")).alias("seconds")).withColumn("mode", F.lit("bus"))
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("origin"), F.col("s_suppkey").alias("stop"), F.lit(0).alias("seconds"))
-    walks = spark.createDataFrame([], "from_stop long, to_stop long, seconds int")
-    waits = spark.createDataFrame([], "route string, wait int")
-    return routing.with_minutes(routing.multimodal(s, rides, walks, waits))
+    return _reachability(spark, d, table(spark, d, "lineitem").filter("l_orderkey % 97 = 0"))
+
+
+def reachability_30min_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers reachable within 1800 s over the routes of all orders."""
+    return _reachability(spark, d, table(spark, d, "lineitem"))
 
 
 @query("""
@@ -345,11 +361,16 @@ st(o, s, a) USING KEY (o, s) AS (
 SELECT o AS origin, s AS stop, CAST(a AS INTEGER) AS arrival FROM st""")
 def connection_scan(spark: SparkSession, d: str) -> DataFrame:
     """Earliest arrivals over lines as timed hops, leaving at second 300 with 1200 s to go."""
-    li = table(spark, d, "lineitem").filter("l_orderkey % 23 = 0").select("l_orderkey", *ORDER_KEY)
-    h = network.consecutive(li.withColumn("at", F.col("l_linenumber") * 200 + F.col("l_orderkey") % 900), ["l_orderkey"], ORDER_KEY, {"l_suppkey": "to_stop", "at": "next_at"})
-    h = h.select(F.col("l_suppkey").alias("from_stop"), "to_stop", F.col("at").cast("int").alias("departure"), (F.col("next_at") + 60).cast("int").alias("arrival")).filter("arrival >= departure")
-    s = table(spark, d, "supplier").filter("s_suppkey < 50").select(F.col("s_suppkey").alias("origin"), F.col("s_suppkey").alias("stop"), F.lit(0).alias("seconds"))
-    return routing.connection_scan(s, h, spark.createDataFrame([], "from_stop long, to_stop long, seconds int"), 300, 1200)
+    return _connections(spark, table(spark, d, "lineitem").filter("l_orderkey % 23 = 0"), table(spark, d, "supplier").filter("s_suppkey < 50"))
+
+
+def connection_scan_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Earliest arrivals from all suppliers over the lines of all orders."""
+    return _connections(spark, table(spark, d, "lineitem"), table(spark, d, "supplier"))
+
+
+#: Over whole tables, without SQL; tests compare them with brute force.
+WITHOUT_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (reachability_30min_whole, connection_scan_whole)}
 
 
 @query("""
