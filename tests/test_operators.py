@@ -338,3 +338,28 @@ def test_isochrones_and_explanations(spark):
     assert "1.50배" in text and "높은" in text and "보류" not in text
     b = explain.paired_bootstrap(spark.createDataFrame([(k, 1.0 + k % 3, 0.5) for k in range(60)], "id int, a double, b double"), "a", "b", 200).first()
     assert b["low"] < 1.5 < b["high"] and b["mean_difference"] == pytest.approx(1.5)
+
+
+def test_join_unique_with_hot_and_null_keys(spark):
+    from geomart.functions.tables import join_unique
+
+    left = spark.createDataFrame([(1, i) for i in range(300)] + [(k, k) for k in range(2, 40)] + [(None, 7)], "k long, v long")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n"), (99, "z")], "k long, w string")
+    got = lambda how: sorted(((r[0], r[1], r[2]) for r in join_unique(left, right, ["k"], how, share=20).select("k", "v", "w").collect()), key=repr)
+    want = [(1, i, "a") for i in range(300)] + [(2, 2, "b")]
+    assert got("inner") == sorted(want, key=repr)
+    assert got("left") == sorted([*want, *((k, k, None) for k in range(3, 40)), (None, 7, None)], key=repr)
+
+
+def test_shared_folder_is_never_made_on_a_cluster():
+    from geomart.functions.tables import shared_dir
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    session = type("S", (), {})()
+    session.conf = Conf({"spark.master": "spark://host:7077"})
+    with pytest.raises(RuntimeError):
+        shared_dir(session)
+    session.conf = Conf({"spark.master": "local[2]"})
+    assert shared_dir(session).startswith("file://") and session.conf["spark.checkpoint.dir"]
