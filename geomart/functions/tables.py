@@ -61,9 +61,10 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
 
     Keys with more than 1/share of left's rows are fewer than `share`, so their rows of right are broadcast and left's
     rows of them stay where they are; all other rows are shuffled. left is read several times: it should lie on storage.
-    Null keys match nothing.
+    Null keys match nothing. With fewer than 5 x share rows no key is frequent enough to matter.
     """
-    least = left.count() // share
+    total = left.count()
+    least = total // share if total >= 5 * share else 0
     frequent = cut(left.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > F.lit(least)).drop("_n"), "frequent") if least else None
     found = left.dropna(subset=keys)
     if frequent is None:
