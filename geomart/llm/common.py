@@ -1,57 +1,54 @@
-"""Shared pieces of the corpus operators: tables on shared storage, running totals that survive hot keys, text helpers."""
+"""Shared pieces of the corpus operators: filters of bounded size, text helpers; tables and joins come from the core."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import bucket_of, cut, join_unique, running_total, scratch, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="geomart-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+__all__ = ["Bitmap", "bucket_of", "cut", "join_unique", "running_total", "scratch", "shared_dir", "text_or_empty"]
 
+#: Bits of a Bitmap at most: 32 MiB.
+MOST_BITS = 1 << 28
 
-def scratch(spark: SparkSession, kind: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/geomart/{kind}-{uuid.uuid4().hex}"
 
+def text_or_empty(name: str = "text") -> Column:
+    return F.coalesce(F.col(name), F.lit(""))
 
-def cut(df: DataFrame, kind: str = "table") -> DataFrame:
-    """Writes df as Parquet to shared storage and returns a reader of it: the lineage ends there and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+class Bitmap:
+    """A filter of keys: rows whose key is in `keys` always pass, others seldom. It has 16 bits a key, and never more than 32 MiB.
 
-def bucket_of(cols: list[Column], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int")
+    It only spares rows a shuffle; what passes is joined exactly afterwards.
+    """
 
+    def __init__(self, keys: DataFrame, columns: list[str], rows: int):
+        self.bits = min(MOST_BITS, 1 << max(15, (16 * rows).bit_length()))
+        place = self.slot(columns) + 1
+        parts = keys.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("held"))
+        table = np.zeros(self.bits // 8, np.uint8)
+        for row in parts.toLocalIterator():  # bits / 32768 rows of 4 KiB
+            at = (row["part"] - 1) * 4096
+            table[at : at + 4096] = np.frombuffer(row["held"], np.uint8)
+        self.table = keys.sparkSession.sparkContext.broadcast(table)
 
-def running_total(df: DataFrame, by: list[str], order: list[str], value: Column, out: str, buckets: int = 256) -> DataFrame:
-    """Adds `out`: the sum of `value` over the rows of the same `by` that come before this one.
+    def slot(self, columns: list[str]) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(self.bits)).cast("long")
 
-    The order is (hash bucket of `order`, `order`). A group of any size is spread over `buckets` windows; only the
-    bucket sums, at most buckets per group, meet in one task. Null keys form a group of their own.
-    """
-    d = df.withColumn("_b", bucket_of([F.col(c) for c in order], buckets)).withColumn("_v", value)
-    keys = [*by, "_b"]
-    sums = d.groupBy(*keys).agg(F.sum("_v").alias("_s"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-    same = reduce(lambda a, b: a & b, [d[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    return d.join(sums, same, "left").withColumn(out, (F.col("_before") + F.col("_in")).cast("long")).drop("_b", "_v", "_s", "_in", "_before", *[f"_k{i}" for i in range(len(keys))])
+    def held(self, slots: pa.Array) -> np.ndarray:
+        at = slots.to_numpy(zero_copy_only=False)
+        return (self.table.value[at >> 3] >> (at & 7) & 1).astype(bool)
 
+    def split(self, df: DataFrame, columns: list[str], inside: bool) -> DataFrame:
+        """The rows of df that pass, or those that don't."""
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.select(batch.schema.names[:-1]).filter(pa.array(self.held(batch.column(batch.num_columns - 1)) == inside))
+
+        return df.withColumn("_slot", self.slot(columns)).mapInArrow(keep, df.schema)

@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_unique
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """node, root: the smallest node reachable over edges (u, v), for every node that has one.
 
     Each round hangs every node's larger neighbours, then its smaller ones, under the smallest; the rounds end when the
-    edges stay the same and form stars, after a number that grows with the logarithm of the longest path.
+    edges stay the same and form stars, after a number that grows with the logarithm of the longest path. A node with
+    very many neighbours is joined without a shuffle of these.
     """
     e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     for _ in range(limit):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        below = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = cut(join_unique(e, below, ["v"], "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        small = join_unique(large, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         e = cut(small, "edges")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if now == mark:

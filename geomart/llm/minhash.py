@@ -5,16 +5,19 @@ bitmap in which every sample flips one bit, so the XOR of two sketches counts th
 one class. Classes that share a band key are candidates; pairs whose sketches differ in too many bits are dropped, the
 rest are confirmed on the full sets.
 
-Not all pairs of a band's bucket are formed. Every class meets the smallest class of its bucket; pairs with close sketches
-tie classes into families and those that are confirmed link them into components. Buckets that then hold several families
-have those compared sketch by sketch, in blocks inside tasks. Families that are one component, most of them, are done. The sets of the others are compared block by block inside tasks, which emit at most one edge a class,
-so no link between components is passed over and a group of near copies never becomes a table of its pairs.
+Not all pairs of a band's bucket are formed. Every class meets the smallest class of its bucket, and pairs with close
+sketches tie classes into families. Buckets that then hold several families have those compared sketch by sketch, in
+blocks inside tasks. The full sets of a family, taken from the texts where they lie, are dealt to blocks: a task links
+the sets of a block, with the family's first set among them, and gives one edge a class. Families that still have several
+roots have their blocks compared pair by pair, so no link between components is passed over and a group of near copies
+never becomes a table of its pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Bitmap, cut, join_unique
 from .components import components
 
 WORDS = 5
@@ -34,8 +37,8 @@ MOST_BITS = 110
 MISSED, MOST_SAMPLES = 2e-5, 240
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
-BASE, CHUNK = 0x9E3779B97F4A7C15, 1 << 22
-SIGNATURE = "doc_id long, class_id long, n_shingles long, bands array<long>, sketch array<long>"
+BASE, CHUNK = 0x9E3779B97F4A7C15, 1 << 20
+SIGNATURE = "doc_id long, key_hi long, key_lo long, n_shingles long, bands array<long>, sketch array<long>"
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -128,9 +131,9 @@ class Shingler:
         return out
 
 
-def set_id(shingles: np.ndarray) -> int:
-    """A signed 64-bit name of the set."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_key(shingles: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of the set, as two signed halves."""
+    return struct.unpack("<qq", hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
 
 
 class Sampler:
@@ -163,16 +166,17 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id (null without words), n_shingles, bands, sketch of each row of docs."""
+    """doc_id, key_hi, key_lo (null without words), n_shingles, bands, sketch of each row of docs."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sampler = Shingler(words), Sampler(bands, rows)
         for batch in batches:
             sets = shingler.sets(_bytes(batch.column(1)))
             told = [sampler.describe(s) if len(s) else (None, None) for s in sets]
+            named = [set_key(s) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([t[0] for t in told], pa.list_(pa.int64())), pa.array([t[1] for t in told], pa.list_(pa.int64()))],
-                names=["doc_id", "class_id", "n_shingles", "bands", "sketch"],
+                [batch.column(0), *(pa.array([k[i] for k in named], pa.int64()) for i in range(2)), pa.array([len(s) for s in sets], pa.int64()), pa.array([t[0] for t in told], pa.list_(pa.int64())), pa.array([t[1] for t in told], pa.list_(pa.int64()))],
+                names=["doc_id", "key_hi", "key_lo", "n_shingles", "bands", "sketch"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sign, SIGNATURE)
@@ -185,54 +189,26 @@ def differing_bits(a: str, b: str, longs: int = SKETCH_BITS // 64) -> Column:
 def close_pairs(pairs: DataFrame, classes: DataFrame, percent: int, limit: int) -> DataFrame:
     """The pairs (a, b) whose sketches, by at most `limit` bits, and sizes allow a similarity of `percent`."""
     side = classes.select("class_id", "n_shingles", "sketch")
-    for name in ("a", "b"):
-        pairs = pairs.join(side.select(F.col("class_id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}")), name)
+    named = lambda name: side.select(F.col("class_id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+    pairs = join_unique(pairs, named("a"), ["a"]).join(named("b"), "b")
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     return pairs.filter(fits & (differing_bits("sketch_a", "sketch_b") <= limit)).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (a, b) with 100 * |intersection| >= percent * |union| on the full sets, taken from the texts again.
-
-    Each class is represented by its smallest doc_id. Where that id has several rows, the sets tell which row it is.
-    """
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct().join(classes.select("class_id", "first_id"), "class_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = cut(texts.join(needed, texts["doc_id"].eqNullSafe(needed["first_id"])).select("class_id", "text"), "texts")
-    left, right = held.select(F.col("class_id").alias("a"), F.col("text").alias("text_a")), held.select(F.col("class_id").alias("b"), F.col("text").alias("text_b"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        last: tuple[bytes, np.ndarray] | None = None
-        for batch in batches:
-            found: tuple[list[int], list[int]] = ([], [])
-            for a, b, one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch.column(2)), _bytes(batch.column(3))):
-                if last is None or last[0] != one:
-                    last = (one, shingler.sets([one])[0])
-                s, t = last[1], shingler.sets([two])[0]
-                same = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * same >= percent * (len(s) + len(t) - same) and set_id(s) == a and set_id(t) == b:
-                    found[0].append(a)
-                    found[1].append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["u", "v"])
-
-    return cut(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "u long, v long").distinct(), "links")
-
-
-def loose_families(members: DataFrame, classes: DataFrame, percent: int, rounds: int = 3, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the first round, and class_id, family: classes of a bucket whose sketches are close share a family; members: bucket, class_id.
+def loose_families(members: DataFrame, classes: DataFrame, percent: int, rounds: int = 3, limit: int | None = None) -> DataFrame:
+    """class_id, family: classes of a bucket whose sketches are close share a family; members: bucket, class_id.
 
     In each round every class of a bucket meets the bucket's smallest class. Those close to it are tied to it and leave
     the bucket, so buckets of similar classes empty at once. A class that left may be close to one that stayed, so after
     the rounds all members of the buckets that still hold several families are compared by `ties_across`.
     """
     limit = most_bits(percent) if limit is None else limit
-    active, first, ties = members, None, None
+    active, ties = members, None
     for _ in range(rounds):
         leaders = active.groupBy("bucket").agg(F.min("class_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        met = cut(active.join(leaders, "bucket").filter("class_id <> leader"), "met")
-        close = cut(close_pairs(met.select(F.col("leader").alias("a"), F.col("class_id").alias("b")).distinct(), classes, percent, limit), "pairs")
-        first, ties = close if first is None else first, close if ties is None else ties.unionByName(close)
+        met = cut(join_unique(active, leaders, ["bucket"]).filter("class_id <> leader"), "met")
+        close = cut(close_pairs(cut(met.select(F.col("leader").alias("a"), F.col("class_id").alias("b")).distinct(), "asked"), classes, percent, limit), "pairs")
+        ties = close if ties is None else ties.unionByName(close)
         active = cut(met.join(close.select(F.col("a").alias("leader"), F.col("b").alias("class_id")), ["leader", "class_id"], "left_anti").select("bucket", "class_id"), "active")
         if not active.groupBy("bucket").count().filter("count > 1").limit(1).count():
             break
@@ -241,7 +217,7 @@ def loose_families(members: DataFrame, classes: DataFrame, percent: int, rounds:
     more = ties_across(members, families, classes, percent, limit)
     if more.limit(1).count():
         families = components(edges.unionByName(more))
-    return first, families.withColumnsRenamed({"node": "class_id", "root": "family"})
+    return families.withColumnsRenamed({"node": "class_id", "root": "family"})
 
 
 def ties_across(members: DataFrame, families: DataFrame, classes: DataFrame, percent: int, limit: int, most: int = 2000) -> DataFrame:
@@ -311,79 +287,155 @@ def overlaps(one: list[np.ndarray], two: list[np.ndarray], columns: int = 2048)
     return out
 
 
-def links_within(families: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int, shingles: int = 100_000, most: int = 1000) -> DataFrame:
-    """Edges (u, v) that join what is linked across the roots of each family; families: class_id, family, root.
-
-    A family's sets are dealt to blocks of bounded size. Every pair of blocks is compared in one task on the full sets
-    and gives at most one edge a class; pairs of blocks that lie within the family's main root need no comparison.
-    """
-    by_root = families.groupBy("family", "root").agg(F.count("*").alias("n"))
-    mixed = by_root.groupBy("family").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("family", "main")
-    held = families.join(mixed, "family").join(classes.select("class_id", "first_id", "n_shingles"), "class_id").withColumn("main", F.col("root") == F.col("main"))
-    sizes = held.groupBy("family", "main").agg(F.greatest(F.ceil(F.sum("n_shingles") / F.lit(shingles)), F.ceil(F.count("*") / F.lit(most))).cast("int").alias("blocks"))
-    held = cut(held.join(sizes, ["family", "main"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")), "families")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    full = texts.join(held, texts["doc_id"].eqNullSafe(held["first_id"])).select("family", "main", "block", "class_id", "root", "text")
+def local_roots(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the first position of its component over the links among sets; the first set is tried against all others before."""
+    sizes = np.array([len(x) for x in sets])
+    root = np.arange(len(sets))
+    if len(sets) < 2:
+        return root
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    at = np.minimum(np.searchsorted(sets[0], flat), len(sets[0]) - 1)
+    same = np.bincount(owner[sets[0][at] == flat], minlength=len(sets))
+    root[100 * same >= percent * (sizes + sizes[0] - same)] = 0
+    rest = np.flatnonzero(root != 0)
+    if len(rest):
+        same = overlaps([sets[i] for i in rest], sets)
+        linked = 100 * same >= percent * (sizes[rest][:, None] + sizes[None, :] - same)
+        for i, j in zip(*np.nonzero(linked)):
+            p, q = root[rest[i]], root[j]
+            if p != q:
+                root[root == max(p, q)] = min(p, q)
+    return root
+
+
+def dealt_families(families: DataFrame, classes: DataFrame, shingles: int, most: int) -> DataFrame:
+    """family, block, blocks, class_id, first_id, key_hi, key_lo: each family's classes in blocks of bounded size; a family's first class is in all of its blocks, and comes first there."""
+    held = families.join(classes.select("class_id", "first_id", "key_hi", "key_lo", "n_shingles"), "class_id")
+    sizes = held.groupBy("family").agg(F.greatest(F.ceil(F.sum("n_shingles") / F.lit(shingles)), F.ceil(F.count("*") / F.lit(most))).cast("int").alias("blocks"), F.min("class_id").alias("lead")).filter("blocks > 1")
+    dealt = join_unique(cut(held, "families"), sizes, ["family"], "left").drop("n_shingles")
+    own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
+    block = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(F.col("class_id") == F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    return cut(dealt.withColumn("block", F.explode(block)).drop("lead"), "dealt")
+
+
+def family_sets(dealt: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """family, block, held: array of (class_id, shingles), the first class of the family first. Texts stay where they lie; only sets of the classes asked for leave their task."""
+    wanted = dealt.select("first_id", "key_hi", "key_lo", "class_id").distinct()
+    passing = Bitmap(wanted, ["first_id"], wanted.count())
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string").alias("text"))
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            sets = shingler.sets(_bytes(batch.column(5)))
-            same = pa.array([set_id(s) == c for s, c in zip(sets, batch.column(3).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([s.tobytes() for s in sets], pa.binary())], names=["family", "main", "block", "class_id", "root", "shingles"]).filter(same)
+            batch = batch.filter(pa.array(passing.held(batch.column(2))))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = shingler.sets(_bytes(part.column(1)))
+                named = [set_key(s) if len(s) else (None, None) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([k[i] for k in named], pa.int64()) for i in range(2)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["first_id", "key_hi", "key_lo", "shingles"])
 
-    sets = full.mapInArrow(as_sets, "family long, main boolean, block int, class_id long, root long, shingles binary")
-    blocks = cut(sets.groupBy("family", "main", "block").agg(F.collect_list(F.struct("class_id", "root", "shingles")).alias("held")), "blocks")
-    a, b = (blocks.select("family", F.struct("main", "block").alias(f"id_{x}"), F.col("held").alias(f"held_{x}")) for x in "ab")
-    pairs = a.join(b, "family").filter("id_a <= id_b and not (id_a.main and id_b.main)").select("held_a", "held_b")
+    sets = texts.withColumn("slot", passing.slot(["first_id"])).mapInArrow(as_sets, "first_id long, key_hi long, key_lo long, shingles binary")
+    asked = dealt.select("family", "block", "class_id", F.col("first_id").alias("_id"), F.col("key_hi").alias("_hi"), F.col("key_lo").alias("_lo"))
+    found = sets.join(asked, F.col("first_id").eqNullSafe(F.col("_id")) & (F.col("key_hi") == F.col("_hi")) & (F.col("key_lo") == F.col("_lo")))
+    return cut(found.groupBy("family", "block").agg(F.array_sort(F.collect_set(F.struct("class_id", "shingles"))).alias("held")), "blocks")
+
+
+def links_in_blocks(blocks: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) that tie each class to the first of its component within its block."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edges = ([], [])
+            for held in batch.column(0).to_pylist():
+                ids = np.array([x["class_id"] for x in held])
+                root = local_roots([np.frombuffer(x["shingles"], U) for x in held], percent)
+                apart = np.flatnonzero(root != np.arange(len(ids)))
+                edges[0].extend(ids[apart].tolist())
+                edges[1].extend(ids[root[apart]].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in edges], names=["u", "v"])
+
+    return cut(blocks.select("held").mapInArrow(compare, "u long, v long"), "links")
+
+
+def links_between_blocks(blocks: DataFrame, dealt: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) that join what is linked across the blocks of families which still have several roots; roots: node, root.
+
+    Every pair of a family's blocks is compared in one task on the full sets, but for the sets that have the family's
+    main root on both sides. A task gives at most one edge a class.
+    """
+    large = dealt.filter("blocks > 1").select("family", "block", "class_id")
+    held = large.join(roots, large["class_id"] == roots["node"], "left").select("family", "block", "class_id", F.coalesce("root", "class_id").alias("root"))
+    held = cut(held, "rooted")
+    by_root = held.groupBy("family", "root").agg(F.count("*").alias("n"))
+    mixed = by_root.groupBy("family").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("family", "main")
+    rooted = join_unique(held, mixed, ["family"]).groupBy("family", "block", "main").agg(F.collect_list(F.struct("class_id", "root")).alias("rooted"))
+    full = cut(rooted.join(blocks, ["family", "block"]), "blocks")
+    ids = full.select("family", "block", F.exists("rooted", lambda x: x["root"] != F.col("main")).alias("mixed"))
+    a, b = (ids.select("family", F.col("block").alias(f"block_{x}"), F.col("mixed").alias(f"mixed_{x}")) for x in "ab")
+    pairs = a.join(b, "family").filter("block_a < block_b and (mixed_a or mixed_b)").select("family", "block_a", "block_b")
+    for x in "ab":
+        pairs = pairs.join(full.select("family", F.col("block").alias(f"block_{x}"), F.col("main").alias(f"main_{x}"), F.col("rooted").alias(f"rooted_{x}"), F.col("held").alias(f"held_{x}")), ["family", f"block_{x}"])
+
+    def side(rooted: list[dict], held: list[dict], main: int) -> tuple[list[int], list[int], list[np.ndarray], np.ndarray]:
+        root = {x["class_id"]: x["root"] for x in rooted}
+        names = [x["class_id"] for x in held]
+        tops = [root[x] for x in names]
+        return names, tops, [np.frombuffer(x["shingles"], U) for x in held], np.array([t != main for t in tops])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s, t = ([np.frombuffer(x["shingles"], U) for x in side] for side in (one, two))
-                same = overlaps(s, t)
-                n, m = np.array([len(x) for x in s]), np.array([len(x) for x in t])
-                edges, parent = [], {}
+            edges = ([], [])
+            for main, *columns in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                (a, p, s, f), (b, q, t, g) = side(columns[0], columns[1], main), side(columns[2], columns[3], main)
+                parent: dict[int, int] = {}
 
                 def top(x, parent=parent):
                     while parent.setdefault(x, x) != x:
                         parent[x] = x = parent[parent[x]]
                     return x
 
-                for i, j in zip(*np.nonzero(100 * same >= percent * (n[:, None] + m[None, :] - same))):
-                    u, v = one[i], two[j]
-                    if (p := top(u["root"])) != (q := top(v["root"])):
-                        parent[p] = q
-                        edges.append((u["class_id"], v["class_id"]))
-                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(2)], names=["u", "v"])
+                for i, j in ((np.flatnonzero(f), np.arange(len(b))), (np.flatnonzero(~f), np.flatnonzero(g))):
+                    if not len(i) or not len(j):
+                        continue
+                    same = overlaps([s[k] for k in i], [t[k] for k in j])
+                    n, m = (np.array([len(x[k]) for k in w]) for x, w in ((s, i), (t, j)))
+                    for x, y in zip(*np.nonzero(100 * same >= percent * (n[:, None] + m[None, :] - same))):
+                        if (one := top(p[i[x]])) != (two := top(q[j[y]])):
+                            parent[one] = two
+                            edges[0].append(a[i[x]])
+                            edges[1].append(b[j[y]])
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in edges], names=["u", "v"])
 
-    return cut(pairs.repartition(F.xxhash64("held_a.class_id", "held_b.class_id")).mapInArrow(compare, "u long, v long"), "links")
+    return cut(pairs.select("main_a", "rooted_a", "held_a", "rooted_b", "held_b").mapInArrow(compare, "u long, v long"), "links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, bands: int | None = None, rows: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, bands: int | None = None, rows: int | None = None, block_shingles: int = 100_000, block_classes: int = 1000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (equal sets).
 
     Rows without words, or with a null text, are linked with nothing: their component is their own doc_id. Equal sets are
-    one class whatever the row count. Repeated doc_ids share a result row each; a null doc_id is never the smallest
-    unless all of a component are null, and then that component_id is null and its rows are kept. An empty table gives an
-    empty table; columns beside doc_id and text are not read. Bands and rows follow `percent` where they are not given.
+    one class whatever the row count, told by 128 bits of a hash. Repeated doc_ids share a result row each; a null doc_id
+    is never the smallest unless all of a component are null, and then that component_id is null and its rows are kept.
+    An empty table gives an empty table; columns beside doc_id and text are not read. Bands and rows follow `percent`
+    where they are not given.
     """
     if bands is None or rows is None:
         bands, rows = banding(percent)
     signed = cut(signatures(docs, words, bands, rows), "signatures")
-    classes = cut(signed.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    grouped = signed.filter("key_hi is not null").groupBy("key_hi", "key_lo").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = cut(grouped.withColumn("class_id", F.monotonically_increasing_id()), "classes")
     banded = classes.select(F.explode("bands").alias("bucket"), "class_id")
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    stars, families = loose_families(cut(banded.join(shared, "bucket"), "buckets"), classes, percent, limit=most_bits(percent, bands * rows))
-    links = confirmed(stars, classes, docs, percent, words)
+    families = loose_families(cut(banded.join(shared, "bucket"), "buckets"), classes, percent, limit=most_bits(percent, bands * rows))
+    dealt = dealt_families(families, classes, block_shingles, block_classes)
+    blocks = family_sets(dealt, docs, words)
+    links = links_in_blocks(blocks, percent)
     roots = components(links)
-    families = cut(families.join(roots, families["class_id"] == roots["node"], "left").select("class_id", "family", F.coalesce("root", "class_id").alias("root")), "families")
-    more = links_within(families, classes, docs, percent, words)
+    more = links_between_blocks(blocks, dealt, roots, percent)
     if more.limit(1).count():
         roots = components(links.unionByName(more))
-    named = classes.select("class_id", "first_id").join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", "first_id", F.coalesce("root", "class_id").alias("root"))
+    named = classes.select("class_id", "key_hi", "key_lo", "first_id").join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", "key_hi", "key_lo", "first_id", F.coalesce("root", "class_id").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    found = cut(named.join(least, "root").select("class_id", "component_id", F.lit(True).alias("has_words")), "components")
-    out = signed.select("doc_id", "class_id", "n_shingles").join(found, "class_id", "left")
+    found = join_unique(cut(named, "named"), least, ["root"]).select("key_hi", "key_lo", "class_id", "component_id", F.lit(True).alias("has_words"))
+    out = join_unique(signed.select("doc_id", "key_hi", "key_lo", "n_shingles"), cut(found, "components"), ["key_hi", "key_lo"], "left")
     component = F.when(F.col("has_words"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class_id")
