@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomart.llm import minhash, packing, pii, toxicity
-from geomart.llm.common import cut
+from geomart.llm.common import Bitmap, cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,10 +15,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies (similarity 0.8 or more); rows that repeat both doc_id and text stay once."""
-    kept = minhash.near_duplicates(docs, percent=80).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    found = docs.withColumn("_key", F.md5(F.encode("text", "UTF-8"))).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return found.dropDuplicates(["doc_id", "_key"]).select(docs.columns)
+    """The document with the smallest doc_id of each group of near copies (similarity 0.8 or more); rows that repeat both doc_id and text stay once.
+
+    Documents without words and those with a null text stay. Texts are shuffled only of ids that go or occur several times.
+    """
+    found = minhash.near_duplicates(docs, percent=80).groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
+    unsure = cut(found.filter("n > 1 or not kept"), "unsure")
+    passing = Bitmap(unsure, ["doc_id"], unsure.count())
+    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    again = passing.split(named, ["_id"], True).withColumn("_key", F.md5(F.encode("text", "UTF-8")))
+    gone = unsure.filter("not kept").select(F.col("doc_id").alias("_gone"))
+    stay = again.join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti").dropDuplicates(["_id", "_key"])
+    return passing.split(named, ["_id"], False).select(docs.columns).unionByName(stay.select(docs.columns))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
