@@ -56,23 +56,22 @@ def running_total(df: DataFrame, by: list[str], order: list[str], value: Column,
     return d.join(sums, same, "left").withColumn(out, (F.col("_before") + F.col("_in")).cast("long")).drop("_b", "_v", "_s", "_in", "_before", *[f"_k{i}" for i in range(len(keys))])
 
 
-def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: int = 1000) -> DataFrame:
-    """left join right on `keys`, where each key stands in at most one row of right; how: inner, left or left_semi.
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: int = 1000, rows: int | None = None) -> DataFrame:
+    """left join right on `keys`, where each key stands in at most one row of right; how: inner or left.
 
     Keys with more than 1/share of left's rows are fewer than `share`, so their rows of right are broadcast and left's
-    rows of them stay where they are; all other rows are shuffled. left is read several times: it should lie on storage.
-    Null keys match nothing. With fewer than 5 x share rows no key is frequent enough to matter.
+    rows of them stay where they are; all other rows are shuffled. left is read several times: it should lie on storage;
+    `rows` is its number of rows, where that is known. Null keys match nothing. With fewer than 5 x share rows no key is
+    frequent enough to matter.
     """
-    total = left.count()
-    least = total // share if total >= 5 * share else 0
-    frequent = cut(left.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > F.lit(least)).drop("_n"), "frequent") if least else None
+    total = left.count() if rows is None else rows
     found = left.dropna(subset=keys)
-    if frequent is None:
-        out = found.join(right, keys, how)
-    else:
-        hot = right.join(F.broadcast(frequent), keys, "left_semi")
-        many = found.join(F.broadcast(frequent), keys, "left_semi").join(F.broadcast(hot), keys, how)
-        out = found.join(F.broadcast(frequent), keys, "left_anti").join(right, keys, how).unionByName(many)
+    frequent = found.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > F.lit(total // share)).select(*keys).collect() if total >= 5 * share else []  # fewer than `share`
+    if not frequent:
+        return left.join(right, keys, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(frequent, left.select(*keys).schema))
+    many = found.join(hot, keys, "left_semi").join(F.broadcast(right.join(hot, keys, "left_semi")), keys, how)
+    out = found.join(hot, keys, "left_anti").join(right, keys, how).unionByName(many)
     if how == "left":
         more = [f for f in right.schema.fields if f.name not in keys]
         none = left.filter(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])).select(*left.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in more])
