@@ -16,12 +16,12 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     very many neighbours is joined without a shuffle of these.
     """
     e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
+    mark = (e.count(),)
     for _ in range(limit):
         below = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
-        large = cut(join_unique(e, below, ["v"], "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), "edges")
+        large = cut(join_unique(e, below, ["v"], "left", rows=mark[0]).select("u", F.coalesce("m", "v").alias("v")).distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = join_unique(large, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        small = join_unique(large, least, ["u"], rows=mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         e = cut(small, "edges")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if now == mark:
