@@ -12,6 +12,13 @@ def open_new(uri: str):
     return store.open_output_stream(path)
 
 
+def read_all(uri: str) -> bytes:
+    """A whole file."""
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(path) as f:
+        return f.read()
+
+
 class Ranges:
     """read(uri, offset, length), keeping the last file open."""
 

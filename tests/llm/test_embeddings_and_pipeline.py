@@ -47,8 +47,35 @@ def test_small_world_recall():
     x = centres[rng.integers(0, 150, 3000)] + 0.2 * rng.normal(size=(3000, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     world = embed_dedup.SmallWorld(x)
-    found = sum(len(a) for a, _ in embed_dedup.links_of(world, x, np.arange(3000) % 100 == 0, 0.99, 64))
-    assert found >= 0.97 * int((x @ x.T >= embed_dedup.LEAST).sum())
+    true, found = x @ x.T >= embed_dedup.LEAST, embed_dedup.linked(world, x, 64)
+    assert found.sum() >= 0.97 * true.sum() and not (found & ~true).any()
+    links, wanted, near, asked = embed_dedup._audited(found, world, {"x": x, "audit": np.arange(3000) % 100 == 0}, 64, True)
+    assert 0.9 * wanted <= links <= wanted and 0.9 * asked <= near <= asked == 30
+
+
+def test_rows_without_a_way_in_are_connected():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.eye(16)[[k]] + 0.01 * rng.normal(size=(60, 16)) for k in range(16)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    world = embed_dedup.SmallWorld(x, degree=3, beam=4)
+    front, reached = {int(world.order[0])}, set()
+    while front:
+        reached |= front
+        front = {int(j) for i in front for j in world.layers[0][i] if j >= 0} - reached
+    assert len(reached) == len(x)
+
+
+def test_a_group_larger_than_the_beam_is_found_whole(spark):
+    rng = np.random.default_rng(6)
+    near = rng.normal(size=16)
+    rows = [(k, (near + 0.05 * rng.normal(size=16)).tolist(), 1) for k in range(700)] + [(1000 + k, rng.normal(size=16).tolist(), 1) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n = (x @ x.T >= 0.93).sum(1) - 1
+    for size in (300, 8192):
+        found = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(df, shard_rows=size).collect()}
+        assert found == {r[0]: int(c) for r, c in zip(rows, n)}
 
 
 def test_pipeline_drops_copies_between_80_and_85(spark):
