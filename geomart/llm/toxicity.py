@@ -1,11 +1,16 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a linear support vector machine on sentences.
 
-Strings are compared by the three-letter subsequences they share, each weighted by DECAY to the power of its span, so an
-insult with gaps or inserted characters stays close to its plain form. Landmarks are words and word beginnings that mark
-toxic texts of the training fold. A sentence is described by the best kernel value of its words' windows with each landmark, and
-once more by those values that only windows amid a word reach: training rows tell how much these count. Both are
-whitened by the landmarks' own kernel matrix; a squared-hinge machine separates sentences of clean texts from the
-suspect sentences of toxic ones. A text scores by its worst sentence.
+Two strings of at most WIDTH letters are compared by the three-letter subsequences they share, each weighted by DECAY to
+the power of its span, divided by what as many distinct letters would have with themselves: an insult with gaps or
+inserted characters stays close to its plain form. The kernel of two sentences is the sum, over the windows of their words, of a power
+of that value (products and sums of kernels are kernels), plus the same sum over the windows that lie inside a word, so
+training rows can tell how much those count. Landmarks are words and word beginnings that mark toxic texts of the training
+fold; a sentence's kernel values with them, whitened by the landmarks' own kernel matrix, are its Nystroem features.
+
+A squared-hinge machine is trained on the labelled sentences: all of those of clean texts, and of each toxic text the
+one that the machine of the step before finds worst. Spark tasks sum up its Newton steps, so no sentence is left out and
+none reaches the driver. The power is chosen on an inner split of the training fold. A text scores by its worst sentence
+and by how many come near.
 
 Training reads a bounded sample of labelled rows (`sample_rows`); everything else is done for every text, as a whole.
 """
@@ -13,11 +18,13 @@ Training reads a bounded sample of labelled rows (`sample_rows`); everything els
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -30,15 +37,16 @@ from .common import cut
 DECAY = 0.7
 WIDTH = 10
 WINDOWS = (4, 5, 6, 8, 10)
-NEAR = 0.6
-#: Sentences of toxic texts are positive examples if a word of theirs is this close to a landmark.
-CLOSE = 0.9
+#: Powers of the string kernel among which the inner split chooses; powers of 2.
+POWERS = (8, 16)
 #: A landmark's rate among clean texts is at most this share of its rate among toxic ones.
-PURE = 0.02
-TRIPLES = np.array(list(combinations(range(WIDTH), 3)))
-SPANS = (DECAY ** (TRIPLES[:, 2] - TRIPLES[:, 0] + 1)).astype(np.float32)
+PURE = 0.2
 #: Expected number of units, of all that are tested, that pass as a mark of toxic texts by chance.
 CHANCE = 0.1
+#: Powers of kernel values below this count as 0.
+TINY = 1 / 1024
+#: Letters of a word that are taken at a time.
+PIECE = 20_000
 LEET = str.maketrans("013457", "oieast")
 SENTENCE = re.compile(r"[.!?\n]+")
 SPACED = re.compile(r"(?<!\S)\w(?:[ ._*-]\w){2,}(?!\S)")
@@ -53,154 +61,144 @@ def plain(word: str) -> str:
     return word if word.isalpha() and word.isascii() else LETTERS.sub("", word.translate(LEET))
 
 
-def coded(strings: list[str]) -> np.ndarray:
-    """Rows of WIDTH letter codes, 0 where a string has ended."""
-    raw = np.frombuffer("".join(s[:WIDTH].ljust(WIDTH, "\0") for s in strings).encode("latin-1"), np.uint8).reshape(-1, WIDTH)
-    return np.where(raw, raw - 96, 0).astype(np.int32) if len(raw) else np.zeros((0, WIDTH), np.int32)
+def letter_codes(text: str) -> np.ndarray:
+    """1 to 26 for letters, 0 for NUL."""
+    raw = np.frombuffer(text.encode("latin-1"), np.uint8)
+    return np.where(raw, raw - 96, 0).astype(np.int32)
 
 
-def triples(codes: np.ndarray, letters: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and weights of the three-letter subsequences of each row's first letters."""
-    within = TRIPLES[:, 2] < letters
-    a, b, c = (codes[:, TRIPLES[within, k]] for k in range(3))
-    return (a << 10) | (b << 5) | c, np.where(c > 0, SPANS[within], np.float32(0))
-
-
-def windows(word: str) -> set[str]:
-    """The word and, where it is longer, its windows."""
-    return {word} if len(word) <= WINDOWS[0] else {word[i : i + n] for n in WINDOWS for i in range(max(1, len(word) - n + 1))}
-
-
-def ends(word: str) -> set[str]:
-    """The windows at the word's beginning and end."""
-    return {x for n in WINDOWS for x in (word[:n], word[-n:])}
+def distinct_norm(n: int) -> float:
+    """Length of the feature vector of n distinct letters."""
+    return math.sqrt(sum((k - 1) * (n - k) * DECAY ** (2 * (k + 1)) for k in range(2, n)))
 
 
 class Kernel:
-    """rows(words) -> normalized kernel values with each landmark; below NEAR they count as 0."""
+    """values(words) -> for each word the sum of the kernel's `power` over its windows with each landmark, then the same over the windows that touch neither end.
 
-    def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
-        code, weight = triples(coded(landmarks))
+    A window whose value can't reach TINY with any landmark adds nothing; a bound by single numbers tells most of them.
+    """
+
+    def __init__(self, landmarks: list[str], power: int):
+        self.landmarks, self.power = landmarks, power
         table = np.zeros((1 << 15, len(landmarks)), np.float32)
-        for j in range(len(landmarks)):
-            np.add.at(table[:, j], code[j], weight[j])
-        table[0] = 0
-        norms = np.sqrt((table.astype(np.float64) ** 2).sum(0))
-        self.table = (table / np.where(norms > 0, norms, 1)).astype(np.float32)
-        self.most = self.table.max(axis=1) if len(landmarks) else np.zeros(1 << 15, np.float32)
-
-    def values(self, strings: list[str]) -> np.ndarray:
-        """Exact normalized values, zero where the upper bound over all landmarks stays below NEAR."""
-        out = np.zeros((len(strings), len(self.landmarks)), np.float32)
-        lengths = np.fromiter((min(len(s), WIDTH) for s in strings), np.int64, len(strings))
-        for letters in np.unique(lengths):
-            alike = np.flatnonzero(lengths == letters)
-            for at in range(0, len(alike), 4096):
-                part = alike[at : at + 4096]
-                code, weight = triples(coded([strings[i] for i in part]), int(letters))
-                bound = (weight * self.most[code]).sum(1)
-                size = np.sqrt((weight**2).sum(1))  # at most the norm: equal codes only add to that
-                for i in np.flatnonzero(bound >= NEAR * np.maximum(size, 1e-9)):
-                    if size[i] > 0:
-                        _, inverse = np.unique(code[i], return_inverse=True)
-                        norm = np.sqrt((np.bincount(inverse, weight[i]) ** 2).sum())
-                        out[part[i]] = weight[i] @ self.table[code[i]] / norm
-        out[out < NEAR] = 0
+        for j, word in enumerate(landmarks):
+            c = letter_codes(word[:WIDTH])
+            for i, m, k in combinations(range(len(c)), 3):
+                table[(c[i] << 10) | (c[m] << 5) | c[k], j] += DECAY ** (k - i + 1)
+            table[:, j] /= distinct_norm(len(c))
+        self.table = table
+        self.most = table.max(axis=1) if landmarks else np.zeros(1 << 15, np.float32)
+
+    def values(self, words: list[str], most: int = 100_000) -> np.ndarray:
+        out = np.zeros((len(words), 2 * len(self.landmarks)), np.float32)
+        held: list[tuple[int, int, str]] = []
+        size = 0
+        for i, w in enumerate(words):
+            for at in range(0, len(w), PIECE):
+                held.append((i, at, w[at : at + PIECE + WIDTH - 1]))
+                size += len(held[-1][2]) + WIDTH
+            if size > most:
+                self._add(out, words, held)
+                held, size = [], 0
+        self._add(out, words, held)
         return out
 
-    def rows(self, words: list[str], most: int = 200_000) -> dict[str, np.ndarray]:
-        """The words with a value above 0, each with its best values over its windows, then those of them that its beginnings and ends don't reach, else 0."""
-        owners: dict[str, list[str]] = {}
-        best: dict[str, np.ndarray] = {}
-        outer: dict[str, np.ndarray] = {}
-
-        def compare() -> None:
-            strings = list(owners)
-            values = self.values(strings)
-            for i in np.flatnonzero(values.any(axis=1)):
-                for w in owners[strings[i]]:
-                    best[w] = np.maximum(best.get(w, 0), values[i])
-                    if strings[i] in ends(plain(w)):
-                        outer[w] = np.maximum(outer.get(w, 0), values[i])
-            owners.clear()
-
-        for w in words:
-            p = plain(w)
-            if len(p) >= 3:
-                for at in range(0, max(1, len(p) - WIDTH + 1), most // 8):  # a word of any length, piece by piece
-                    for x in windows(p[at : at + most // 8 + WIDTH - 1]):
-                        owners.setdefault(x, []).append(w)
-                    if len(owners) > most:
-                        compare()
-        compare()
-        return {w: np.concatenate([v, np.where(v > outer.get(w, 0), v, np.float32(0))]) for w, v in best.items()}
-
-
-class Reader:
-    """pooled(texts) -> for each text the kernel rows of its sentences that have any value above 0."""
-
-    def __init__(self, kernel: Kernel, cache_entries: int = 500_000):
-        self.kernel, self.limit = kernel, cache_entries
-        self.clean: set[str] = set()
-        self.hot: dict[str, np.ndarray] = {}
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        found = text.split()
-        return [*found, *(LETTERS.sub("", m) for m in SPACED.findall(text))]
-
-    def pooled(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.clean) > self.limit:
-            self.clean.clear()
-        lowered = [t.lower() for t in texts]
-        sets = [set(self.words(t)) for t in lowered]
-        new = list(set().union(*sets) - self.clean - self.hot.keys()) if sets else []
-        self.hot.update(self.kernel.rows(new))
-        self.clean.update(w for w in new if w not in self.hot)
-        out = []
-        for text, seen in zip(lowered, sets):
-            if seen.isdisjoint(self.hot):
-                out.append(np.zeros((0, 2 * len(self.kernel.landmarks)), np.float32))
-                continue
-            rows = []
-            for sentence in SENTENCE.split(text):
-                hits = [self.hot[w] for w in self.words(sentence) if w in self.hot]
-                if hits:
-                    rows.append(np.max(hits, axis=0))
-            if not rows:  # a hit that only stands across sentence ends
-                rows.append(np.max([self.hot[w] for w in seen if w in self.hot], axis=0))
-            out.append(np.array(rows))
-        return out
+    def _add(self, out: np.ndarray, words: list[str], held: list[tuple[int, int, str]]) -> None:
+        if not held or not self.landmarks:
+            return
+        codes = letter_codes(("\0" * WIDTH).join(x[2] for x in held) + "\0" * 2 * WIDTH)
+        lengths = np.array([len(x[2]) for x in held])
+        first = np.cumsum(np.append(0, lengths[:-1] + WIDTH))
+        piece = np.repeat(np.arange(len(held)), lengths)
+        start = np.arange(len(piece)) - np.repeat(np.append(0, np.cumsum(lengths)[:-1]) - first, lengths)  # positions of letters
+        place = start - first[piece]
+        begins = place < PIECE
+        place += np.array([x[1] for x in held])[piece]
+        whole = np.array([len(words[x[0]]) for x in held])[piece]
+        owner = np.array([x[0] for x in held])[piece]
+        n, bound = len(codes) - WIDTH, np.zeros((WIDTH, len(codes)), np.float32)  # [k, i]: of the subsequences that begin at i and end at most k later
+        for k in range(2, WIDTH):
+            bound[k] = bound[k - 1]
+            pair = codes[:n] << 10 | codes[k : n + k]
+            for j in range(1, k):
+                bound[k, :n] += np.float32(DECAY ** (k + 1)) * self.most[pair | codes[j : n + j] << 5]
+        m = len(self.landmarks)
+        for length in range(3, WIDTH + 1):
+            norm = np.float32(distinct_norm(length))
+            at = np.flatnonzero(begins & (place + length <= whole) & ((whole == length) | (length in WINDOWS)))
+            at = at[sum(bound[length - 1 - t, start[at] + t] for t in range(length - 2)) >= norm * np.float32(TINY ** (1 / self.power))]
+            for some in np.array_split(at, len(at) // 4096 + 1):
+                value = np.zeros((len(some), m), np.float32)
+                for i, j, k in combinations(range(length), 3):
+                    value += np.float32(DECAY ** (k - i + 1)) * self.table[codes[start[some] + i] << 10 | codes[start[some] + j] << 5 | codes[start[some] + k]]
+                value /= norm
+                for _ in range(self.power.bit_length() - 1):
+                    value *= value
+                value[value < TINY] = 0
+                np.add.at(out[:, :m], owner[some], value)
+                inner = (place[some] > 0) & (place[some] + length < whole[some])
+                np.add.at(out[:, m:], owner[some][inner], value[inner])
+
+
+def sentences(text: str | None) -> list[list[str]]:
+    """The words of each sentence; letters that stand apart count as one word."""
+    lowered = SPACED.sub(lambda x: LETTERS.sub("", x.group()), (text or "").lower())
+    return [s.split() for s in SENTENCE.split(lowered)]
+
+
+def whitened(kernel: Kernel) -> np.ndarray:
+    """The map from kernel values to Nystroem features: inverse roots of the landmarks' kernel matrix, once for each of the two sums."""
+    strings = kernel.table.T.astype(float) @ kernel.table.astype(float)
+    value, vector = np.linalg.eigh(strings**kernel.power)
+    keep = value > 1e-6 * value.max()
+    return np.kron(np.eye(2), vector[:, keep] / np.sqrt(value[keep]))
 
 
 @dataclass(frozen=True)
 class Model:
     landmarks: list[str]
+    power: int
     weights: np.ndarray  # of the kernel values: the whitening is folded in
     bias: float
-    curve: np.ndarray  # of evidence(), with a constant last
+    curve: np.ndarray  # of evidence()
 
-    def evidence(self, rows: np.ndarray) -> np.ndarray:
-        """Margin of the worst sentence and a constant."""
-        return np.array([max(self.bias, float((rows @ self.weights).max()) + self.bias) if len(rows) else self.bias, 1.0])
+    def score(self, evidence: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.curve @ evidence, -500, 500))))
 
-    def score(self, rows: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.evidence(rows) @ self.curve, -500, 500))))
 
+def evidence(values: np.ndarray, bias: float, blank: int = 0) -> np.ndarray:
+    """What a text's sentence values tell: the worst sentence's margin, how far sentences exceed the margin of clean ones in total, their number, and a constant; `blank` more sentences have value 0."""
+    total = np.maximum(0.0, values + bias + 1).sum() + blank * max(0.0, bias + 1)
+    return np.array([bias + max(0.0, values.max(initial=0.0)), np.log1p(total), np.log1p(len(values) + blank), 1.0])
 
-def fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Squared-hinge linear machine by Newton steps on the rows inside the margin; x ends with a column of ones."""
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        inside = y * (x @ w) < 1
-        a, t = x[inside] * weight[inside, None], y[inside]
-        h = a.T @ x[inside] + ridge * np.diag([1.0] * (len(w) - 1) + [1e-6])
-        new = np.linalg.solve(h + 1e-10 * np.eye(len(w)), a.T @ t)
-        if np.allclose(new, w, atol=1e-9):
-            break
-        w = new
-    return w
+
+class Reader:
+    """evidence(texts) of each text's sentences."""
+
+    def __init__(self, model: Model, cache_entries: int = 1_000_000):
+        self.model, self.limit = model, cache_entries
+        self.kernel = Kernel(model.landmarks, model.power)
+        self.known: dict[str, float] = {}
+
+    def evidence(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not self.model.landmarks:
+            return [np.array([0.0, 0.0, 0.0, 1.0])] * len(texts)
+        if len(self.known) > self.limit:
+            self.known.clear()
+        split = [sentences(t) for t in texts]
+        new = list({w for text in split for sentence in text for w in sentence} - self.known.keys())
+        forms = [plain(w) for w in new]
+        distinct = list(dict.fromkeys(forms))
+        value = dict(zip(distinct, (self.kernel.values(distinct) @ self.model.weights).tolist()))
+        self.known.update((w, value[f]) for w, f in zip(new, forms))
+        get = self.known.__getitem__
+        return [evidence(np.array([sum(map(get, s)) for s in text if s]), self.model.bias) for text in split]
+
+
+@lru_cache(maxsize=2)
+def worker_reader(model: bytes) -> Reader:
+    """One for each model and Python worker: later tasks of the worker find its words known."""
+    return Reader(pickle.loads(model))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
@@ -257,13 +255,14 @@ def by_chance(toxic: int, clean: int, share: float) -> float:
     return float(np.logaddexp.reduce(terms))
 
 
-def choose_landmarks(candidates: list[str], held: list[list[int]], least: int = 2) -> list[str]:
-    """Candidates until fewer than `least` of the toxic texts that hold any are left without one; held: positions of each text's candidates.
+def choose_landmarks(candidates: list[str], held: list[list[int]], times: int = 3, least: int = 5) -> list[str]:
+    """Candidates so that toxic texts hold `times` of them where they can, until the next would add to fewer than `least` texts; held: positions of each text's candidates.
 
-    The next is the one in most texts left, and of those that begin with it the longest that is in half as many.
+    The next is the one in most texts that still lack some, and of those that begin with it the longest that is in half as many.
     """
     text = np.repeat(np.arange(len(held)), [len(x) for x in held])
     unit = np.array([u for x in held for u in x], np.int64)
+    had = np.zeros(len(held), np.int64)
     chosen: list[str] = []
     while len(unit):
         counts = np.bincount(unit, minlength=len(candidates))
@@ -272,8 +271,10 @@ def choose_landmarks(candidates: list[str], held: list[list[int]], least: int =
         first = candidates[min(np.flatnonzero(counts == most), key=lambda i: (-len(candidates[i]), candidates[i]))]
         i = max((i for i in np.flatnonzero(2 * counts >= most) if candidates[i].startswith(first)), key=lambda i: (len(candidates[i]), counts[i], candidates[i]))
         chosen.append(candidates[i][:WIDTH])
-        left = ~np.isin(text, text[unit == i])
-        text, unit = text[left], unit[left]
+        had[text[unit == i]] += 1
+        alike = np.array([c.startswith(candidates[i]) or candidates[i].startswith(c) for c in candidates])
+        stay = (had[text] < times) & ~alike[unit]
+        text, unit = text[stay], unit[stay]
     return list(dict.fromkeys(chosen))
 
 
@@ -298,53 +299,125 @@ def marks_of(sample: DataFrame) -> list[str]:
     return choose_landmarks(candidates, [row["held"] for row in texts.filter("toxic = 1").select("text").mapInArrow(hold, "held array<long>").collect()])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, sentences: int = 20) -> Model:
-    """Fits on at most sample_rows labelled texts and, of each, its `sentences` most suspect sentences. Without labels of both kinds every text scores 0.5 at most."""
+def described(sample: DataFrame, marks: list[str], power: int) -> DataFrame:
+    """toxic, inner, blank, rows of each text of sample: kernel values of its sentences in steps of 1/1024, 32-bit floats in one binary, and the number of sentences whose values are all 0 by that; inner: in the inner test fold."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel, known, seen = Kernel(marks, power), {}, set()  # of the words seen, known has those with a value
+        none = np.zeros((1, 2 * len(marks)), np.float32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                split = [sentences(x.as_py()) for x in part.column(0)]
+                new = list({w for text in split for s in text for w in s} - seen)
+                values = kernel.values([plain(w) for w in new])
+                seen.update(new)
+                known.update((new[i], values[i]) for i in np.flatnonzero(values.any(axis=1)))
+                sums = [[np.sum([known[w] for w in s if w in known] or none, axis=0) for s in text if s] for text in split]
+                rows = [np.round(np.array(x, np.float32).reshape(-1, 2 * len(marks)) * 1024) / np.float32(1024) for x in sums]
+                held = [r[r.any(axis=1)] for r in rows]
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([len(r) - len(h) for r, h in zip(rows, held)], pa.int32()), pa.array([h.tobytes() for h in held], pa.binary())], names=["toxic", "inner", "blank", "rows"])
+                if len(seen) > 1_000_000:
+                    known.clear()
+                    seen.clear()
+
+    inner = F.crc32(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))) % 5 == 0
+    return cut(sample.select("text", "toxic", inner.alias("inner")).mapInArrow(describe, "toxic int, inner boolean, blank int, rows binary"), "described")
+
+
+def _bags(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    for batch in batches:
+        for toxic, blank, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            yield toxic, blank, np.frombuffer(rows.as_buffer(), np.float32).reshape(-1, width).astype(float)
+
+
+def fit_machine(bags: DataFrame, whiten: np.ndarray, ridge: float = 1e-3, rounds: int = 10) -> tuple[np.ndarray, float]:
+    """Weights of the kernel values and bias of a squared-hinge machine over the sentences of bags (toxic, rows), by Newton steps that tasks sum up.
+
+    Of a toxic text the sentence that scores best so far counts, at first the one with the largest sum of values; of
+    clean texts all do. Both kinds of texts weigh the same in total.
+    """
+    counts = {r["toxic"]: r["count"] for r in bags.groupBy("toxic").count().collect()}
+    width, size = whiten.shape[0], whiten.shape[1] + 1
+    w: np.ndarray | None = None
+    for k in range(rounds):
+
+        def step(batches: Iterator[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
+            h, g = np.zeros((size, size)), np.zeros(size)
+            for toxic, blank, rows in _bags(batches, width):
+                rows = np.concatenate([rows, np.zeros((1 if blank or not len(rows) else 0, width))])  # blank ones are alike
+                times = np.ones(len(rows))
+                if blank:
+                    times[-1] = blank
+                x = np.concatenate([rows @ whiten, np.ones((len(rows), 1))], axis=1)
+                f = rows[:, : width // 2].sum(1) if w is None else x @ w
+                if toxic:
+                    x, f, times = x[[f.argmax()]], f[[f.argmax()]], np.ones(1)
+                y = 1.0 if toxic else -1.0
+                inside = np.ones(len(x), bool) if w is None else y * f < 1
+                a = x[inside] * times[inside, None]
+                h += a.T @ x[inside] / counts[toxic]
+                g += y * a.sum(0) / counts[toxic]
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([h.ravel(), g]).tobytes()], pa.binary())], names=["sums"])
+
+        sums = sum(np.frombuffer(r["sums"]) for r in bags.select("toxic", "blank", "rows").mapInArrow(step, "sums binary").collect())  # a small matrix for each task
+        h, g = sums[:-size].reshape(size, size), sums[-size:]
+        new = np.linalg.solve(h + ridge * np.diag([1.0] * (size - 1) + [1e-6]) + 1e-12 * np.eye(size), g)
+        if w is not None and np.allclose(new, w, atol=1e-4 * np.abs(new).max()):
+            break
+        w = new if w is None else (w + new) / 2 if k > 4 else new
+    return whiten @ new[:-1], float(new[-1])
+
+
+def told(bags: DataFrame, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
+    """toxic and the evidence of each bag; five numbers for each row of a bounded sample."""
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(toxic, evidence(x @ weights, bias, blank).tolist()) for toxic, blank, x in _bags(batches, len(weights))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["toxic", "evidence"])
+
+    found = bags.select("toxic", "blank", "rows").mapInArrow(rate, "toxic int, evidence array<double>").collect()
+    return np.array([r["toxic"] for r in found]), np.array([r["evidence"] for r in found]).reshape(-1, 4)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> Model:
+    """Fits on at most sample_rows labelled texts. Without labels of both kinds every text scores below 0.5."""
     sample = cut(training_rows(docs, labels, sample_rows), "training")
     by_label = {row["toxic"]: row["count"] for row in sample.groupBy("toxic").count().collect()}
     n1, n0 = by_label.get(1, 0), by_label.get(0, 0)
+    constant = lambda odds: Model([], POWERS[0], np.zeros(0), 0.0, np.array([0.0, 0.0, 0.0, min(-1e-6, odds)]))
     if not n1 or not n0:
-        return Model([], np.zeros(0), 0.0, np.array([0.0, -1e-6]))
+        return constant(-1e-6)
     marks = marks_of(sample)
     if not marks:
-        return Model([], np.zeros(0), 0.0, np.array([0.0, min(-1e-6, float(np.log(n1 / n0)))]))
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(Kernel(marks))
-        for batch in batches:
-            pooled = reader.pooled([x.as_py() or "" for x in batch.column(0)])
-            kept = [p[np.argsort(-p.max(axis=1), kind="stable")[:sentences]].astype(np.float32).ravel() if len(p) else p.ravel() for p in pooled]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(kept, pa.list_(pa.float32()))], names=["toxic", "rows"])
-
-    bags = [(row["toxic"], np.array(row["rows"], float).reshape(-1, 2 * len(marks))) for row in sample.mapInArrow(describe, "toxic int, rows array<float>").collect()]
-    gram = Kernel(marks).table.T.astype(float) @ Kernel(marks).table
-    value, vector = np.linalg.eigh(gram)
-    keep = value > 1e-6 * value.max()
-    whiten = np.kron(np.eye(2), vector[:, keep] / np.sqrt(value[keep]))
-    clean = [r for toxic, rows in bags if not toxic for r in rows]
-    negatives = np.array([*clean, *np.zeros((1, 2 * len(marks)))])
-    suspect = np.array([r for toxic, rows in bags if toxic for r in rows if r.max() >= CLOSE]).reshape(-1, 2 * len(marks))
-    x = np.concatenate([suspect, negatives]) @ whiten
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    y = np.concatenate([np.ones(len(suspect)), -np.ones(len(negatives))])
-    balance = np.full(len(x), 1 / max(1, len(suspect)))
-    balance[-1] = 0.5  # the zero row stands for all sentences without a suspect word
-    w = fit_machine(x, y, balance, ridge=1e-7)
-    weights, bias = whiten @ w[:-1], float(w[-1])
-    raw = Model(marks, weights, bias, np.zeros(2))
-    curve = fit_logistic(np.array([raw.evidence(rows) for _, rows in bags]), np.array([toxic for toxic, _ in bags]))
-    return Model(marks, weights, bias, curve)
+        return constant(float(np.log(n1 / n0)))
+    best = None
+    for power in POWERS:
+        bags, whiten = described(sample, marks, power), whitened(Kernel(marks, power))
+        weights, bias = fit_machine(bags.filter("not inner"), whiten)
+        toxic, x = told(bags.filter("not inner"), weights, bias)
+        curve = fit_logistic(x, toxic)
+        toxic, x = told(bags.filter("inner"), weights, bias)
+        odds = np.clip(x @ curve, -30, 30)
+        result = (int(((odds >= 0) != toxic).sum()), float(np.log1p(np.exp(np.where(toxic, -odds, odds))).sum()), power)
+        if best is None or result < best[0]:
+            best = (result, bags, whiten)
+    (_, _, power), bags, whiten = best
+    weights, bias = fit_machine(bags, whiten)
+    toxic, x = told(bags, weights, bias)
+    return Model(marks, power, weights, bias, fit_logistic(x, toxic))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """docs' doc_id with score and predicted, from the whole text alone."""
+    held = pickle.dumps(model)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(Kernel(model.landmarks))
+        reader = worker_reader(held)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                s = [model.score(p) for p in reader.pooled([x.as_py() or "" for x in part.column(1)])]
+                s = [model.score(x) for x in reader.evidence(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rate, "doc_id long, score double, predicted int")
@@ -362,14 +435,15 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, whose text scores below 0.5."""
+    """The rows of docs, all columns, whose text scores below 0.5; null and empty texts stay unless the model rejects texts without words."""
+    held = pickle.dumps(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(Kernel(model.landmarks))
+        reader = worker_reader(held)
         for batch in batches:
             texts = batch.column(batch.schema.names.index("text"))
             for at in range(0, batch.num_rows, 1000):
-                fine = [model.score(p) < 0.5 for p in reader.pooled([x.as_py() or "" for x in texts.slice(at, 1000)])]
+                fine = [model.score(x) < 0.5 for x in reader.evidence(texts.slice(at, 1000).to_pylist())]
                 yield batch.slice(at, 1000).filter(pa.array(fine, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
