@@ -8,10 +8,12 @@ stay near certain and that many distinct seeds support mark the unseen values th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_unique
 
 #: Fixed forms, written without backtracking; a match can only begin where a run of its first characters begins or the last match ended.
 FORMS = {
@@ -27,27 +29,53 @@ LOOSE = {
     "card": r"(?<![0-9A-Za-z+])[0-9](?:[\x20.-]?[0-9]){11,18}+(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}+(?![0-9A-Za-z])",
 }
+#: Characters of context on either side; a word that isn't whole within them is no part of a pattern.
 CONTEXT = 48
+SPAN = "struct<begin:int,end:int,value:string,left:string,right:string>"
+
+
+def running(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The array of results (of type `kind`) of a fold over items: step(state, item) gives the next state and the item's result.
+
+    Arrays grow by copies, so the fold goes over chunks of about the root of the number of items: the copies then grow
+    with its power of 1.5 only.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items).cast("double"))).cast("int"))
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(items) / size).cast("int") - 1)), lambda k: F.slice(items, k * size + 1, size))
+
+    def one(acc: Column, item: Column) -> Column:
+        after, result = step(acc["state"], item)
+        return F.struct(after.alias("state"), F.concat(acc["out"], F.array(result)).alias("out"))
+
+    def chunk(acc: Column, held: Column) -> Column:
+        start = F.struct(F.element_at(acc, -1)["state"].alias("state"), none.alias("out"))
+        return F.concat(acc, F.array(F.aggregate(held, start, one)))
+
+    done = F.aggregate(chunks, F.array(F.struct(state.alias("state"), none.alias("out"))), chunk)
+    return F.flatten(F.transform(done, lambda x: x["out"]))
 
 
 def located(text: Column, form: str) -> Column:
-    """array of (begin, end, value, left, right) of the form's matches: code points from 0, and the text around."""
+    """array of (begin, end, value, left, right) of the form's matches: code points from 0, and the text around, up to the next match."""
     gaps, values = F.split(text, form, -1), F.regexp_extract_all(text, F.lit(form), F.lit(0))
-    items = F.zip_with(
-        values,
-        F.slice(gaps, F.lit(1), F.size(values)),
-        lambda v, gap: F.struct(v.alias("value"), F.length(gap).alias("gap"), F.right(gap, F.lit(CONTEXT)).alias("left")),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int,value:string,left:string,right:string>>").alias("found"))
 
-    def step(acc: Column, i: Column) -> Column:
-        begin = acc["at"] + i["gap"]
+    def tail(gap: Column) -> Column:
+        near = F.right(gap, F.lit(CONTEXT))
+        return F.when(F.length(gap) > CONTEXT, F.regexp_replace(near, r"^\S+", "")).otherwise(near)
+
+    def head(gap: Column) -> Column:
+        near = F.left(gap, F.lit(CONTEXT))
+        return F.when(F.length(gap) > CONTEXT, F.regexp_replace(near, r"\S+$", "")).otherwise(near)
+
+    items = F.transform(values, lambda v, i: F.struct(v.alias("value"), F.length(F.get(gaps, i)).alias("gap"), tail(F.get(gaps, i)).alias("left"), head(F.get(gaps, i + 1)).alias("right")))
+
+    def step(at: Column, i: Column) -> tuple[Column, Column]:
+        begin = at + i["gap"]
         end = begin + F.length(i["value"])
-        right = F.left(F.element_at(gaps, F.size(acc["found"]) + 2), F.lit(CONTEXT))
-        one = F.struct(begin.alias("begin"), end.alias("end"), i["value"].alias("value"), i["left"].alias("left"), right.alias("right"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+        return end, F.struct(begin.alias("begin"), end.alias("end"), i["value"].alias("value"), i["left"].alias("left"), i["right"].alias("right"))
 
-    return F.aggregate(items, start, step, lambda acc: acc["found"])
+    return running(items, F.lit(0), SPAN, step)
 
 
 def digits(value: Column) -> Column:
@@ -76,7 +104,7 @@ def _of_kind(kind: str):
 def base_spans(docs: DataFrame, loose: bool = False) -> DataFrame:
     """doc_id, text_key and, for each kind, an array of (begin, end, value, left, right): `email` and so on; with `loose` also `loose_email` and so on."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.array().cast("array<struct<begin:int,end:int,value:string,left:string,right:string>>")
+    none = F.array().cast(f"array<{SPAN}>")
     may = {"email": text.contains("@") | F.lower(text).rlike(r"[(\[]at[)\]]") if loose else text.contains("@"), "ip": text.rlike("[0-9]"), "card": text.rlike("[0-9]{2}|[0-9][ -][0-9]"), "phone": text.rlike("[0-9]") if loose else text.contains("+")}
     found = {k: F.filter(F.when(may[k], located(text, f)).otherwise(none), _true_of(k)).alias(k) for k, f in FORMS.items()}
     wide = {f"loose_{k}": F.when(may[k], located(text, f)).otherwise(none).alias(f"loose_{k}") for k, f in LOOSE.items()} if loose else {}
@@ -98,40 +126,45 @@ def instances(spans: DataFrame) -> DataFrame:
     return out.select("text_key", "kind", F.col("x.begin"), F.col("x.end"), F.col("x.value"), F.col("x.left"), F.col("x.right"), F.col("x.seed"))
 
 
-def patterns(found: DataFrame) -> DataFrame:
-    """kind, pattern, value, seed: the edges of the graph, each once. A pattern is the word or two words before, or the word before and the one after."""
+def placed_patterns(found: DataFrame) -> DataFrame:
+    """text_key, kind, begin, end, plain, seed, pattern: the lexical patterns around each place. A pattern is the word or two words before, or the word before and the one after."""
     before = F.regexp_extract_all(F.lower("left"), F.lit(r"\S+"), F.lit(0))
     one = F.element_at(before, -1)
     two = F.when(F.size(before) > 1, F.concat_ws(" ", F.element_at(before, -2), one))
     after = F.regexp_extract(F.lower("right"), r"\S+", 0)
     kinds = F.array(F.concat(F.lit("1:"), one), F.concat(F.lit("2:"), two), F.when(after != "", F.concat(F.lit("3:"), one, F.lit(" _ "), after)))
-    known = found.filter(F.size(before) > 0).withColumn("value", F.lower(F.regexp_replace("value", r"[\x20().-]", "")))
-    return known.select("kind", F.explode(F.array_compact(kinds)).alias("pattern"), "value", "seed").groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed"))
+    plain = F.lower(F.regexp_replace("value", r"[\x20().-]", ""))
+    return found.filter(F.size(before) > 0).select("text_key", "kind", "begin", "end", plain.alias("plain"), "seed", F.explode(F.array_compact(kinds)).alias("pattern"))
+
+
+def patterns(placed: DataFrame) -> DataFrame:
+    """kind, pattern, value, seed: the edges of the graph, each once."""
+    return placed.groupBy("kind", "pattern", F.col("plain").alias("value")).agg(F.max("seed").alias("seed"))
 
 
 def bootstrap(edges: DataFrame, rounds: int = 3, least_seeds: int = 8, sure: float = 0.9, prior: float = 1.0) -> DataFrame:
-    """kind, pattern of the patterns that mark unseen values.
+    """kind, pattern of the patterns that mark unseen values; edges on storage.
 
     A pattern's score is the sum of trust in its instances over their number plus `prior`; a seed's trust is 1, another
     value's is the best score among its patterns with at least `least_seeds` distinct seeds. Values whose trust reaches
-    `sure` count as seeds in the next round.
+    `sure` count as seeds in the next round. A pattern with very many instances is joined without a shuffle of these.
     """
+    unseen = cut(edges.filter("not seed"), "unseen")
     trusted = edges.withColumn("trust", F.col("seed").cast("double"))
     scores = None
     for _ in range(rounds):
         scores = cut(trusted.groupBy("kind", "pattern").agg((F.sum("trust") / (F.count("*") + F.lit(prior))).alias("score"), F.sum((F.col("trust") >= sure).cast("long")).alias("seeds")).filter(F.col("seeds") >= least_seeds), "patterns")
-        best = edges.filter("not seed").join(scores, ["kind", "pattern"]).groupBy("kind", "value").agg(F.max("score").alias("best"))
-        trusted = edges.join(best, ["kind", "value"], "left").withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(F.coalesce(F.when(F.col("best") >= sure, F.col("best")), F.lit(0.0)))).drop("best")
+        best = join_unique(unseen, scores, ["kind", "pattern"]).groupBy("kind", "value").agg(F.max("score").alias("best")).filter(F.col("best") >= sure)
+        trusted = join_unique(edges, cut(best, "trusted"), ["kind", "value"], "left").withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0)))).drop("best")
     return scores.filter(F.col("score") >= sure).select("kind", "pattern")
 
 
 def discovered(found: DataFrame, **options) -> DataFrame:
-    """text_key, kind, begin, end, value of unseen places next to a pattern that bootstrap() keeps."""
-    edges = cut(patterns(found), "edges")
-    kept = bootstrap(edges, **options)
-    values = edges.filter("not seed").join(kept, ["kind", "pattern"], "left_semi").select("kind", F.col("value").alias("plain"), "pattern")
-    unseen = found.filter("not seed").withColumn("plain", F.lower(F.regexp_replace("value", r"[\x20().-]", "")))
-    return unseen.join(values.select("kind", "plain").distinct(), ["kind", "plain"], "left_semi").select("text_key", "kind", "begin", "end", "value").distinct()
+    """text_key, kind, begin, end of the unseen places that stand next to a pattern that bootstrap() keeps; the same value elsewhere isn't one."""
+    placed = cut(placed_patterns(found), "placed")
+    kept = bootstrap(cut(patterns(placed), "edges"), **options)
+    unseen = cut(placed.filter("not seed").select("text_key", "kind", "begin", "end", "pattern"), "unseen")
+    return join_unique(unseen, kept, ["kind", "pattern"]).select("text_key", "kind", "begin", "end").distinct()
 
 
 def _joined(parts: list[Column]) -> Column:
@@ -143,11 +176,11 @@ def _named(kind: str, spans: Column) -> Column:
 
 
 def with_discovered(docs: DataFrame, **options) -> DataFrame:
-    """base_spans of each row and `unseen`: array of (kind, begin, end, value) that context adds."""
+    """base_spans of each row and `unseen`: array of (kind, begin, end) that context adds."""
     spans = cut(base_spans(docs, loose=True), "spans")
-    more = discovered(cut(instances(spans), "instances"), **options).groupBy("text_key").agg(F.collect_list(F.struct("kind", "begin", "end", "value")).alias("unseen"))
-    none = F.array().cast("array<struct<kind:string,begin:int,end:int,value:string>>")
-    return spans.select("doc_id", "text_key", *FORMS).join(cut(more, "unseen"), "text_key", "left").withColumn("unseen", F.coalesce("unseen", none))
+    more = discovered(cut(instances(spans), "instances"), **options).groupBy("text_key").agg(F.collect_list(F.struct("kind", "begin", "end")).alias("unseen"))
+    none = F.array().cast("array<struct<kind:string,begin:int,end:int>>")
+    return join_unique(spans.select("doc_id", "text_key", *FORMS), cut(more, "unseen"), ["text_key"], "left").withColumn("unseen", F.coalesce("unseen", none))
 
 
 def find(docs: DataFrame, **options) -> DataFrame:
@@ -167,27 +200,56 @@ def find(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def _mark(kind: str):
-    return lambda v: F.when(holds(kind, v), F.lit(f"[{kind.upper()}]")).otherwise(v)
+def _with_kind(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x["begin"].alias("begin"), x["end"].alias("end"))
+
+
+def covered(spans: Column) -> Column:
+    """array of (begin, end, kind) that don't overlap: spans by begin, the longer first; of one that overlaps those before only the part after them stays."""
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["begin"].alias("begin"), (-x["end"]).alias("least"), x["kind"].alias("kind"))))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        end = -x["least"]
+        return F.greatest(at, end), F.struct(F.greatest(at, x["begin"]).alias("begin"), end.alias("end"), (x["begin"] < at).alias("follows"), x["kind"].alias("kind"))
+
+    return F.filter(running(ordered, F.lit(0), "struct<begin:int,end:int,follows:boolean,kind:string>", step), lambda x: x["begin"] < x["end"])
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with each span of covered() replaced by [EMAIL] and so on; a part that continues another span is removed.
+
+    Spans are cut from slices of the text, about as many as the root of their number, since finding a place in a string
+    costs its distance from the beginning.
+    """
+    n = F.size(spans)
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(n.cast("double"))).cast("int"))
+    end_of = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+
+    def group(k: Column) -> Column:
+        held, start = F.slice(spans, k * size + 1, size), end_of(k * size)
+        part = text.substr(start + 1, F.element_at(held, -1)["end"] - start)
+
+        def one(x: Column, i: Column) -> Column:
+            last = F.coalesce(F.get(held, i - 1)["end"], start)
+            return F.concat(part.substr(last - start + 1, x["begin"] - last), F.when(x["follows"], F.lit("")).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))
 
+        return F.array_join(F.transform(held, one), "")
 
-def masked(text: Column) -> Column:
-    """The text with the base spans of each kind, in the order of FORMS, replaced by [EMAIL] and so on."""
-    for kind, form in FORMS.items():
-        values, gaps = F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form, -1)
-        marks = F.transform(values, _mark(kind))
-        text = F.when(text.rlike("@" if kind == "email" else "[0-9]"), F.array_join(F.zip_with(gaps, F.concat(marks, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")).otherwise(text)
-    return text
+    groups = F.transform(F.sequence(F.lit(0), F.ceil(n / size).cast("int") - 1), group)
+    return F.when(n > 0, F.concat(F.array_join(groups, ""), text.substr(end_of(n) + 1, F.length(text)))).otherwise(text)
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:
-    """docs with personal data in `text` masked and `n_chars`, where there is one, set to the new length. A null text stays null."""
+    """docs with personal data in `text` masked at its places and `n_chars`, where there is one, set to the new length. A null text stays null, an empty one empty."""
     key = F.md5(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))
     spans = cut(base_spans(docs, loose=True), "spans")
-    more = discovered(cut(instances(spans), "instances"), **options).groupBy(F.col("text_key").alias("_key")).agg(F.collect_set(F.struct("kind", "value")).alias("_unseen"))
-    joined = docs.withColumn("_key", key).join(cut(more, "unseen"), "_key", "left")
-    hidden = F.aggregate(F.coalesce("_unseen", F.array().cast("array<struct<kind:string,value:string>>")), F.col("text"), lambda t, x: F.replace(t, x["value"], F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))
-    out = joined.withColumn("text", masked(hidden))
+    more = discovered(cut(instances(spans), "instances"), **options)
+    named = F.concat(*[F.transform(k, _with_kind(k)) for k in FORMS])
+    base = spans.dropDuplicates(["text_key"]).select("text_key", F.explode(named).alias("x")).select("text_key", "x.*")
+    per_text = base.unionByName(more).groupBy(F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("kind", "begin", "end")).alias("_spans"))
+    found = cut(per_text.select("_key", covered(F.col("_spans")).alias("_spans")), "covered")
+    joined = docs.withColumn("_key", key).join(found, "_key", "left")
+    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_spans"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(docs.columns)
