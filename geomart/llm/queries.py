@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,37 +46,25 @@ def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches over all documents: counts of words, counts by a revised tokenizer for the languages other than English, deletes of all but the first of equal texts; one batch is sent twice."""
+    """Three batches over all documents: counts by one vocabulary, counts by a second for the languages other than English, deletes of all but the first of equal texts; one batch is sent twice."""
     docs = table(spark, sf_dir, "documents")
     key = F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    counted = cut(docs.select("doc_id", "source", "lang", key.alias("key"), token_rollup.words(F.col("text")).alias("words"), token_rollup.words_and_signs(F.col("text")).alias("signs")), "counts")
+    named = docs.select("doc_id", "source", "lang", key.alias("key"), "text")
+    versions = ("byte_bpe_50k", "byte_bpe_multi_50k")
+    counted = cut(token_rollup.bpe_counts(named, public_tokenizers.path(f"{versions[0]}.tiktoken")), "counts")
+    other = cut(token_rollup.bpe_counts(named.filter("lang <> 'en'"), public_tokenizers.path(f"{versions[1]}.tiktoken")), "counts")
     rollup = token_rollup.TokenRollup(spark, scratch(spark, "rollup"))
-    first = counted.groupBy("key").agg(F.min("doc_id").alias("first_id"))
     change = lambda df, op, version, n: df.select("doc_id", F.lit(op).alias("op"), "source", "lang", F.lit(version).cast("string").alias("tokenizer_version"), n.cast("long").alias("n_tokens"))
-    other = counted.filter("lang <> 'en'")
-    rollup.commit("1-insert", change(counted, "upsert", "words-1", F.col("words")))
-    revision = change(other, "delete", "words-1", F.lit(0)).unionByName(change(other, "upsert", "words-2", F.col("signs")))
+    rollup.commit("1-insert", change(counted, "upsert", versions[0], F.col("n_tokens")))
+    revision = change(other, "delete", versions[0], F.lit(0)).unionByName(change(other, "upsert", versions[1], F.col("n_tokens")))
     rollup.commit("2-revise", revision)
-    rollup.commit("3-delete", change(counted.join(first, "key").filter("doc_id <> first_id"), "delete", None, F.lit(0)))
+    first = counted.groupBy("key").agg(F.min("doc_id").alias("first_id")).withColumnRenamed("key", "first_key")
+    later = counted.join(first, (F.col("key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_anti")
+    rollup.commit("3-delete", change(later, "delete", None, F.lit(0)))
     rollup.commit("2-revise", revision)  # sent again: changes nothing
     return rollup.totals().filter("n_docs > 0").select("source", "lang", "tokenizer_version", "n_docs", "n_tokens")
 
 
-OP4_SQL = r"""
-WITH counted AS (
-    SELECT doc_id, source, lang, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id,
-           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
-           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]')) AS signs
-    FROM documents
-), held AS (
-    SELECT source, lang, CASE WHEN lang <> 'en' THEN 'words-2' ELSE 'words-1' END AS tokenizer_version,
-           CASE WHEN lang <> 'en' THEN signs ELSE words END AS n
-    FROM counted WHERE doc_id = first_id
-)
-SELECT source, lang, tokenizer_version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM held GROUP BY ALL
-"""
-
-
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(table(spark, sf_dir, "documents"))
 
@@ -149,4 +138,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_small_world_embeddings": OP2_SQL, "op4_token_rollup": OP4_SQL, "op6_warc_boundary_chains": OP6_SQL, "op8_odd_sketch_minhash": OP8_SQL}
+    return {"op2_small_world_embeddings": OP2_SQL, "op6_warc_boundary_chains": OP6_SQL, "op8_odd_sketch_minhash": OP8_SQL}
