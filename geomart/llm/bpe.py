@@ -3,8 +3,9 @@
 Each task splits its texts into words with the tokenizer's pattern and keeps the ids of distinct words. New words become
 rows of (word, position, token), which a recursive query joins with the merge table; every step contracts the leftmost
 pair of least rank of each word until no pair merges. An ordered aggregation over the vocabulary turns the ids back into
-bytes. Words over LONG bytes are contracted step by step in a table instead: a recursive query keeps every step's rows, and
-their number would grow with the square of the word.
+bytes. A recursive query keeps every step's rows, so words are handed to it in pieces of at most PIECE bytes. Two pieces'
+tokens stand side by side in the word's encoding exactly if the two tokens at their joint, encoded together, stay the
+same two tokens; where they don't, the tokens around the joint are encoded anew as one piece, more of them each time.
 
 Texts are looked up by segments that begin at spaces: between two other characters a single space always begins a word.
 """
@@ -12,6 +13,7 @@ Texts are looked up by segments that begin at spaces: between two other characte
 from __future__ import annotations
 
 import hashlib
+import itertools
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 from .tokens import load_ranks
 
-LONG = 400
+PIECE = 64
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: A row knows its token, the place of the next one and that one's token; `best` packs the least rank and its leftmost place.
@@ -53,34 +55,6 @@ SELECT f.word, list(f.token ORDER BY f.pos) AS ids, string_agg(v.bytes, '' ORDER
 FROM ({final}) f JOIN vocabulary v ON v.id = f.token GROUP BY f.word
 """
 
-#: One step for long words: every other place of each run of places with the least rank, if no pair this makes ranks lower; else the leftmost place alone.
-STEP = """
-CREATE OR REPLACE TEMP TABLE long_words AS
-WITH pairs AS (
-    SELECT s.*, m.id, min(m.id) OVER (PARTITION BY s.word) AS best
-    FROM (SELECT *, row_number() OVER w AS n, lead(token) OVER w AS after, lead(token, 2) OVER w AS next FROM long_words WINDOW w AS (PARTITION BY word ORDER BY pos)) s
-    LEFT JOIN merges m ON s.token = m.first AND s.after = m.second
-), runs AS (
-    SELECT word, pos, row_number() OVER (PARTITION BY word, n - k ORDER BY pos) AS place, k
-    FROM (SELECT word, pos, n, row_number() OVER (PARTITION BY word ORDER BY pos) AS k FROM pairs WHERE id = best)
-), chosen AS (
-    SELECT p.*, coalesce(r.place % 2 = 1, false) AS hit, r.k AS k FROM pairs p LEFT JOIN runs r USING (word, pos)
-), merged AS (
-    SELECT *, lag(hit) OVER w AS taken, CASE WHEN hit THEN best ELSE token END AS now FROM chosen WINDOW w AS (PARTITION BY word ORDER BY pos)
-), kept AS (
-    SELECT *, lag(now) OVER (PARTITION BY word ORDER BY pos) AS before FROM merged WHERE taken IS DISTINCT FROM true
-), unsafe AS (
-    SELECT DISTINCT k.word FROM kept k LEFT JOIN merges a ON a.first = k.before AND a.second = k.now LEFT JOIN merges b ON b.first = k.now AND b.second = k.next
-    WHERE k.hit AND (a.id < k.best OR b.id < k.best)
-), single AS (
-    SELECT *, lag(one) OVER (PARTITION BY word ORDER BY pos) AS taken_one FROM (SELECT *, coalesce(k = 1, false) AS one FROM chosen WHERE word IN (FROM unsafe))
-)
-SELECT word, pos, now AS token FROM kept WHERE word NOT IN (FROM unsafe)
-UNION ALL
-SELECT word, pos, CASE WHEN one THEN best ELSE token END FROM single WHERE taken_one IS DISTINCT FROM true
-"""
-
-
 class Bpe:
     """ids and bytes of words and texts; caches are bounded and hold both."""
 
@@ -93,6 +67,8 @@ class Bpe:
         self.words: dict[str, tuple[bytes, bytes]] = {}
         self.segments: dict[str, tuple[bytes, bytes] | None] = {}
         ranks = load_ranks(ranks_path)
+        self.bytes_of = {i: t for t, i in ranks.items()}
+        self.joints: dict[tuple[int, int], bool] = {}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         merges = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
@@ -113,26 +89,58 @@ class Bpe:
         after[ends - 1] = -1
         self._table("start", word=np.repeat(np.arange(len(words)), n), pos=np.arange(len(token)) - np.repeat(ends - n, n), token=token, after=after)
 
+    def contract(self, words: list[bytes]) -> list[list[int]]:
+        """ids of each word, all by the recursive query."""
+        out: list = [None] * len(words)
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            self._start(part)
+            for w, ids in self.db.execute(f"SELECT word, list(token ORDER BY pos) FROM ({RECURSIVE}) GROUP BY word").fetchall():
+                out[at + w] = ids
+        return out
+
     def encode(self, words: list[bytes]) -> list[tuple[list[int], bytes]]:
         """ids and decoded bytes of each word."""
         out: list = [None] * len(words)
-        short, long = [i for i, w in enumerate(words) if len(w) <= LONG], [i for i, w in enumerate(words) if len(w) > LONG]
+        short, long = [i for i, w in enumerate(words) if len(w) <= PIECE], [i for i, w in enumerate(words) if len(w) > PIECE]
         for at in range(0, len(short), 20_000):
             part = short[at : at + 20_000]
             self._start([words[i] for i in part])
             for w, ids, told in self.db.execute(DECODED.format(final=RECURSIVE)).fetchall():
                 out[part[w]] = (ids, bytes.fromhex(told))
         for i in long:
-            self._start([words[i]])
-            self.db.execute("CREATE OR REPLACE TEMP TABLE long_words AS SELECT word, pos, token FROM start")
-            n, before = len(words[i]), None
-            while n != before:
-                self.db.execute(STEP)
-                before, n = n, self.db.execute("SELECT count(*) FROM long_words").fetchall()[0][0]
-            ((_, ids, told),) = self.db.execute(DECODED.format(final="SELECT * FROM long_words")).fetchall()
+            ids = self.joined(words[i])
+            self._table("final", word=np.zeros(len(ids), np.int32), pos=np.arange(len(ids)), token=ids)
+            ((_, ids, told),) = self.db.execute(DECODED.format(final="SELECT word, pos, token FROM final")).fetchall()
             out[i] = (ids, bytes.fromhex(told))
         return out
 
+    def joined(self, word: bytes) -> list[int]:
+        """ids of a word of any length, from pieces of it; known joints are kept for other words."""
+        parts = [(ids, 4) for ids in self.contract([word[at : at + PIECE] for at in range(0, len(word), PIECE)])]  # ids of a piece, tokens to take at its joints
+        while True:
+            pairs = {(a[-1], b[0]) for (a, _), (b, _) in itertools.pairwise(parts)}
+            new = [p for p in pairs if p not in self.joints]
+            for (a, b), ids in zip(new, self.contract([self.bytes_of[a] + self.bytes_of[b] for a, b in new])):
+                self.joints[a, b] = ids == [a, b]
+            if all(self.joints[p] for p in pairs):
+                return [x for ids, _ in parts for x in ids]
+            kept, anew = [parts[0]], []
+            for part in parts[1:]:
+                (a, wide), (b, also) = kept[-1], part
+                if self.joints.get((a[-1], b[0]), True) or (anew and anew[-1] == len(kept) - 1):
+                    kept.append(part)
+                    continue
+                n = max(wide, also)
+                kept[-1:] = [x for x in ((a[:-n], wide), (a[-n:] + b[:n], 2 * n)) if x[0]]
+                anew.append(len(kept) - 1)
+                if b[n:]:
+                    kept.append((b[n:], also))
+            ids = self.contract([b"".join(self.bytes_of[x] for x in kept[k][0]) for k in anew])
+            for k, x in zip(anew, ids):
+                kept[k] = (x, kept[k][1])
+            parts = kept
+
     def learn(self, words: set[str]) -> None:
         new = list(words - self.words.keys())
         for w, (ids, told) in zip(new, self.encode([w.encode() for w in new])):
@@ -142,6 +150,8 @@ class Bpe:
         """ids (little-endian unsigned 32-bit) and decoded bytes of each text."""
         if len(self.words) > self.limits[0]:
             self.words.clear()
+        if len(self.joints) > self.limits[0]:
+            self.joints.clear()
         if len(self.segments) > self.limits[1]:
             self.segments.clear()
         split = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t, " "] for t in texts]
