@@ -1,9 +1,10 @@
 """Media columns: content-addressed payloads in tar shards.
 
-Every task writes the payloads of its own rows, each digest once, as 8-bit grey images (PNG, 64 samples a row) into tar
-shards on shared storage and emits a manifest of digest, shard, offset and length. Of the copies of a digest in several
-shards the first by (shard, offset) is the one that rows refer to, so the payloads themselves are never shuffled.
-Metadata columns come from range reads of the image header alone; features from range reads of the whole image.
+A payload is stored once under its digest, as an 8-bit grey image (PNG, one row of samples) in a tar shard on shared
+storage. Digests come from a first pass over the texts. Payloads of a digest that occurs once are written by the task
+that reads them; only those of a repeated digest are shuffled, one copy from each task. Metadata columns come from range
+reads of the image header alone, features from range reads of the whole image; both are dealt to tasks by shard and
+offset, so a task reads a stretch of one shard.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import Ranges, open_new
-from .common import cut, scratch, text_or_empty
+from .common import Bitmap, cut, join_unique, scratch, text_or_empty
 
 ROW = 64
 HEADER = 33
 MAGIC = b"\x89PNG\r\n\x1a\n"
-MANIFEST = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
+MANIFEST = "digest string, shard string, offset long, length long"
+#: Bytes of a shard that a task reads.
+STRETCH = 16 << 20
 STORED = "digest string, shard string, offset long, length long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, bits int"
 
 
@@ -40,11 +43,8 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
 
 
 def to_image(payload: bytes, level: int = 6) -> bytes:
-    """A grey 8-bit PNG with the payload's bytes as samples."""
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    lines = np.zeros((len(rows), ROW + 1), np.uint8)  # each line begins with filter type 0
-    lines[:, 1:] = rows
-    return MAGIC + _chunk(b"IHDR", struct.pack(">IIBBBBB", ROW, len(rows), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines, level)) + _chunk(b"IEND", b"")
+    """A grey 8-bit PNG of one row with the payload's bytes as samples; the row begins with filter type 0."""
+    return MAGIC + _chunk(b"IHDR", struct.pack(">IIBBBBB", len(payload), 1, 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(b"\0" + payload, level)) + _chunk(b"IEND", b"")
 
 
 def image_header(head: bytes) -> tuple[int, int, int]:
@@ -68,59 +68,64 @@ def from_image(data: bytes) -> bytes:
 
 
 def describe(payload: bytes) -> str:
-    """Mean, deviation, entropy of the samples and mean step between neighbours in a row."""
+    """Mean, deviation, entropy of the samples and mean step between neighbours."""
     x = np.frombuffer(payload, np.uint8)
     p = np.bincount(x, minlength=256) / len(x)
     mean = float(p @ np.arange(256))
     spread = float(max(0.0, p @ np.arange(256.0) ** 2 - mean**2)) ** 0.5
     entropy = float(-(p[p > 0] * np.log2(p[p > 0])).sum())
-    rows = x.reshape(-1, ROW).astype(np.int16)
-    return f"mean={mean:.6f};std={spread:.6f};entropy={entropy:.6f};step={float(np.abs(np.diff(rows, axis=1)).mean()):.6f}"
+    return f"mean={mean:.6f};std={spread:.6f};entropy={entropy:.6f};step={float(np.abs(np.diff(x.astype(np.int16))).mean()):.6f}"
 
 
-def store(docs: DataFrame, folder: str, shard_bytes: int = 256 << 20) -> DataFrame:
-    """Writes the payloads of `docs` (doc_id, text) into tar shards under `folder` and returns the manifest, on shared storage.
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, text, n_bytes, digest (of the padded payload) of each row."""
+    raw = F.encode(text_or_empty(), "UTF-8")
+    n = F.octet_length(text_or_empty())
+    pad = F.when(n == 0, F.lit(ROW)).otherwise(F.pmod(-n, F.lit(ROW)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), n.cast("long").alias("n_bytes"), F.sha2(F.concat(raw, F.unhex(F.repeat(F.lit("00"), pad))), 256).alias("digest"))
+
+
+def store(payloads: DataFrame, folder: str, skip: Bitmap | None = None, shard_bytes: int = 256 << 20) -> DataFrame:
+    """Writes the payloads of digest and text into tar shards under `folder` and returns digest, shard, offset and length; digests that `skip` lets pass are left out.
 
     A shard's name is new for every attempt of a task, so a lost or repeated attempt leaves no mark on what the manifest
-    names. Within a task a digest is stored once.
+    names.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[str, int, int]] = {}
         out, uri, at = None, "", 0
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = text.as_py().encode("utf-8", "surrogatepass")
-                payload = padded(data)
-                digest = hashlib.sha256(payload).hexdigest()
-                if digest not in held:
-                    if out is None or at > shard_bytes:
-                        if out is not None:
-                            out.write(bytes(2 * tarfile.BLOCKSIZE))
-                            out.close()
-                        uri, at = f"{folder}/{uuid.uuid4().hex}.tar", 0
-                        out = open_new(uri)
-                    image = to_image(payload)
-                    member = tarfile.TarInfo(f"{digest}.png")
-                    member.size = len(image)
-                    head = member.tobuf(tarfile.USTAR_FORMAT)
-                    held[digest] = (uri, at + len(head), len(image))
-                    block = head + image + bytes(-len(image) % tarfile.BLOCKSIZE)
-                    out.write(block)
-                    at += len(block)
-                rows.append((doc, len(data), digest, *held[digest]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
+            if skip is not None:
+                batch = batch.filter(pa.array(~skip.held(batch.column(2))))
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if out is None or at > shard_bytes:
+                    if out is not None:
+                        out.write(bytes(2 * tarfile.BLOCKSIZE))
+                        out.close()
+                    uri, at = f"{folder}/{uuid.uuid4().hex}.tar", 0
+                    out = open_new(uri)
+                image = to_image(padded(text.as_py().encode("utf-8", "surrogatepass")))
+                member = tarfile.TarInfo(f"{digest}.png")
+                member.size = len(image)
+                head = member.tobuf(tarfile.USTAR_FORMAT)
+                block = head + image + bytes(-len(image) % tarfile.BLOCKSIZE)
+                rows.append((digest, uri, at + len(head), len(image)))
+                out.write(block)
+                at += len(block)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["digest", "shard", "offset", "length"])
         if out is not None:
             out.write(bytes(2 * tarfile.BLOCKSIZE))
             out.close()
 
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(write, MANIFEST), "manifest")
+    slot = [] if skip is None else [skip.slot(["digest"]).alias("slot")]
+    return payloads.select("digest", "text", *slot).mapInArrow(write, MANIFEST)
 
 
-def addresses(manifest: DataFrame) -> DataFrame:
-    """One place per digest: the first by shard and offset."""
-    return manifest.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+def stretches(places: DataFrame) -> DataFrame:
+    """places, dealt to tasks by shard and stretch of it, in the order of the shard."""
+    total = places.agg(F.sum("length")).first()[0] or 0
+    return places.repartition(min(10_000, 1 + total // STRETCH), "shard", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("shard", "offset")
 
 
 def header_columns(places: DataFrame) -> DataFrame:
@@ -134,7 +139,7 @@ def header_columns(places: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), *(pa.array([x[k] for x in found], pa.int32()) for k in range(3))], names=["digest", "width", "height", "bits"])
         source.close()
 
-    return places.select("digest", "shard", "offset").sortWithinPartitions("shard", "offset").mapInArrow(read, "digest string, width int, height int, bits int")
+    return stretches(places).select("digest", "shard", "offset").mapInArrow(read, "digest string, width int, height int, bits int")
 
 
 def read_features(places: DataFrame) -> DataFrame:
@@ -154,7 +159,7 @@ def read_features(places: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names=names)
         source.close()
 
-    return places.select("digest", "shard", "offset", "length").repartition("digest").sortWithinPartitions("shard", "offset").mapInArrow(read, STORED)
+    return stretches(places).select("digest", "shard", "offset", "length").mapInArrow(read, STORED)
 
 
 def media_table(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -163,7 +168,12 @@ def media_table(docs: DataFrame, folder: str | None = None) -> DataFrame:
     Null and empty texts store 64 zero bytes. Equal texts refer to one stored image. An empty table gives an empty
     table; repeated rows come back as often as they occur; columns beside doc_id and text are not read.
     """
-    manifest = store(docs, folder or scratch(docs.sparkSession, "media"))
-    places = cut(addresses(manifest), "addresses")
-    features = cut(read_features(places), "features")
-    return manifest.select("doc_id", "n_bytes", "digest").join(features, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "bits")
+    named = digests(docs)
+    rows = cut(named.select("doc_id", "n_bytes", "digest"), "digests")
+    shared = cut(rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "shared")
+    repeated = Bitmap(shared, ["digest"], shared.count())
+    folder = folder or scratch(docs.sparkSession, "media")
+    once = repeated.split(named.select("digest", "text"), ["digest"], True).groupBy("digest").agg(F.first("text").alias("text"))
+    manifest = cut(store(named, folder, repeated).unionByName(store(once, folder)), "manifest")
+    features = cut(read_features(manifest), "features")
+    return join_unique(rows, features, ["digest"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "bits")
