@@ -18,14 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import Ranges, open_new
-from .common import cut, scratch
+from .common import Bitmap, cut, join_unique, scratch
 
 MAGIC = b"WARC/1.1\r\n"
 #: Bytes read beyond a range at first; a longer head is read on.
 HEAD_BYTES = 1 << 16
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = b"1970-01-01T00:00:00Z"
-FILES = "file string, bytes long"
+FILES = "file string, bytes long, records long"
+#: Bytes of an archive that a task reads.
+SPLIT = 16 << 20
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -73,45 +75,53 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_bytes: int = 256 << 20) -> DataFrame:
-    """Writes a record per page into archives under `folder`; returns file and bytes of each archive, on shared storage.
+    """Writes a record per page into archives under `folder`; returns file_id, file, bytes and records of each archive, on shared storage.
 
-    Only pages whose payload is shared need a partner; that table is written first, so its true size decides how it is
-    joined. Archives are named anew by every attempt of a task.
+    Only pages whose payload is shared need a partner, and only these are shuffled. Archives are named anew by every
+    attempt of a task.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, uri, at, done = None, "", 0, []
+        out, uri, at, n, done = None, "", 0, 0, []
         for batch in batches:
             for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 if out is None or at > file_bytes:
                     if out is not None:
                         out.close()
-                        done.append((uri, at))
-                    uri, at = f"{folder}/{uuid.uuid4().hex}.warc", 0
+                        done.append((uri, at, n))
+                    uri, at, n = f"{folder}/{uuid.uuid4().hex}.warc", 0, 0
                     out = open_new(uri)
                 page, url, html, first = row
                 data = record(page, url, html.as_py().encode("utf-8", "surrogatepass"), None if first == page else first)
                 out.write(data)
-                at += len(data)
+                at, n = at + len(data), n + 1
         if out is not None:
             out.close()
-            done.append((uri, at))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["file", "bytes"])
+            done.append((uri, at, n))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), *(pa.array([x[k] for x in done], pa.int64()) for k in (1, 2))], names=["file", "bytes", "records"])
 
     known = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     known = known.withColumn("payload_sha1", F.when(F.octet_length("html") >= least_bytes, F.sha1(F.encode("html", "UTF-8"))))
-    dealt = known.join(revisits(pages, least_bytes), "payload_sha1", "left").select("page_id", "url", "html", "first_id")
-    return cut(dealt.mapInArrow(write, FILES), "archives")
+    shared = revisits(pages, least_bytes)
+    passing = Bitmap(shared, ["payload_sha1"], shared.count())
+    alone = passing.split(known, ["payload_sha1"], False).withColumn("first_id", F.lit(None).cast("long"))
+    again = join_unique(passing.split(known, ["payload_sha1"], True), shared, ["payload_sha1"], "left")
+    dealt = [x.select("page_id", "url", "html", "first_id").mapInArrow(write, FILES) for x in (alone, again)]
+    return cut(cut(dealt[0].unionByName(dealt[1]), "archives").withColumn("file_id", F.monotonically_increasing_id()), "archives")
 
 
-def candidates(files: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
-    """file, offset, next_offset of every place in the archives that parses as a record head; `files` has file and bytes."""
-    splits = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("begin"))
+def tasks_for(files: DataFrame, split_bytes: int = SPLIT) -> int:
+    return int(min(10_000, 1 + (files.agg(F.sum("bytes")).first()[0] or 0) // split_bytes))
+
+
+def candidates(files: DataFrame, split_bytes: int = SPLIT) -> DataFrame:
+    """file_id, offset, next_offset of every place in the archives that parses as a record head; `files` has file_id, file and bytes."""
+    splits = files.select("file_id", "file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("begin"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = Ranges()
         for batch in batches:
-            for uri, size, begin in zip(*(c.to_pylist() for c in batch.columns)):
+            for number, uri, size, begin in zip(*(c.to_pylist() for c in batch.columns)):
                 data = source.read(uri, begin, min(split_bytes + HEAD_BYTES, size - begin))
                 found, at, end = [], data.find(MAGIC), -1
                 while 0 <= at < split_bytes:
@@ -125,38 +135,40 @@ def candidates(files: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
                     if head is not None:
                         found.append((begin + at, begin + at + head[1] + int(head[0]["content-length"]) + 4))
                     at = data.find(MAGIC, at + 1)
-                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(found), pa.string()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["file", "offset", "next_offset"])
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(found), pa.int64()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["file_id", "offset", "next_offset"])
         source.close()
 
-    return splits.repartition("file", "begin").mapInArrow(scan, "file string, offset long, next_offset long")
+    return splits.repartition(tasks_for(files, split_bytes), "file", "begin").mapInArrow(scan, "file_id long, offset long, next_offset long")
 
 
 def reachable(found: DataFrame) -> DataFrame:
-    """The candidates that the chain from offset 0 of their file reaches, by pointer jumping: each round doubles the chain's length."""
-    jumps = found.select("file", "offset", F.col("next_offset").alias("to"))
-    reached = found.filter("offset = 0").select("file", "offset")
+    """The candidates that the chain from offset 0 of their file reaches, by pointer jumping: each round doubles the chain's length. All joins are shuffled: both sides grow with the archives."""
+    jumps = found.select("file_id", "offset", F.col("next_offset").alias("to"))
+    reached, n = found.filter("offset = 0").select("file_id", "offset"), None
+    known = found.select("file_id", "offset").hint("merge")
     while True:
-        further = reached.join(jumps, ["file", "offset"]).select("file", F.col("to").alias("offset"))
-        grown = cut(reached.union(further.join(found.select("file", "offset"), ["file", "offset"], "left_semi")), "reached")
-        if grown.count() == reached.count():
-            return found.join(grown, ["file", "offset"], "left_semi")
+        further = reached.join(jumps.hint("merge"), ["file_id", "offset"]).select("file_id", F.col("to").alias("offset"))
+        grown = cut(reached.union(further.join(known, ["file_id", "offset"], "left_semi")), "reached")
+        before, n = n, grown.count()
+        if n == before:
+            return found.join(grown.hint("merge"), ["file_id", "offset"], "left_semi")
         reached = grown
-        onward = jumps.select("file", F.col("offset").alias("to"), F.col("to").alias("after"))
-        jumps = cut(jumps.join(onward, ["file", "to"]).select("file", "offset", F.col("after").alias("to")), "jumps")
+        onward = jumps.select("file_id", F.col("offset").alias("to"), F.col("to").alias("after"))
+        jumps = cut(jumps.join(onward.hint("merge"), ["file_id", "to"]).select("file_id", "offset", F.col("after").alias("to")), "jumps")
 
 
 def whole_chains(files: DataFrame, found: DataFrame) -> DataFrame:
-    """The candidates on the chains of `files`; an error if one of these doesn't end where its file does."""
+    """The candidates on the chains of `files`; an error if one of these doesn't end where its file does or doesn't hold as many records as were written."""
     chain = cut(reachable(found), "chains")
-    ends = chain.groupBy("file").agg(F.max("next_offset").alias("end"))
-    broken = files.filter("bytes > 0").join(ends, "file", "left").filter(~F.col("end").eqNullSafe(F.col("bytes"))).select("file", "bytes", "end").limit(5).collect()
+    ends = chain.groupBy("file_id").agg(F.max("next_offset").alias("end"), F.count("*").alias("held"))
+    broken = files.filter("bytes > 0").join(ends, "file_id", "left").filter(~F.col("end").eqNullSafe(F.col("bytes")) | ~F.col("held").eqNullSafe(F.col("records"))).select("file", "bytes", "records", "end", "held").limit(5).collect()
     if broken:
-        raise ValueError("; ".join(f"{x['file']}: the chain of records ends at {x['end']} of {x['bytes']} bytes" for x in broken))
+        raise ValueError("; ".join(f"{x['file']}: the chain of records ends at {x['end']} of {x['bytes']} bytes and holds {x['held']} of {x['records']} records" for x in broken))
     return chain
 
 
-def read_records(records: DataFrame) -> DataFrame:
-    """Parses each record of (file, offset, next_offset) and checks a response's digest against its bytes."""
+def read_records(files: DataFrame, chain: DataFrame) -> DataFrame:
+    """Parses each record of chain (file_id, offset, next_offset) and checks a response's digest against its bytes. Records are dealt to tasks by file and stretch of it, however few bytes their addresses take."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = Ranges()
@@ -176,7 +188,8 @@ def read_records(records: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 8, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset"])
         source.close()
 
-    return records.select("file", "offset", "next_offset").sortWithinPartitions("file", "offset").mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long")
+    records = join_unique(chain, files.select("file_id", "file"), ["file_id"]).repartition(tasks_for(files), "file", F.floor(F.col("offset") / SPLIT)).sortWithinPartitions("file", "offset")
+    return records.select("file", "offset", "next_offset").mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long")
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
@@ -189,8 +202,8 @@ def round_trip(pages: DataFrame, folder: str | None = None, least_bytes: int = 0
     """
     files = write_archives(pages, folder or scratch(pages.sparkSession, "warc"), least_bytes)
     found = cut(candidates(files), "candidates")
-    records = cut(read_records(whole_chains(files, found)), "records")
+    records = cut(read_records(files, whole_chains(files, found)), "records")
     sizes = records.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("full_bytes"))
-    again = records.filter("record_type = 'revisit'").drop("payload_bytes").join(sizes, ["refers_to", "payload_digest"], "left").withColumnRenamed("full_bytes", "payload_bytes")
+    again = join_unique(records.filter("record_type = 'revisit'").drop("payload_bytes"), sizes, ["refers_to", "payload_digest"], "left").withColumnRenamed("full_bytes", "payload_bytes")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset"]
     return records.filter("record_type = 'response'").select(columns).unionByName(again.select(columns))
