@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, running_total
+from .common import cut, join_unique, running_total
 
 
 def _loads(state: DataFrame, shards: int, *more: Column) -> np.ndarray:
@@ -35,7 +35,7 @@ def propagate(linked: DataFrame, groups: DataFrame, shards: int, mean: float, fi
         order = Window.partitionBy("group").orderBy(F.desc("bytes"), F.xxhash64("group", "shard"))
         lead = votes.join(groups, "group").withColumn("place", F.row_number().over(order) - 1).withColumn("leads", F.least(F.lit(shards), F.greatest(F.lit(1), F.ceil(2 * F.col("group_bytes") / F.lit(mean)).cast("int")))).filter("place < leads")
         led = lead.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "shard"))), lambda x: x["shard"]).alias("goals"))
-        asking = linked.join(led, "group").withColumn("to", F.when(F.array_contains("goals", F.col("shard")), F.lit(None)).otherwise(F.element_at("goals", F.pmod(F.xxhash64("doc_id", "copy"), F.size("goals")).cast("int") + 1)))
+        asking = join_unique(linked, cut(led, "leads"), ["group"]).withColumn("to", F.when(F.array_contains("goals", F.col("shard")), F.lit(None)).otherwise(F.element_at("goals", F.pmod(F.xxhash64("doc_id", "copy"), F.size("goals")).cast("int") + 1)))
         asking = cut(asking.drop("goals"), "asking")
         free = np.maximum(0, fill * mean - _loads(linked, shards))
         movers = running_total(asking.filter("to is not null"), ["to"], ["group", "doc_id", "copy"], F.col("size"), "before")
@@ -48,20 +48,25 @@ def propagate(linked: DataFrame, groups: DataFrame, shards: int, mean: float, fi
     return linked
 
 
-def even_out(state: DataFrame, shards: int, passes: int = 4) -> DataFrame:
+def even_out(state: DataFrame, shards: int, near: float = 1e-4, passes: int = 20) -> DataFrame:
     """state: doc_id, copy, size, shard, linked. Moves documents from shards above the mean size to those below it.
 
     Each pass uses unlinked documents of the least size class (power of two) that still suffices, so the last passes
-    leave differences of about one small document; linked documents move only where unlinked ones don't suffice.
+    leave differences of about one small document; linked documents move only where unlinked ones don't suffice. It ends
+    when the largest excess is at most `near` of the mean or no pass makes it smaller.
     """
+    last, prior = float("inf"), state
     for _ in range(passes):
         kinds = state.groupBy("shard", "linked", F.floor(F.log2(F.col("size").cast("double"))).cast("int").alias("kind")).agg(F.sum("size").alias("bytes")).collect()  # shards x 2 x 63 rows at most
         loads = np.zeros(shards)
         for row in kinds:
             loads[row["shard"]] += row["bytes"]
         over = np.maximum(0, loads - loads.mean())
-        if over.max(initial=0) < 1:
+        if over.max(initial=0) >= last:
+            return prior
+        if over.max(initial=0) < max(1.0, near * loads.mean()):
             break
+        last, prior = over.max(), state
         for with_linked, kind in [(False, k) for k in range(64)] + [(True, k) for k in range(64)]:
             have = np.zeros(shards)
             for row in kinds:
@@ -94,7 +99,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, fill: float = 0.9, rounds
     total = base.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
     mean = (total["bytes"] or 0) / shards or 1.0
     groups = cut(base.groupBy("group").agg(F.sum("size").alias("group_bytes"), F.count("*").alias("group_docs")).filter("group_docs > 1"), "groups")
-    state = base.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(shards)).cast("int")).join(groups, "group", "left")
+    state = join_unique(base.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(shards)).cast("int")), groups, ["group"], "left")
     state = cut(state.withColumn("linked", F.col("group_docs").isNotNull()), "state")
     linked = propagate(state.filter("linked").select("doc_id", "copy", "size", "group", "shard"), groups.select("group", "group_bytes"), shards, mean, fill, rounds)
     moved = state.filter("not linked").select("doc_id", "copy", "size", "shard", "linked").unionByName(linked.select("doc_id", "copy", "size", "shard", F.lit(True).alias("linked")))
