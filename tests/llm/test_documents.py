@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from geomart.llm import bpe, media, minhash, packing, pii, sharding, token_rollup, toxicity, warc
+from geomart.llm import bpe, media, minhash, packing, pii, queries, sharding, token_rollup, toxicity, warc
 from geomart.llm.tokens import load_ranks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, rank long, key string, `group` string, length long, _b int, label string, kept boolean, root long"
@@ -101,8 +101,8 @@ def test_media(docs, none):
     for i, t in TEXTS:
         b = (t or "").encode()
         p = b + bytes(-len(b) % 64 or (0 if b else 64))
-        want.append((i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(p) // 64))
-    assert by_text(found, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "height") == sorted(want, key=repr)
+        want.append((i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(p)))
+    assert by_text(found, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "width") == sorted(want, key=repr)
     assert len({(r["payload_sha256"], r["shard"], r["offset"], r["media_sha256"], r["feature"]) for r in found}) == len({w[3] for w in want})
     assert rows(media.media_table(none)) == []
 
@@ -255,9 +255,99 @@ def test_token_rollup(spark, tmp_path):
 
 
 def test_bpe_counts(docs):
-    counts = {(r["doc_id"], r["text"]): r["n_tokens"] for r in rows(token_rollup.bpe_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")))}
+    found = sorted((r["n_tokens"] for r in rows(token_rollup.bpe_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")))))
     e = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
-    assert all(n == len(e.encode_ordinary(t or "")) for (_, t), n in counts.items())
+    assert found == sorted(len(e.encode_ordinary(t or "")) for _, t in TEXTS)
+
+
+def test_token_rollup_query_equals_a_plain_sum(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    encoders = [tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(public_tokenizers.path(f"{n}.tiktoken")), special_tokens={}) for n in ("byte_bpe_50k", "byte_bpe_multi_50k")]
+    want, seen = {}, set()
+    for i, text, lang, source in duckdb.sql(f"SELECT doc_id, coalesce(text, ''), lang, source FROM '{d}/documents.parquet' ORDER BY doc_id").fetchall():
+        if text in seen:
+            continue
+        seen.add(text)
+        other = lang is not None and lang != "en"
+        key = (source, lang, "byte_bpe_multi_50k" if other else "byte_bpe_50k")
+        n, total = want.get(key, (0, 0))
+        want[key] = (n + 1, total + len(encoders[other].encode_ordinary(text)))
+    found = {(r["source"], r["lang"], r["tokenizer_version"]): (r["n_docs"], r["n_tokens"]) for r in rows(queries.op4_token_rollup(spark, d))}
+    assert found == want
+
+
+def test_token_rollup_with_null_versions(spark, tmp_path):
+    r = token_rollup.TokenRollup(spark, f"file://{tmp_path}/nulls")
+    kinds = "doc_id long, op string, source string, lang string, tokenizer_version string, n_tokens long"
+    r.commit("1", spark.createDataFrame([(1, "upsert", "a", "en", "v1", 10), (1, "upsert", "a", "en", None, 3)], kinds))
+    r.commit("2", spark.createDataFrame([(1, "upsert", "a", "en", None, 4)], kinds))
+    assert {x["tokenizer_version"]: (x["n_docs"], x["n_tokens"]) for x in rows(r.totals())} == {"v1": (1, 10), None: (1, 4)}
+    r.commit("3", spark.createDataFrame([(1, "delete", None, None, None, None)], kinds))
+    assert all((x["n_docs"], x["n_tokens"]) == (0, 0) for x in rows(r.totals()))
+
+
+def test_bpe_of_long_words():
+    e = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    b = bpe.Bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    words = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "etaoin", ["th", "ing", "er"]) for n in (63, 65, 128, 129, 500, 3000)] + ["x" * 5000, "é日本" * 700]
+    for word, (ids, told) in zip(words, b.encode([w.encode() for w in words])):
+        assert ids == e.encode_ordinary(word) and told == word.encode()
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)).encode()
+    ((_, told),) = b.encode([long])
+    assert told == long
+
+
+def test_media_stores_a_digest_once(spark, tmp_path):
+    import tarfile
+
+    texts = [(k, f"text {k % 7}" if k % 2 else f"alone {k}") for k in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    found = rows(media.media_table(docs, f"file://{tmp_path}/media"))
+    members = [m for f in (tmp_path / "media").glob("*.tar") for m in tarfile.open(f).getmembers()]
+    digests = {r["digest"] for r in found}
+    assert len(found) == 60 and sorted(m.name for m in members) == sorted(f"{d}.png" for d in digests)
+    places = spark.createDataFrame([(r["digest"], r["shard"], r["offset"], r["length"]) for r in found], media.MANIFEST).distinct()
+    assert {(r["digest"], r["width"], r["height"], r["bits"]) for r in rows(media.header_columns(places))} == {(r["digest"], r["payload_bytes"], 1, 8) for r in found}
+    assert {r["feature"] for r in found if r["digest"] in digests} == {media.describe(media.padded(t.encode())) for _, t in texts}
+    assert {r["media_sha256"] for r in found} == {hashlib.sha256(media.to_image(media.padded(t.encode()))).hexdigest() for _, t in texts}
+
+
+def test_minhash_hub_groups(spark):
+    """Groups in which c and d are linked, and both stay apart from the text most others are near to."""
+    rng, texts = random.Random(7), []
+    word = lambda: f"w{rng.randrange(10**9)}"
+    for g in range(4):
+        base = [word() for _ in range(400)]
+        for k in range(30):
+            w = base.copy()
+            for _ in range(rng.choice([0, 1, 2, 3, 12, 14])):
+                w[rng.randrange(400)] = word()
+            texts.append((1000 * g + k, " ".join(w)))
+        far = base.copy()
+        far[:70] = [word() for _ in range(70)]
+        near = far.copy()
+        near[380:] = [word() for _ in range(20)]
+        texts += [(1000 * g + 500, " ".join(far)), (1000 * g + 501, " ".join(near))]
+    for blocks in ({}, {"block_shingles": 2000, "block_classes": 8}):
+        found = rows(minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), **blocks))
+        assert by_text(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(components(texts), key=repr)
+
+
+def test_pii_marks_places_and_not_values(spark):
+    seeds = [(k, f"{prose(5)} please ring me at +1 (555) 010-{1000 + k} {prose(3)}") for k in range(30)]
+    text = f"{prose(3)} please ring me at (555) 867 5309 today; the part 5558675309 and x(555) 867 5309 are {'w' * 60} (555) 867 5309 no"
+    at = text.index("(555)")
+    found = {r["doc_id"]: r for r in rows(pii.find(spark.createDataFrame([*seeds, (200, text)], "doc_id long, text string")))}
+    assert found[200]["spans"] == f"phone:{at}:{at + 14}"
+    masked = {r["doc_id"]: r["text"] for r in rows(pii.redact(spark.createDataFrame([*seeds, (200, text)], "doc_id long, text string")))}
+    assert masked[200] == text[:at] + "[PHONE]" + text[at + 14 :]
+    many = " ".join(f"a{k}@b.org {k}.1.1.1" for k in range(250))
+    (one,) = rows(pii.redact(spark.createDataFrame([(1, many)], "doc_id long, text string")))
+    assert one["text"] == " ".join(["[EMAIL] [IP]" if k < 250 else "" for k in range(250)])
+    assert rows(pii.redact(spark.createDataFrame([], "doc_id long, text string"))) == []
 
 
 def test_toxicity(spark, docs, none):
