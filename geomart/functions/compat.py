@@ -112,14 +112,27 @@ def entropy(df: DataFrame, by: list[str], amount: str, out: str = "entropy") ->
     return df.join(total, by).groupBy(*by).agg(F.coalesce(-F.sum(F.when((F.col(amount) > 0) & (F.col("_t") > 0), p * F.log(p))), F.lit(0.0)).alias(out))
 
 
-def weighted_median_lower(df: DataFrame, value: str, weight: str, by: list[str] | None = None) -> DataFrame:
-    """The least value whose running weight reaches half of the total (AGG-8, WIN-13). Equal values are summed first, so the window holds distinct values."""
+def weighted_median_lower(df: DataFrame, value: str, weight: str, by: list[str] | None = None, bins: int = 1024) -> DataFrame:
+    """The least value whose running weight reaches half of the total (AGG-8, WIN-13).
+
+    Equal values are summed first and put into `bins` equal ranges of the group's values. A window over the ranges, a
+    bounded number for each group, tells the one in which the half is reached; only that one's values are then sorted.
+    """
     by = by or []
     d = df.filter(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*by, value).agg(F.sum(weight).alias("_w"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    run = F.sum("_w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    d = d.withColumn("_run", run).withColumn("_total", F.sum("_w").over(w))
-    return d.filter(2 * F.col("_run") >= F.col("_total")).groupBy(*by).agg(F.min(value).alias("weighted_median"))
+    ends = d.groupBy(*by).agg(F.min(F.col(value).cast("double")).alias("_lo"), F.max(F.col(value).cast("double")).alias("_hi"))
+    d = null_safe_join(d, ends, by) if by else d.crossJoin(F.broadcast(ends))  # without keys ends is one row
+    place = F.try_divide(F.col(value).cast("double") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    d = d.withColumn("_bin", F.coalesce(F.floor(place * bins), F.lit(0)))
+    group = [*by] if by else [F.lit(0)]
+    sums = d.groupBy(*by, "_bin").agg(F.sum("_w").alias("_sum"))
+    w = Window.partitionBy(*group)
+    run = F.sum("_sum").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.withColumn("_run", run).withColumn("_total", F.sum("_sum").over(w))
+    half = sums.filter((2 * F.col("_run") >= F.col("_total")) & (2 * (F.col("_run") - F.col("_sum")) < F.col("_total"))).select(*by, "_bin", (F.col("_run") - F.col("_sum")).alias("_before"), "_total")
+    near = null_safe_join(d, half, [*by, "_bin"])
+    inside = F.sum("_w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return near.withColumn("_run", F.col("_before") + inside).filter(2 * F.col("_run") >= F.col("_total")).groupBy(*by).agg(F.min(value).alias("weighted_median"))
 
 
 def top_k(df: DataFrame, k: int, by: list[str], order: list[Column], rank: str = "place") -> DataFrame:

@@ -8,18 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import access_tier, candidate_tier, stability
-from ..functions.compat import outer_fold
+from ..functions.compat import null_safe_join, outer_fold
 
 
 def area_by_mode(pairs: DataFrame, area: list[str], origin: str = "origin", stop: str = "stop", minutes: str = "travel_minutes", mode: str = "mode") -> DataFrame:
-    """Distinct origins and stops, least and median minutes by area and mode; a null area is a group (AGG-2 to AGG-4, AGG-6)."""
-    return pairs.groupBy(*area, mode).agg(F.count_distinct(origin).alias("reachable_origin_count"), F.count_distinct(stop).alias("reachable_stop_count"), F.min(minutes).alias("minimum_travel_minutes"), F.median(minutes).alias("median_travel_minutes"))
+    """Distinct origins and stops, least and median minutes by area and mode; a null area is a group (AGG-2 to AGG-4, AGG-6).
 
+    Origins and stops are made distinct on their own first, so no row is multiplied by the number of distinct counts.
+    """
+    keys = [*area, mode]
+    counted = lambda c, name: pairs.select(*keys, c).distinct().groupBy(*keys).agg(F.count(c).alias(name))
+    times = pairs.groupBy(*keys).agg(F.min(minutes).alias("minimum_travel_minutes"), F.median(minutes).alias("median_travel_minutes"))
+    out = null_safe_join(null_safe_join(times, counted(origin, "reachable_origin_count"), keys), counted(stop, "reachable_stop_count"), keys)
+    return out.select(*keys, "reachable_origin_count", "reachable_stop_count", "minimum_travel_minutes", "median_travel_minutes")
 
-def candidate_areas(by_mode: DataFrame, area: list[str], origins: int) -> DataFrame:
-    """Modes of an area put together: most origins, sum of stops, least minutes, median of medians; ratio and tier (AGG-5, GRF-7)."""
+
+def candidate_areas(by_mode: DataFrame, area: list[str], origins: int | DataFrame) -> DataFrame:
+    """Modes of an area put together: most origins, sum of stops, least minutes, median of medians; ratio and tier (AGG-5, GRF-7). origins: their number, or a table of one row that holds it."""
     c = by_mode.groupBy(*area).agg(F.max("reachable_origin_count").alias("reachable_origin_count"), F.sum("reachable_stop_count").alias("reachable_stop_count"), F.min("minimum_travel_minutes").alias("minimum_travel_minutes"), F.median("median_travel_minutes").alias("median_travel_minutes"))
-    c = c.withColumn("total_origin_count", F.lit(origins).cast("long")).withColumn("reachable_origin_ratio", F.col("reachable_origin_count") / F.col("total_origin_count"))
+    if isinstance(origins, DataFrame):
+        c = c.crossJoin(F.broadcast(origins.toDF("total_origin_count")))  # one row
+    else:
+        c = c.withColumn("total_origin_count", F.lit(origins).cast("long"))
+    c = c.withColumn("reachable_origin_ratio", F.col("reachable_origin_count") / F.col("total_origin_count"))
     return c.withColumn("candidate_tier", candidate_tier(F.col("reachable_origin_ratio")))
 
 

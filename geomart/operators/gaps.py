@@ -1,26 +1,29 @@
 """Expected against observed values: ridge from sufficient statistics, boosted trees, hold-outs, residual classes.
 
 Ridge needs only sums of products. They are taken once per fold in one aggregation; a fold's training sums are the
-totals less its own, so all hold-out fits together read the data once and solve on the driver matrices as wide as the
-features.
+totals less its own, so all hold-out fits together need two aggregations and matrices as wide as the features.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.codes import gap_direction
-from ..functions.compat import regression_scores, zscore0
+from ..functions.compat import null_safe_join, regression_scores, zscore0
 
 
-def one_hot(df: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
-    """df with a 0/1 column for each of a small column's values; unseen values later are 0 in all."""
-    values = [r[0] for r in df.select(name).distinct().orderBy(name).limit(1000).collect()]
+def one_hot(df: DataFrame, name: str, most: int = 1000) -> tuple[DataFrame, list[str]]:
+    """df with a 0/1 column for each of a column's values, `most` at most, else an error; unseen values later are 0 in all."""
+    values = [r[0] for r in df.select(name).distinct().orderBy(name).limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{name} has more than {most} values")
     names = [f"{name}_is_{v}" for v in values]
     return df.withColumns({n: (F.col(name) == v).cast("double") for n, v in zip(names, values)}), names
 
@@ -44,20 +47,35 @@ def solve_ridge(n: float, means: np.ndarray, products: np.ndarray, alpha: float,
 
 
 def ridge_out_of_fold(df: DataFrame, features: list[str], y: str, fold: str, alpha: float = 1.0, scaled: list[bool] | None = None, out: str = "prediction") -> DataFrame:
-    """df with predictions of each fold by a ridge fit on the other folds (ML-1, ML-2, ML-4, ML-7)."""
-    rows = df.groupBy(fold).agg(*_sums(features, y)).orderBy(fold).collect()
-    k = len(features) + 1
-    read = lambda r: (r["n"], np.array([r[f"m{i}"] for i in range(k)]), np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]))
-    parts = {r[fold]: read(r) for r in rows}
-    total = [reduce(lambda a, b: a + b, [p[i] for p in parts.values()]) for i in range(3)] if parts else None
-    value = F.lit(None).cast("double")
-    for key, own in parts.items():
-        n, means, products = (t - o for t, o in zip(total, own))
-        if n <= 0:
-            continue
-        w, b = solve_ridge(n, means, products, alpha, scaled or [True] * len(features))
-        value = F.when(F.col(fold) == key, reduce(lambda a, c: a + c, [float(x) * F.col(f).cast("double") for x, f in zip(w, features)], F.lit(b))).otherwise(value)
-    return df.withColumn(out, value)
+    """df with predictions of each fold by a ridge fit on the other folds (ML-1, ML-2, ML-4, ML-7); null where there are no others.
+
+    Each fold's sums meet the totals, a table of one row, in a task that solves for its coefficients; these are joined to
+    the fold's rows. So any number of folds is one plan of the same size, and nothing is collected.
+    """
+    k, marks = len(features) + 1, scaled or [True] * len(features)
+    sums = df.groupBy(fold).agg(*_sums(features, y))
+    names = [c for c in sums.columns if c != fold]
+    total = df.agg(*_sums(features, y)).toDF(*[f"t_{c}" for c in names])
+    key = df.select(fold).schema.fields[0]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            held = pdf[[f"t_{c}" for c in names]].to_numpy(float) - pdf[names].to_numpy(float)
+            rows = []
+            for r in held:
+                at = dict(zip(names, r))
+                if at["n"] <= 0:
+                    rows.append((None, None))
+                    continue
+                means, products = np.array([at[f"m{i}"] for i in range(k)]), np.array([[at[f"s{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+                w, b = solve_ridge(at["n"], means, products, alpha, marks)
+                rows.append((w.tolist(), b))
+            yield pd.DataFrame({fold: pdf[fold], "_w": [r[0] for r in rows], "_b": [r[1] for r in rows]})
+
+    schema = StructType([key, StructField("_w", ArrayType(DoubleType())), StructField("_b", DoubleType())])
+    fits = sums.crossJoin(F.broadcast(total)).mapInPandas(solve, schema)  # total is one row
+    value = reduce(lambda a, c: a + c, [F.get(F.col("_w"), F.lit(i)) * F.col(f).cast("double") for i, f in enumerate(features)], F.col("_b"))
+    return null_safe_join(df, fits, [fold]).withColumn(out, value).select(*df.columns, out)
 
 
 def boosted_out_of_fold(df: DataFrame, features: list[str], y: str, fold: str, out: str = "prediction", rounds: int = 60, rate: float = 0.08, depth: int = 4, least: int = 20, seed: int = 42) -> DataFrame:
@@ -73,9 +91,12 @@ def boosted_out_of_fold(df: DataFrame, features: list[str], y: str, fold: str, o
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def balanced_group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
-    """group, fold: groups by falling size, each to the lightest fold so far (ML-5). Group sizes are dimension-sized."""
-    sizes = sorted(((-r["count"], r[group]) for r in df.groupBy(group).count().collect()), key=lambda x: (x[0], str(x[1])))
+def balanced_group_folds(df: DataFrame, group: str, folds: int = 5, most: int = 1_000_000) -> DataFrame:
+    """group, fold: groups by falling size, each to the lightest fold so far (ML-5). Each choice depends on those before, so the groups' sizes, `most` at most, are dealt on the driver; more raise an error."""
+    rows = df.groupBy(group).count().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{group} has more than {most} values")
+    sizes = sorted(((-r["count"], r[group]) for r in rows), key=lambda x: (x[0], str(x[1])))
     folds = max(1, min(folds, len(sizes)))
     weight, rows = [0] * folds, []
     for n, g in sizes:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spatial import cell_size
+
 
 def _heights(edges: np.ndarray) -> np.ndarray:
     """All heights at which the picture can change: ends of edges and crossings of two."""
@@ -63,11 +65,18 @@ def _boxes(edges: DataFrame, key: str, tag: str) -> DataFrame:
     return ends.withColumnRenamed(key, f"{key}{tag}")
 
 
-def overlay_shares(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float) -> DataFrame:
+def _meeting(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float | None) -> DataFrame:
+    """The two keys of boxes (x0_a to y9_a, x0_b to y9_b) that overlap, by the cells they cover; without `cell` cells are as large as the boxes on average."""
+    cell = cell or max(cell_size(df, *[f"{c}{t}" for c in ("x0", "x9", "y0", "y9")]) for df, t in ((a, "_a"), (b, "_b")))
+    cells = lambda c, t: F.sequence(F.floor(F.col(f"{c}0{t}") / cell), F.floor(F.col(f"{c}9{t}") / cell))
+    spread = lambda df, t: df.withColumn("_cx", F.explode(cells("x", t))).withColumn("_cy", F.explode(cells("y", t)))
+    return spread(a, "_a").join(spread(b, "_b"), ["_cx", "_cy"]).filter("x0_a < x9_b and x0_b < x9_a and y0_a < y9_b and y0_b < y9_a").select(a_key, b_key).distinct()
+
+
+def overlay_shares(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float | None = None) -> DataFrame:
     """a_key, b_key, overlap, area, share of a's area, for polygons that overlap (JOIN-12). Boxes meet by the cells they cover; a polygon's edges travel as one array."""
-    spread = lambda df, t: df.withColumn("_cx", F.explode(F.sequence(F.floor(F.col(f"x0{t}") / cell), F.floor(F.col(f"x9{t}") / cell)))).withColumn("_cy", F.explode(F.sequence(F.floor(F.col(f"y0{t}") / cell), F.floor(F.col(f"y9{t}") / cell))))
     left, right = _boxes(a, a_key, "_a"), _boxes(b, b_key, "_b")
-    meet = spread(left.drop("edges_a"), "_a").join(spread(right.drop("edges_b"), "_b"), ["_cx", "_cy"]).filter("x0_a < x9_b and x0_b < x9_a and y0_a < y9_b and y0_b < y9_a").select(f"{a_key}_a", f"{b_key}_b").distinct()
+    meet = _meeting(left.drop("edges_a"), right.drop("edges_b"), f"{a_key}_a", f"{b_key}_b", cell)
     pairs = meet.join(left.select(f"{a_key}_a", "edges_a"), f"{a_key}_a").join(right.select(f"{b_key}_b", "edges_b"), f"{b_key}_b")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,12 +89,12 @@ def overlay_shares(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: flo
     return found.withColumn("share", F.col("overlap") / F.col("area"))
 
 
-def coverage(zones: DataFrame, shapes: DataFrame, zone: str, origin: str, least: float = 0.1) -> DataFrame:
-    """zone, origin, ratio of the zone that the union of an origin's shapes covers, where at least `least` (JOIN-13). shapes: origin, shape, part, x1, y1, x2, y2."""
+def coverage(zones: DataFrame, shapes: DataFrame, zone: str, origin: str, least: float = 0.1, cell: float | None = None) -> DataFrame:
+    """zone, origin, ratio of the zone that the union of an origin's shapes covers, where at least `least` (JOIN-13). shapes: origin, shape, part, x1, y1, x2, y2. Boxes meet by the cells they cover."""
     z = zones.groupBy(zone).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_zone"))
     s = shapes.groupBy(origin, "shape", "part").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("e")).groupBy(origin).agg(F.collect_list("e").alias("_shapes"))
     box = lambda df, k, t: df.groupBy(k).agg(F.min(F.least("x1", "x2")).alias(f"x0{t}"), F.max(F.greatest("x1", "x2")).alias(f"x9{t}"), F.min(F.least("y1", "y2")).alias(f"y0{t}"), F.max(F.greatest("y1", "y2")).alias(f"y9{t}"))
-    near = box(zones, zone, "_z").join(box(shapes, origin, "_s"), F.expr("x0_z < x9_s and x0_s < x9_z and y0_z < y9_s and y0_s < y9_z")).select(zone, origin)
+    near = _meeting(box(zones, zone, "_a"), box(shapes, origin, "_b"), zone, origin, cell)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         as_rows = lambda es: np.array([(e["x1"], e["y1"], e["x2"], e["y2"]) for e in es], float)

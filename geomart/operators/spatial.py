@@ -36,22 +36,25 @@ def walking_edges(stops: DataFrame, radius_m: float, walk_mps: float) -> DataFra
     return near.select(F.col("stop_a").alias("from_stop"), F.col("stop_b").alias("to_stop"), F.ceil(F.col("metres") / walk_mps).cast("int").alias("seconds"))
 
 
+def cell_size(boxes: DataFrame, x0: str, x9: str, y0: str, y9: str) -> float:
+    """The mean of the longer sides of the boxes; 1 without any."""
+    return boxes.agg(F.avg(F.greatest(F.col(x9) - F.col(x0), F.col(y9) - F.col(y0)))).first()[0] or 1.0
+
+
 def point_in_polygon(points: DataFrame, edges: DataFrame, point: str, polygon: list[str], x: str = "x", y: str = "y", boundary: bool = False, reach: float = 0.0, size: float | None = None) -> DataFrame:
     """point and polygon keys of the points within each polygon, or within `reach` of it (JOIN-10, JOIN-11, JOIN-16 to JOIN-18).
 
     edges: polygon keys, part, hole, x1, y1, x2, y2. Points on an edge belong if `boundary` is set; inside is an odd
-    number of crossings over all rings of a part. With `size` points and polygons meet by the grid cells that a
-    polygon's box covers; without it every point meets every box, for a few polygons.
+    number of crossings over all rings of a part. Points and polygons meet by the grid cells of `size` that a polygon's
+    box covers; where it isn't given, cells are as large as the boxes on average.
     """
     pts = points.select(F.col(point).alias("_p"), F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"))
     box = edges.groupBy(*polygon, "part").agg(F.min(F.least("x1", "x2")).alias("_x0"), F.max(F.greatest("x1", "x2")).alias("_x9"), F.min(F.least("y1", "y2")).alias("_y0"), F.max(F.greatest("y1", "y2")).alias("_y9"))
     inside = (F.col("_px") >= F.col("_x0") - reach) & (F.col("_px") <= F.col("_x9") + reach) & (F.col("_py") >= F.col("_y0") - reach) & (F.col("_py") <= F.col("_y9") + reach)
-    if size is None:
-        near = pts.join(box, inside)
-    else:
-        span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - reach) / size), F.floor((F.col(hi) + reach) / size))
-        boxed = box.withColumn("_cx", F.explode(span("_x0", "_x9"))).withColumn("_cy", F.explode(span("_y0", "_y9")))
-        near = pts.withColumn("_cx", F.floor(F.col("_px") / size)).withColumn("_cy", F.floor(F.col("_py") / size)).join(boxed, ["_cx", "_cy"]).filter(inside)
+    size = size or cell_size(box, "_x0", "_x9", "_y0", "_y9") + 2 * reach
+    span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - reach) / size), F.floor((F.col(hi) + reach) / size))
+    boxed = box.withColumn("_cx", F.explode(span("_x0", "_x9"))).withColumn("_cy", F.explode(span("_y0", "_y9")))
+    near = pts.withColumn("_cx", F.floor(F.col("_px") / size)).withColumn("_cy", F.floor(F.col("_py") / size)).join(boxed, ["_cx", "_cy"]).filter(inside)
     at = [F.col(c) for c in ("_px", "_py", "x1", "y1", "x2", "y2")]
     tested = near.select("_p", "_px", "_py", *polygon, "part").join(edges, [*polygon, "part"])
     sums = tested.groupBy("_p", *polygon, "part").agg((F.count_if(geo.crosses(*at)) % 2).alias("odd"), F.bool_or(geo.on_edge(*at)).alias("edge"), F.min(geo.segment_distance(*at)).alias("away"))

@@ -259,10 +259,10 @@ def access_ratio_tiers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {FACT}, m AS (SELECT nation, l_returnflag, count(DISTINCT l_orderkey) AS o, count(DISTINCT l_suppkey) AS s, min(qty) AS lo, median(qty) AS med FROM fact GROUP BY ALL)
-SELECT nation, max(o) AS reachable_origin_count, CAST(sum(s) AS BIGINT) AS reachable_stop_count, min(lo) AS minimum_travel_minutes, median(med) AS median_travel_minutes, round(max(o) / 15000.0, 6) AS reachable_origin_ratio, {BIN_SQL.format('(max(o) / 15000.0)')} AS candidate_tier FROM m GROUP BY nation""")
+SELECT nation, max(o) AS reachable_origin_count, CAST(sum(s) AS BIGINT) AS reachable_stop_count, min(lo) AS minimum_travel_minutes, median(med) AS median_travel_minutes, round(max(o) / max(n), 6) AS reachable_origin_ratio, {BIN_SQL.format('(max(o) / max(n))')} AS candidate_tier FROM m CROSS JOIN (SELECT CAST(count(DISTINCT l_orderkey) AS DOUBLE) AS n FROM lineitem) GROUP BY nation""")
 def mode_reaggregation(spark: SparkSession, d: str) -> DataFrame:
     by_mode = access.area_by_mode(fact(spark, d), ["nation"], "l_orderkey", "l_suppkey", "qty", "l_returnflag")
-    c = access.candidate_areas(by_mode, ["nation"], 15_000)
+    c = access.candidate_areas(by_mode, ["nation"], table(spark, d, "lineitem").agg(F.count_distinct("l_orderkey")))
     return c.select("nation", "reachable_origin_count", "reachable_stop_count", "minimum_travel_minutes", "median_travel_minutes", r6("reachable_origin_ratio").alias("reachable_origin_ratio"), "candidate_tier")
 
 

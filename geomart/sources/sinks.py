@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import cut
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, a folder of parts (SNK-1)."""
@@ -27,8 +34,31 @@ def run_metadata(df: DataFrame, **values) -> DataFrame:
     return df.agg(*cols).select(F.to_json(F.struct("*")).alias("value"))
 
 
+def merged_features(parts: dict[str, DataFrame], geometry: str, tag: str = "origin") -> DataFrame:
+    """Features of several tables in one collection, each with the name of its table in the property `tag` (SNK-6)."""
+    tagged = [df.select(F.lit(name).alias(tag), geometry) for name, df in parts.items()]
+    return feature_lines(reduce(lambda a, b: a.unionByName(b), tagged), geometry, [tag])
+
+
 def markdown_table(df: DataFrame, most: int = 200) -> str:
-    """A report table of at most `most` rows (SNK-4)."""
-    rows = df.limit(most).collect()
+    """A report table; more than `most` rows raise an error (SNK-4)."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report table of more than {most} rows")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
+
+
+def write_files(df: DataFrame, folder: str) -> DataFrame:
+    """Writes each row's `content` (binary) to a file `name` under the folder and returns the names; tasks write, nothing passes through the driver."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                store, path = fs.FileSystem.from_uri(f"{folder}/{name}")
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(path) as out:
+                    out.write(content.as_py())
+            yield batch.select(["name"])
+
+    return cut(df.select("name", "content").mapInArrow(write, "name string"), "files")
