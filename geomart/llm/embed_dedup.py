@@ -213,9 +213,11 @@ def local_components(found: np.ndarray, one: np.ndarray, two: np.ndarray) -> lis
     return out
 
 
-def near_duplicates(vectors: DataFrame, shard_rows: int = 8192, recall: float = 0.99, beam: int = 64) -> DataFrame:
+def near_duplicates(vectors: DataFrame, shard_rows: int = 8192, recall: float = 0.99, beam: int = 64, near_recall: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept, label, for each row of vectors (vec_id, embedding, label).
 
+    recall is asked of the audited rows' links, near_recall of their nearest rows where a label has few such links.
+
     Vectors link when their labels and dimensions are equal, the label isn't null and their cosine is at least 0.93.
     Vectors that are null or zero or hold null or non-finite components link with nothing, and neither does a row without
     a label. Rows with a null vec_id are compared with nothing. Repeated rows are vectors of their own that share an id:
@@ -263,7 +265,7 @@ def near_duplicates(vectors: DataFrame, shard_rows: int = 8192, recall: float =
     while True:
         tasks = max(1, todo.count())
         found = cut(todo.repartition(min(tasks, 10_000), "graph", "graph_b").mapInArrow(search(width), FOUND), "links")
-        audits = cut(found.filter("wanted is not null").groupBy("label", "dim").agg(((F.sum("hits") >= recall * F.sum("wanted")) & ((F.sum("wanted") >= FEW) | (F.sum("near") >= recall * F.sum("asked")))).alias("good")), "audits")
+        audits = cut(found.filter("wanted is not null").groupBy("label", "dim").agg(((F.sum("hits") >= recall * F.sum("wanted")) & ((F.sum("wanted") >= FEW) | (F.sum("near") >= near_recall * F.sum("asked")))).alias("good")), "audits")
         if width < shard_rows:
             found, again = found.join(audits.filter("good"), ["label", "dim"], "left_semi"), todo.join(audits.filter("not good"), ["label", "dim"], "left_semi")
         else:  # as wide as a shard: every row has been looked at
