@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import demographic_columns, trip_purpose
 from ..functions.compat import first_of, row_sum0, row_sum_or_null
+from .spatial import first_polygon
 
 
 def with_derived(df: DataFrame) -> DataFrame:
@@ -25,6 +26,13 @@ def distinct_cells(df: DataFrame) -> DataFrame:
     return first_of(ends[0].unionByName(ends[1]), ["cell_id"], [F.col("_k"), F.col("x"), F.col("y")]).drop("_k")
 
 
+def crosswalk(cells: DataFrame, edges: DataFrame, area: str, order: DataFrame, size: float | None = None) -> DataFrame:
+    """cell_id, x, y, the area that holds the cell's place (the first by order: area, place), and status: matched, outside, or no_place (OD-1)."""
+    hit = first_polygon(cells.filter("x is not null and y is not null"), edges, "cell_id", area, order, boundary=True, size=size)
+    status = F.when(F.col("x").isNull() | F.col("y").isNull(), "no_place").when(F.col(area).isNull(), "outside").otherwise("matched")
+    return cells.join(hit, "cell_id", "left").withColumn("status", status)
+
+
 def od_mart(df: DataFrame, keys: list[str], total: str, measures: dict[str, str]) -> DataFrame:
     """Sum of movement and movement-weighted means by key; null keys are groups, a null measure weighs as 0 but its movement counts (OD-2, AGG-6, AGG-7)."""
     mean = lambda c: F.try_divide(F.sum(F.coalesce(F.col(c), F.lit(0)) * F.col(total)).cast("double"), F.nullif(F.sum(total), F.lit(0)).cast("double"))

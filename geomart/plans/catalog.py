@@ -327,43 +327,11 @@ def _connections(spark: SparkSession, li: DataFrame, origins: DataFrame) -> Data
     return routing.connection_scan(s, h, spark.createDataFrame([], "from_stop long, to_stop long, seconds int"), 300, 1200)
 
 
-RIDES_SQL = """
-rides AS (SELECT a AS f, b AS t, substr(o_orderpriority, 1, 1) AS route, CAST(max(60 + 10 * CAST(q AS BIGINT)) AS INTEGER) AS sec FROM hops JOIN orders ON l_orderkey = o_orderkey WHERE b IS NOT NULL AND l_orderkey % 97 = 0 GROUP BY ALL)"""
-
-
-@query(f"""WITH RECURSIVE {EDGES_SQL}, {RIDES_SQL},
-st(o, s, r, e) USING KEY (o, s, r) AS (
-    SELECT s_suppkey, s_suppkey, '', 0 FROM supplier
-  UNION
-    SELECT n.o, n.s, n.r, n.e FROM (
-        SELECT st.o AS o, rides.t AS s, rides.route AS r, min(st.e + CASE WHEN st.r = rides.route THEN 0 WHEN st.r = '' THEN 300 ELSE 420 END + rides.sec) AS e
-        FROM st JOIN rides ON st.s = rides.f WHERE st.e + CASE WHEN st.r = rides.route THEN 0 WHEN st.r = '' THEN 300 ELSE 420 END + rides.sec <= 1800 GROUP BY 1, 2, 3) n
-    LEFT JOIN recurring.st old ON old.o = n.o AND old.s = n.s AND old.r = n.r WHERE old.e IS NULL OR n.e < old.e
-)
-SELECT o AS origin, s AS stop, CAST(min(e) AS INTEGER) AS elapsed, round_even(min(e) / 60.0, 2) AS travel_minutes FROM st GROUP BY o, s""")
-def reachability_30min(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers reachable within 1800 s over a sparse network of routes by order priority; one order in 97 is a run."""
-    return _reachability(spark, d, table(spark, d, "lineitem").filter("l_orderkey % 97 = 0"))
-
-
 def reachability_30min_whole(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers reachable within 1800 s over the routes of all orders."""
     return _reachability(spark, d, table(spark, d, "lineitem"))
 
 
-@query("""
-WITH RECURSIVE h AS (SELECT l_suppkey AS f, lead(l_suppkey) OVER w AS t, CAST(l_linenumber * 200 + l_orderkey % 900 AS INTEGER) AS dep, CAST(lead(l_linenumber) OVER w * 200 + l_orderkey % 900 + 60 AS INTEGER) AS arr FROM lineitem WHERE l_orderkey % 23 = 0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
-st(o, s, a) USING KEY (o, s) AS (
-    SELECT s_suppkey, s_suppkey, 300 FROM supplier WHERE s_suppkey < 50
-  UNION
-    SELECT n.o, n.s, n.a FROM (SELECT st.o AS o, h.t AS s, min(h.arr) AS a FROM st JOIN h ON st.s = h.f AND st.a <= h.dep WHERE h.t IS NOT NULL AND h.dep <= 1500 AND h.arr <= 1500 AND h.arr >= h.dep GROUP BY 1, 2) n LEFT JOIN recurring.st old ON old.o = n.o AND old.s = n.s WHERE old.a IS NULL OR n.a < old.a
-)
-SELECT o AS origin, s AS stop, CAST(a AS INTEGER) AS arrival FROM st""")
-def connection_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Earliest arrivals over lines as timed hops, leaving at second 300 with 1200 s to go."""
-    return _connections(spark, table(spark, d, "lineitem").filter("l_orderkey % 23 = 0"), table(spark, d, "supplier").filter("s_suppkey < 50"))
-
-
 def connection_scan_whole(spark: SparkSession, d: str) -> DataFrame:
     """Earliest arrivals from all suppliers over the lines of all orders."""
     return _connections(spark, table(spark, d, "lineitem"), table(spark, d, "supplier"))
