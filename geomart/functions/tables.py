@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +70,8 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     frequent = found.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > F.lit(total // share)).select(*keys).collect() if total >= 5 * share else []  # fewer than `share`
     if not frequent:
         return left.join(right, keys, how)
-    hot = F.broadcast(left.sparkSession.createDataFrame(frequent, left.select(*keys).schema))
+    held = pa.table({k: [r[k] for r in frequent] for k in keys})
+    hot = F.broadcast(left.sparkSession.createDataFrame(held, left.select(*keys).schema))
     many = found.join(hot, keys, "left_semi").join(F.broadcast(right.join(hot, keys, "left_semi")), keys, how)
     out = found.join(hot, keys, "left_anti").join(right, keys, how).unionByName(many)
     if how == "left":
