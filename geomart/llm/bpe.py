@@ -108,38 +108,47 @@ class Bpe:
             self._start([words[i] for i in part])
             for w, ids, told in self.db.execute(DECODED.format(final=RECURSIVE)).fetchall():
                 out[part[w]] = (ids, bytes.fromhex(told))
-        for i in long:
-            ids = self.joined(words[i])
-            self._table("final", word=np.zeros(len(ids), np.int32), pos=np.arange(len(ids)), token=ids)
-            ((_, ids, told),) = self.db.execute(DECODED.format(final="SELECT word, pos, token FROM final")).fetchall()
-            out[i] = (ids, bytes.fromhex(told))
+        if long:
+            found = self.joined([words[i] for i in long])
+            n = [len(ids) for ids in found]
+            self._table("final", word=np.repeat(np.arange(len(found)), n), pos=np.arange(sum(n)), token=np.concatenate([np.array(ids, np.int64) for ids in found]))
+            for w, ids, told in self.db.execute(DECODED.format(final="SELECT word, pos, token FROM final")).fetchall():
+                out[long[w]] = (ids, bytes.fromhex(told))
         return out
 
-    def joined(self, word: bytes) -> list[int]:
-        """ids of a word of any length, from pieces of it; known joints are kept for other words."""
-        parts = [(ids, 4) for ids in self.contract([word[at : at + PIECE] for at in range(0, len(word), PIECE)])]  # ids of a piece, tokens to take at its joints
-        while True:
-            pairs = {(a[-1], b[0]) for (a, _), (b, _) in itertools.pairwise(parts)}
-            new = [p for p in pairs if p not in self.joints]
-            for (a, b), ids in zip(new, self.contract([self.bytes_of[a] + self.bytes_of[b] for a, b in new])):
-                self.joints[a, b] = ids == [a, b]
-            if all(self.joints[p] for p in pairs):
-                return [x for ids, _ in parts for x in ids]
-            kept, anew = [parts[0]], []
-            for part in parts[1:]:
-                (a, wide), (b, also) = kept[-1], part
-                if self.joints.get((a[-1], b[0]), True) or (anew and anew[-1] == len(kept) - 1):
-                    kept.append(part)
-                    continue
-                n = max(wide, also)
-                kept[-1:] = [x for x in ((a[:-n], wide), (a[-n:] + b[:n], 2 * n)) if x[0]]
-                anew.append(len(kept) - 1)
-                if b[n:]:
-                    kept.append((b[n:], also))
-            ids = self.contract([b"".join(self.bytes_of[x] for x in kept[k][0]) for k in anew])
-            for k, x in zip(anew, ids):
-                kept[k] = (x, kept[k][1])
-            parts = kept
+    def joined(self, words: list[bytes]) -> list[list[int]]:
+        """ids of words of any length, from pieces of them; known joints are kept for other words."""
+        pieces = [[word[at : at + PIECE] for at in range(0, len(word), PIECE)] for word in words]
+        ids = iter(self.contract([x for held in pieces for x in held]))
+        parts = [[(next(ids), 4) for _ in held] for held in pieces]  # ids of a piece, tokens to take at its joints
+        open_ = list(range(len(words)))
+        while open_:
+            pairs = {w: {(a[-1], b[0]) for (a, _), (b, _) in itertools.pairwise(parts[w])} for w in open_}
+            new = list({p for held in pairs.values() for p in held if p not in self.joints})
+            for (a, b), told in zip(new, self.contract([self.bytes_of[a] + self.bytes_of[b] for a, b in new])):
+                self.joints[a, b] = told == [a, b]
+            open_ = [w for w in open_ if not all(self.joints[p] for p in pairs[w])]
+            anew = [(w, k) for w in open_ for k in self._open_joints(parts, w)]
+            told = self.contract([b"".join(self.bytes_of[x] for x in parts[w][k][0]) for w, k in anew])
+            for (w, k), x in zip(anew, told):
+                parts[w][k] = (x, parts[w][k][1])
+        return [[x for held, _ in part for x in held] for part in parts]
+
+    def _open_joints(self, parts: list[list[tuple[list[int], int]]], w: int) -> list[int]:
+        """Puts the tokens around joints of a word that don't hold into pieces of their own; the places of these."""
+        kept, anew = [parts[w][0]], []
+        for part in parts[w][1:]:
+            (a, wide), (b, also) = kept[-1], part
+            if self.joints.get((a[-1], b[0]), True) or (anew and anew[-1] == len(kept) - 1):
+                kept.append(part)
+                continue
+            n = max(wide, also)
+            kept[-1:] = [x for x in ((a[:-n], wide), (a[-n:] + b[:n], 2 * n)) if x[0]]
+            anew.append(len(kept) - 1)
+            if b[n:]:
+                kept.append((b[n:], also))
+        parts[w] = kept
+        return anew
 
     def learn(self, words: set[str]) -> None:
         new = list(words - self.words.keys())

@@ -34,6 +34,11 @@ CONTEXT = 48
 SPAN = "struct<begin:int,end:int,value:string,left:string,right:string>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def running(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
     """The array of results (of type `kind`) of a fold over items: step(state, item) gives the next state and the item's result.
 
@@ -41,8 +46,6 @@ def running(items: Column, state: Column, kind: str, step: Callable[[Column, Col
     with its power of 1.5 only.
     """
     none = F.array().cast(f"array<{kind}>")
-    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items).cast("double"))).cast("int"))
-    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(items) / size).cast("int") - 1)), lambda k: F.slice(items, k * size + 1, size))
 
     def one(acc: Column, item: Column) -> Column:
         after, result = step(acc["state"], item)
@@ -52,13 +55,17 @@ def running(items: Column, state: Column, kind: str, step: Callable[[Column, Col
         start = F.struct(F.element_at(acc, -1)["state"].alias("state"), none.alias("out"))
         return F.concat(acc, F.array(F.aggregate(held, start, one)))
 
-    done = F.aggregate(chunks, F.array(F.struct(state.alias("state"), none.alias("out"))), chunk)
-    return F.flatten(F.transform(done, lambda x: x["out"]))
+    def whole(held: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(held).cast("double"))).cast("int"))
+        chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(held) / size).cast("int") - 1)), lambda k: F.slice(held, k * size + 1, size))
+        done = F.aggregate(chunks, F.array(F.struct(state.alias("state"), none.alias("out"))), chunk)
+        return F.flatten(F.transform(done, lambda x: x["out"]))
+
+    return let(items, whole)
 
 
 def located(text: Column, form: str) -> Column:
     """array of (begin, end, value, left, right) of the form's matches: code points from 0, and the text around, up to the next match."""
-    gaps, values = F.split(text, form, -1), F.regexp_extract_all(text, F.lit(form), F.lit(0))
 
     def tail(gap: Column) -> Column:
         near = F.right(gap, F.lit(CONTEXT))
@@ -68,7 +75,13 @@ def located(text: Column, form: str) -> Column:
         near = F.left(gap, F.lit(CONTEXT))
         return F.when(F.length(gap) > CONTEXT, F.regexp_replace(near, r"\S+$", "")).otherwise(near)
 
-    items = F.transform(values, lambda v, i: F.struct(v.alias("value"), F.length(F.get(gaps, i)).alias("gap"), tail(F.get(gaps, i)).alias("left"), head(F.get(gaps, i + 1)).alias("right")))
+    def around(x: Column) -> Column:
+        return F.struct(x["value"].alias("value"), F.length(x["before"]).alias("gap"), tail(x["before"]).alias("left"), head(x["after"]).alias("right"))
+
+    def places(s: Column) -> Column:
+        return F.transform(s["values"], lambda v, i: let(F.struct(v.alias("value"), F.get(s["gaps"], i).alias("before"), F.get(s["gaps"], i + 1).alias("after")), around))
+
+    items = let(F.struct(F.split(text, form, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(form), F.lit(0)).alias("values")), places)
 
     def step(at: Column, i: Column) -> tuple[Column, Column]:
         begin = at + i["gap"]
