@@ -10,7 +10,7 @@ from geomart.llm.common import Bitmap, cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that score below 0.5 by a model of the labelled ones."""
+    """The documents that score below 0.5 by a model of the labelled ones. Null and empty texts score as a text without words; repeated rows all stay or all go; an empty table gives an empty one."""
     return toxicity.without_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -30,12 +30,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in the text masked."""
+    """All documents, with personal data in the text masked at its places. Null texts stay null, and every row stays."""
     return pii.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 ids."""
+    """Pieces of all documents in sequences of at most 2048 ids. A null text counts as empty: one piece of length 1."""
     return packing.pack(docs)
 
 
