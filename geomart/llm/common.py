@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import bucket_of, cut, join_unique, running_total, scratch, shared_dir
 
-__all__ = ["Bitmap", "bucket_of", "cut", "join_unique", "running_total", "scratch", "shared_dir", "text_or_empty"]
+__all__ = ["Bitmap", "bucket_of", "cut", "fresh", "join_unique", "running_total", "scratch", "shared_dir", "text_or_empty"]
 
 #: Bits of a Bitmap at most: 32 MiB.
 MOST_BITS = 1 << 28
@@ -21,6 +21,17 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 class Bitmap:
     """A filter of keys: rows whose key is in `keys` always pass, others seldom. It has 16 bits a key, and never more than 32 MiB.
 
@@ -51,4 +62,4 @@ class Bitmap:
             for batch in batches:
                 yield batch.select(batch.schema.names[:-1]).filter(pa.array(self.held(batch.column(batch.num_columns - 1)) == inside))
 
-        return df.withColumn("_slot", self.slot(columns)).mapInArrow(keep, df.schema)
+        return df.withColumn(fresh(df, "_slot")[0], self.slot(columns)).mapInArrow(keep, df.schema)

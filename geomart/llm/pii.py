@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_unique
+from .common import cut, fresh, join_unique
 
 #: Fixed forms, written without backtracking; a match can only begin where a run of its first characters begins or the last match ended.
 FORMS = {
@@ -259,10 +259,11 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     more = discovered(cut(instances(spans), "instances"), **options)
     named = F.concat(*[F.transform(k, _with_kind(k)) for k in FORMS])
     base = spans.dropDuplicates(["text_key"]).select("text_key", F.explode(named).alias("x")).select("text_key", "x.*")
-    per_text = base.unionByName(more).groupBy(F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("kind", "begin", "end")).alias("_spans"))
-    found = cut(per_text.select("_key", covered(F.col("_spans")).alias("_spans")), "covered")
-    joined = docs.withColumn("_key", key).join(found, "_key", "left")
-    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_spans"))))
+    text_key, held = fresh(docs, "_key", "_spans")
+    per_text = base.unionByName(more).groupBy(F.col("text_key").alias(text_key)).agg(F.collect_list(F.struct("kind", "begin", "end")).alias(held))
+    found = cut(per_text.select(text_key, covered(F.col(held)).alias(held)), "covered")
+    joined = docs.withColumn(text_key, key).join(found, text_key, "left")
+    out = joined.withColumn("text", F.when(F.col(held).isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col(held))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(docs.columns)

@@ -97,3 +97,23 @@ def test_pipeline(spark, tmp_path):
     assert kept.filter(kept.text.rlike(r"@mail[0-9]\.example\.com")).count() == 0
     packed = corpus_pipeline.run(spark, d)
     assert packed.select("doc_id").distinct().count() == kept.count()
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows and clashing columns pass every stage; an empty table gives an empty one."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id long, kept boolean, _key string, _spans int"
+    long = " ".join(f"w{k % 997}" for k in range(30_000))
+    texts = [(1, "one two three four five six"), (2, None), (3, ""), (None, None), (None, "seven words of text stand in here now"), (1, "one two three four five six"), (4, "one two three four five six"), (5, long), (6, "write to a@b.org now please")]
+    docs = spark.createDataFrame([(i, t, None, None, None if t is None else len(t), 7, True, "k", 3) for i, t in texts], schema)
+    docs.select("doc_id").filter("doc_id is not null").distinct().selectExpr("doc_id", "0 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        kept = corpus_pipeline.cut(stage(spark, kept, str(tmp_path)), "test")
+        assert kept.columns == docs.columns, name
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(found, key=repr) == sorted([(1, texts[0][1]), (2, None), (3, ""), (None, None), (None, texts[4][1]), (5, long), (6, "write to [EMAIL] now please")], key=repr)
+    packed = corpus_pipeline.pack_sequences(spark, kept, "").collect()
+    assert {r["doc_id"] for r in packed} == {1, 2, 3, 5, 6, None} and max(r["offset"] + r["length"] for r in packed) <= 2048
+    nothing = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0
