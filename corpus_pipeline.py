@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomart.llm import minhash, packing, pii, toxicity
-from geomart.llm.common import Bitmap, cut
+from geomart.llm.common import Bitmap, cut, fresh
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +22,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = minhash.near_duplicates(docs, percent=80).groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
     unsure = cut(found.filter("n > 1 or not kept"), "unsure")
     passing = Bitmap(unsure, ["doc_id"], unsure.count())
-    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    again = passing.split(named, ["_id"], True).withColumn("_key", F.md5(F.encode("text", "UTF-8")))
-    gone = unsure.filter("not kept").select(F.col("doc_id").alias("_gone"))
-    stay = again.join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti").dropDuplicates(["_id", "_key"])
-    return passing.split(named, ["_id"], False).select(docs.columns).unionByName(stay.select(docs.columns))
+    own_id, key, other = fresh(docs, "_id", "_key", "_gone")
+    named = docs.withColumn(own_id, F.col("doc_id").cast("long"))
+    again = passing.split(named, [own_id], True).withColumn(key, F.md5(F.encode("text", "UTF-8")))
+    gone = unsure.filter("not kept").select(F.col("doc_id").alias(other))
+    stay = again.join(gone, F.col(own_id).eqNullSafe(F.col(other)), "left_anti").dropDuplicates([own_id, key])
+    return passing.split(named, [own_id], False).select(docs.columns).unionByName(stay.select(docs.columns))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
