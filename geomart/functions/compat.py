@@ -135,6 +135,30 @@ def weighted_median_lower(df: DataFrame, value: str, weight: str, by: list[str]
     return near.withColumn("_run", F.col("_before") + inside).filter(2 * F.col("_run") >= F.col("_total")).groupBy(*by).agg(F.min(value).alias("weighted_median"))
 
 
+def exact_quantile(df: DataFrame, value: str, q: float, by: list[str] | None = None, out: str = "quantile", accuracy: int = 100_000) -> DataFrame:
+    """by, `out`: the interpolated q-quantile of the values that are there, for groups of any size.
+
+    A sketch, whose ranks are off by n / accuracy at most, bounds the two values between which the quantile lies; groups
+    of up to 10 x accuracy rows, where such bounds could be less than two ranks apart, take all values. Smaller values are only counted, the ones between the bounds are sorted: a
+    ten-thousandth of a large group. A group without values has none.
+    """
+    by = by or []
+    known = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    near = lambda p: F.percentile_approx("_v", F.lit(min(1.0, max(0.0, p))), accuracy)
+    few = F.count("*") <= 10 * accuracy
+    ends = known.groupBy(*by).agg(F.count("*").alias("_n"), F.when(few, F.min("_v")).otherwise(near(q - 5 / accuracy)).alias("_lo"), F.when(few, F.max("_v")).otherwise(near(q + 5 / accuracy)).alias("_hi"))
+    d = known.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    d = null_safe_join(d, ends, by) if by else d.crossJoin(F.broadcast(ends))  # without keys ends is one row
+    below = d.groupBy(*by).agg(F.sum(F.when(F.col("_v") < F.col("_lo"), F.col("_c")).otherwise(0)).alias("_below"))
+    inside = d.filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    inside = null_safe_join(inside, below, by) if by else inside.crossJoin(F.broadcast(below))
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    run = inside.withColumn("_to", F.col("_below") + F.sum("_c").over(w)).withColumn("_at", (F.col("_n") - 1) * F.lit(q))
+    holds = lambda rank: (F.col("_to") > rank) & (F.col("_to") - F.col("_c") <= rank)  # noqa: E731  counting from 0
+    g = run.groupBy(*by).agg(F.first("_at").alias("_at"), F.max(F.when(holds(F.floor("_at")), F.col("_v"))).alias("_a"), F.max(F.when(holds(F.ceil("_at")), F.col("_v"))).alias("_b"))
+    return g.select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))).alias(out))
+
+
 def top_k(df: DataFrame, k: int, by: list[str], order: list[Column], rank: str = "place") -> DataFrame:
     """The first k rows of each group, numbered from 1 (TOP-1, WIN-12)."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).filter(F.col(rank) <= k)

@@ -6,6 +6,8 @@ A polygon table has one row per ring edge: id columns, part, hole, x1, y1, x2, y
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +53,30 @@ def transverse_mercator(lon: Column, lat: Column, lon0: float, lat0: float, scal
     return scale * radius * x + east, scale * radius * (y - base) + north
 
 
+def inverse_transverse_mercator(x: Column, y: Column, lon0: float, lat0: float, scale: float, east: float, north: float) -> tuple[Column, Column]:
+    """Longitude and latitude of x and y in metres on the GRS80 ellipsoid, by the Krueger series to the third order."""
+    a, f = 6_378_137.0, 1 / 298.257222101
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    k, s0 = 2 * math.sqrt(n) / (1 + n), math.sin(math.radians(lat0))
+    xi0 = math.atan(math.sinh(math.atanh(s0) - k * math.atanh(k * s0)))
+    base = xi0 + sum(alpha[j] * math.sin(2 * (j + 1) * xi0) for j in range(3))
+    xi, eta = (y - north) / (scale * radius) + base, (x - east) / (scale * radius)
+    u, v = xi, eta
+    for j in range(3):
+        m = 2 * (j + 1)
+        u = u - beta[j] * F.sin(m * xi) * F.cosh(m * eta)
+        v = v - beta[j] * F.cos(m * xi) * F.sinh(m * eta)
+    chi = F.asin(F.sin(u) / F.cosh(v))
+    lat = chi
+    for j in range(3):
+        lat = lat + delta[j] * F.sin(2 * (j + 1) * chi)
+    return lon0 + F.degrees(F.atan2(F.sinh(v), F.cos(u))), F.degrees(lat)
+
+
 def to_5181(lon: Column, lat: Column) -> tuple[Column, Column]:
     return transverse_mercator(lon, lat, 127.0, 38.0, 1.0, 200_000.0, 500_000.0)
 
@@ -59,6 +85,25 @@ def to_5179(lon: Column, lat: Column) -> tuple[Column, Column]:
     return transverse_mercator(lon, lat, 127.5, 38.0, 0.9996, 1_000_000.0, 2_000_000.0)
 
 
+def from_5181(x: Column, y: Column) -> tuple[Column, Column]:
+    return inverse_transverse_mercator(x, y, 127.0, 38.0, 1.0, 200_000.0, 500_000.0)
+
+
+def from_5179(x: Column, y: Column) -> tuple[Column, Column]:
+    return inverse_transverse_mercator(x, y, 127.5, 38.0, 0.9996, 1_000_000.0, 2_000_000.0)
+
+
+def reproject(geometry: Column, change: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """A GeoJSON point, polygon or multipolygon, as text, with changed coordinates; null for a null or another kind."""
+    kind, raw = F.get_json_object(geometry, "$.type"), F.get_json_object(geometry, "$.coordinates")
+    point = lambda p: F.array(*change(p[0], p[1]))
+    ring = lambda r: F.transform(r, point)
+    shape = lambda s: F.transform(s, ring)
+    of = [("Point", "array<double>", point), ("Polygon", "array<array<array<double>>>", shape), ("MultiPolygon", "array<array<array<array<double>>>>", lambda m: F.transform(m, shape))]
+    told = reduce(lambda rest, x: F.when(kind == x[0], F.to_json(x[2](F.from_json(raw, x[1])))).otherwise(rest), of, F.lit(None).cast("string"))
+    return F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), told, F.lit("}"))
+
+
 def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Distance of a point to a segment in the plane."""
     dx, dy = x2 - x1, y2 - y1

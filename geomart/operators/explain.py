@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +45,28 @@ def facility_sums(df: DataFrame, facilities: DataFrame, keys: list[str], names:
 
 
 def paired_bootstrap(df: DataFrame, a: str, b: str, rounds: int = 1000, level: float = 0.95, seed: int = 7) -> DataFrame:
-    """Mean difference of paired scores and its bootstrap interval, by Poisson weights: one pass, no resampled copies (PLN-1).
+    """low, high, mean_difference: mean difference of paired scores and its bootstrap interval, by Poisson weights (PLN-1).
 
-    Each row gets `rounds` weights from its own hash, so the result doesn't depend on partitions; df has an `id`.
+    Each row gets `rounds` weights from a hash of its `id`, so the result doesn't depend on partitions. A task sums its
+    rows' weights and weighted differences and hands on one row a round. Pairs with a null are left out.
     """
-    draws = F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda k: (F.pmod(F.xxhash64(F.col("id"), k, F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003.0)
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]  # Poisson(1) distribution function
-    weight = lambda u: reduce(lambda x, y: x + y, [F.when(u > c, 1).otherwise(0) for c in cuts])
-    each = df.select((F.col(a) - F.col(b)).alias("d"), F.posexplode(draws).alias("k", "u")).withColumn("w", weight(F.col("u")))
-    means = each.groupBy("k").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    cuts = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 12)]))  # distribution function of Poisson(1)
+    d = df.select(F.xxhash64("id", F.lit(seed)).alias("h"), (F.col(a) - F.col(b)).cast("double").alias("d")).filter("d is not null")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        n, total = np.zeros(rounds), np.zeros(rounds)
+        for batch in batches:
+            h, values = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            for at in range(0, len(h), 1024):
+                z = h[at : at + 1024, None] + steps
+                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                w = np.searchsorted(cuts, ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / 2.0**53, "right").astype(float)
+                n += w.sum(0)
+                total += values[at : at + 1024] @ w
+        yield pa.RecordBatch.from_arrays([pa.array(range(rounds), pa.int32()), pa.array(n), pa.array(total)], names=["k", "n", "t"])
+
+    means = d.mapInArrow(sums, "k int, n double, t double").groupBy("k").agg(F.try_divide(F.sum("t"), F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
     tail = (1 - level) / 2
-    return means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high")).crossJoin(df.agg(F.avg(F.col(a) - F.col(b)).alias("mean_difference")))
+    return means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high")).crossJoin(d.agg(F.avg("d").alias("mean_difference")))  # `rounds` rows

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.codes import gap_direction
-from ..functions.compat import null_safe_join, regression_scores, zscore0
+from ..functions.compat import exact_quantile, null_safe_join, regression_scores, zscore0
 
 
 def one_hot(df: DataFrame, name: str, most: int = 1000) -> tuple[DataFrame, list[str]]:
@@ -164,6 +164,12 @@ def compare_models(predictions: dict[str, DataFrame], y: str, p: str = "predicti
 
 def low_support(df: DataFrame, measures: list[str], q: float = 0.05, out: str = "low_support") -> DataFrame:
     """Flag of rows strictly below the q-quantile of any measure; nulls never are (PRJ-14)."""
-    cuts = df.agg(*[F.percentile(m, F.lit(q)).alias(f"_q_{m}") for m in measures])
     flag = reduce(lambda a, b: a | b, [F.coalesce(F.col(m) < F.col(f"_q_{m}"), F.lit(False)) for m in measures])
-    return df.crossJoin(F.broadcast(cuts)).withColumn(out, flag).drop(*[f"_q_{m}" for m in measures])  # cuts is one row
+    for m in measures:
+        df = df.join(F.broadcast(exact_quantile(df, m, q, out=f"_q_{m}")), how="left")  # one row at most
+    return df.withColumn(out, flag).drop(*[f"_q_{m}" for m in measures])
+
+
+def score_pivot(scores: DataFrame, scheme: str, model: str, models: list[str], metrics: list[str]) -> DataFrame:
+    """One row a scheme with each metric of each model side by side, as metric_model (AGG-13)."""
+    return scores.groupBy(scheme).agg(*[F.max(F.when(F.col(model) == m, F.col(x))).alias(f"{x}_{m}") for x in metrics for m in models])

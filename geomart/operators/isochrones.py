@@ -11,11 +11,12 @@ from .polygon import coverage
 from .spatial import point_in_polygon
 
 
-def merge_stations(found: DataFrame, place: str = "place") -> DataFrame:
-    """One row per physical station: those of the same normalized name, placed where the first of them lies, with all ids and lines (ISO-1)."""
-    g = found.withColumn("station_key", station_key(F.col("station_name"))).groupBy("station_key")
+def merge_stations(found: DataFrame, place: str = "place", by: list[str] | None = None) -> DataFrame:
+    """One row per physical station, of each `by`: those of the same normalized name, placed where the first of them lies, with all ids and lines (ISO-1)."""
+    keys = [*(by or []), "station_key"]
+    g = found.withColumn("station_key", station_key(F.col("station_name"))).groupBy(*keys)
     first = F.min_by(F.struct("station_name", "x", "y"), F.col(place))
-    return g.agg(first.alias("_f"), set_concat("station_id").alias("station_ids"), set_concat("line").alias("lines"), F.count("*").alias("rows")).select("station_key", "_f.*", "station_ids", "lines", "rows")
+    return g.agg(first.alias("_f"), set_concat("station_id").alias("station_ids"), set_concat("line").alias("lines"), F.count("*").alias("rows")).select(*keys, "_f.*", "station_ids", "lines", "rows")
 
 
 def search_circle(edges: DataFrame, margin_m: float = 500.0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import clock_seconds, plain_id
-from ..functions.compat import first_of, half_even, require_columns, zero_to_null
+from ..functions.compat import exact_quantile, first_of, half_even, require_columns, zero_to_null
 
 
 def consecutive(df: DataFrame, by: list[str], order: list[str], carry: dict[str, str]) -> DataFrame:
@@ -37,6 +37,20 @@ def active_services(calendar: DataFrame, exceptions: DataFrame, date: str) -> Da
     return base.union(today.filter("exception_type = '1'").select("service_id")).distinct().subtract(today.filter("exception_type = '2'").select("service_id"))
 
 
+def trips_of_the_day(trips: DataFrame, calendar: DataFrame | None, exceptions: DataFrame | None, date: str) -> DataFrame:
+    """The trips whose service runs on an ISO date; all of them where a feed has no calendar, and an error, when it runs, where it has one and no service runs (SET-5)."""
+    if calendar is None and exceptions is None:
+        return trips
+    spark = trips.sparkSession
+    days = "monday, tuesday, wednesday, thursday, friday, saturday, sunday".replace(",", " string,")
+    calendar = spark.createDataFrame([], f"service_id string, start_date string, end_date string, {days} string") if calendar is None else calendar
+    exceptions = spark.createDataFrame([], "service_id string, date string, exception_type string") if exceptions is None else exceptions
+    active = active_services(calendar, exceptions, date)
+    n = active.agg(F.count("*").alias("_n"))  # one row
+    runs = F.when(F.col("_n") > 0, F.coalesce("_runs", F.lit(False))).otherwise(F.raise_error(F.lit(f"no service runs on {date}")).cast("boolean"))
+    return trips.join(active.withColumn("_runs", F.lit(True)), "service_id", "left").join(F.broadcast(n)).filter(runs).select(trips.columns)
+
+
 def bus_edges(route_stops: DataFrame, speeds: DataFrame, seconds: str) -> DataFrame:
     """Edges between consecutive stops of a route with the median observed seconds, else the network's median (WIN-2, GRF-9).
 
@@ -50,8 +64,8 @@ def fill_by_median(edges: DataFrame, observed: DataFrame, keys: list[str], value
     """edges with the median of the observed non-zero values of the same keys, else of all of them, and which it was (GRF-9)."""
     seen = observed.withColumn("_v", zero_to_null(F.col(value).try_cast("double")))
     own = seen.groupBy(*keys).agg(F.median("_v").alias("_own"))
-    whole = seen.agg(F.median("_v").alias("_all"))
-    out_df = edges.join(own, keys, "left").crossJoin(F.broadcast(whole))  # one row
+    whole = exact_quantile(seen, "_v", 0.5, out="_all")
+    out_df = edges.join(own, keys, "left").join(F.broadcast(whole), how="left")  # one row at most
     return out_df.withColumn(source, F.when(F.col("_own").isNotNull(), names[0]).otherwise(names[1])).withColumn(out, F.coalesce("_own", "_all")).drop("_own", "_all")
 
 

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from geomart.plans import catalog, catalog_models, catalog_more, catalog_sources  # noqa: F401
+from geomart.plans import catalog, catalog_models, catalog_more, catalog_rules, catalog_sources  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 

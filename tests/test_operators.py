@@ -363,3 +363,125 @@ def test_shared_folder_is_never_made_on_a_cluster():
         shared_dir(session)
     session.conf = Conf({"spark.master": "local[2]"})
     assert shared_dir(session).startswith("file://") and session.conf["spark.checkpoint.dir"]
+
+
+def test_exact_quantiles(spark):
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from geomart.functions import compat
+
+    rnd = random.Random(2)
+    data = [(g, v) for g, n in (("a", 1), ("b", 2), ("c", 997), (None, 50)) for v in [float(rnd.choice([rnd.gauss(0, 1), 3, -1e9])) for _ in range(n)]] + [("a", None), ("empty", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    for q in (0.0, 0.05, 0.5, 0.99, 1.0):
+        want = {g: np.quantile([v for h, v in data if h == g and v is not None], q) for g in ("a", "b", "c", None)}
+        for accuracy in (100_000, 60):  # 60: the large group by a sketch
+            found = {r["g"]: r["quantile"] for r in compat.exact_quantile(df, "v", q, ["g"], accuracy=accuracy).collect()}
+            assert found == pytest.approx(want)
+        assert compat.exact_quantile(df, "v", q).first()[0] == pytest.approx(np.quantile([v for _, v in data if v is not None], q))
+    assert compat.exact_quantile(df.filter("v is null"), "v", 0.5).first()[0] is None
+    big = spark.range(200_000).select(F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("v"))
+    assert compat.exact_quantile(big, "v", 0.3, accuracy=2000).first()[0] == pytest.approx(np.quantile([r["v"] for r in big.collect()], 0.3))
+
+
+def test_trips_of_the_day_rules(spark):
+    from pyspark.errors import PySparkException
+
+    from geomart.operators import network
+
+    trips = spark.createDataFrame([(1, "a"), (2, "b")], "trip_id int, service_id string")
+    assert network.trips_of_the_day(trips, None, None, "2026-05-04").count() == 2
+    exceptions = spark.createDataFrame([("b", "20260504", "1")], "service_id string, date string, exception_type string")
+    assert [r["trip_id"] for r in network.trips_of_the_day(trips, None, exceptions, "2026-05-04").collect()] == [2]
+    with pytest.raises(PySparkException, match="no service runs"):
+        network.trips_of_the_day(trips, None, exceptions, "2026-05-05").collect()
+
+
+def test_projections_come_back(spark):
+    from pyspark.sql import functions as F
+
+    from geomart.functions import geo
+
+    p = spark.createDataFrame([(124.0 + i * 0.8, 33.0 + j * 0.65) for i in range(11) for j in range(11)], "lon double, lat double")
+    for there, back in ((geo.to_5181, geo.from_5181), (geo.to_5179, geo.from_5179)):
+        d = p.select("*", *[c.alias(n) for n, c in zip("xy", there(F.col("lon"), F.col("lat")))])
+        d = d.select("*", *[c.alias(n) for n, c in zip("uv", back(F.col("x"), F.col("y")))])
+        away = d.agg(F.max(geo.haversine_m(F.col("lon"), F.col("lat"), F.col("u"), F.col("v")))).first()[0]
+        assert away < 0.001
+
+
+def test_one_collection(spark, tmp_path):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from geomart.functions import geo
+    from geomart.sources import sinks
+
+    square = '{"type": "Polygon",\n "coordinates": [[[200000, 500000], [200010, 500000], [200010, 500010], [200000, 500000]]]}'
+    multi = square.replace("Polygon", "MultiPolygon").replace("[[[", "[[[[").replace("]]]", "]]]]")
+    rows = [(i, [square, multi, None, '{"type":"Point","coordinates":[200000,500000]}'][i % 4], f'a "b"\n{i}') for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, g string, name string").repartition(7)
+    degrees = df.withColumn("g", geo.reproject(F.col("g"), geo.from_5181))
+    for chunk in (1 << 20, 17):
+        sinks.write_collection(degrees, f"file://{tmp_path}/out/all.geojson", "g", ["id", "name"], chunk)
+        held = json.loads((tmp_path / "out/all.geojson").read_text())
+        assert held["type"] == "FeatureCollection" and sorted(f["properties"]["id"] for f in held["features"]) == list(range(400))
+        by = {f["properties"]["id"]: f for f in held["features"]}
+        assert by[5]["properties"]["name"] == 'a "b"\n5' and by[2]["geometry"] is None
+        assert by[0]["geometry"]["coordinates"][0][0] == pytest.approx([127.0, 38.0]) and by[1]["geometry"]["coordinates"][0][0][3] == pytest.approx([127.0, 38.0]) and by[3]["geometry"]["coordinates"] == pytest.approx([127.0, 38.0])
+        assert [p.name for p in (tmp_path / "out").iterdir() if not p.name.endswith(".crc")] == ["all.geojson"]
+    sinks.write_collection(degrees.limit(0), f"file://{tmp_path}/out/none.geojson", "g", ["id"])
+    assert json.loads((tmp_path / "out/none.geojson").read_text())["features"] == []
+
+
+def test_report_rows(spark):
+    from pyspark.sql import functions as F
+
+    from geomart.sources import sinks
+
+    df = spark.range(500).select("id", F.when(F.col("id") % 3 > 0, F.col("id") * 2).alias("twice")).repartition(5)
+    lines = [r["value"] for r in sinks.markdown_rows(df, ["id"]).orderBy("line").collect()]
+    assert lines == ["| id | twice |", "|---|---|", *(f"| {i} | {i * 2 if i % 3 else ''} |" for i in range(500))]
+
+
+def test_requests_resume_without_a_second_call(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    from geomart.streaming import requests
+
+    calls, cache = tmp_path / "calls", f"file://{tmp_path}/answers"
+    calls.mkdir()
+
+    def call(name, request):
+        (calls / f"{name.replace('/', '_')}-{len(list(calls.glob(name.replace('/', '_') + '-*')))}").write_text(request)
+        if (calls.parent / "down").exists() and name.startswith("d"):
+            raise OSError("service is down")
+        return '{"error":"bad"}' if name.startswith("x") else f'{{"of":"{name}"}}'
+
+    good = lambda answer: "error" not in answer
+    made = lambda: sorted(p.name for p in calls.iterdir())
+    rows = [("a/1", "q"), ("b", "q"), ("b", "p"), ("c", None), ("d", "q"), ("x", "q"), (None, "q")]
+    spark.createDataFrame(rows, "name string, request string").repartition(3).write.parquet(f"{tmp_path}/requests")
+    stream = lambda: spark.readStream.schema("name string, request string").parquet(f"{tmp_path}/requests")
+    run = lambda budget: requests.fetch_stream(stream(), call, good, cache, budget, f"{tmp_path}/checkpoint").awaitTermination()
+    (tmp_path / "down").touch()
+    with pytest.raises(StreamingQueryException):
+        run(10)
+    before = set(made())
+    (tmp_path / "down").unlink()
+    run(10)
+    assert {"a_1-0", "b-0", "c-0", "x-0"} <= set(made()) and [n for n in made() if n.endswith("-1")] == ["d-1"] and before <= set(made())
+    assert (calls / "b-0").read_text() == "p"
+    assert sorted(r["name"] for r in requests.answers(spark, cache).collect()) == ["a/1", "b", "c", "d"]
+    assert [(r["name"], r["payload"]) for r in requests.answers(spark, cache, "quarantine").collect()] == [("x", '{"error":"bad"}')]
+    n = len(made())
+    spark.createDataFrame([(f"n{i}", "q") for i in range(6)] + [("x", "q"), ("b", "q")], "name string, request string").write.mode("append").parquet(f"{tmp_path}/requests")
+    with pytest.raises(StreamingQueryException, match="spent"):
+        run(8)  # five are spent
+    assert len(made()) == n + 3
+    run(11)
+    assert len(made()) == n + 6 and requests.answers(spark, cache).count() == 10

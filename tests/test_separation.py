@@ -13,7 +13,7 @@ COUNT = "import __spark_entry__ as e; q = e.queries(); assert e.oracle_sql().key
 
 @pytest.mark.parametrize("also", [[], ["corpus_pipeline.py"]])
 def test_queries_without_the_corpus_subpackage(tmp_path, also):
-    from geomart.plans import catalog, catalog_models, catalog_more, catalog_sources  # noqa: F401
+    from geomart.plans import catalog, catalog_models, catalog_more, catalog_rules, catalog_sources  # noqa: F401
 
     tree = tmp_path / "tree"
     shutil.copytree(ROOT, tree, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache", *also))
