@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, compat, geo
 from ..functions.tables import scratch
-from ..operators import access, explain, gaps, isochrones, network, odmart, polygon, routing, spatial
+from ..operators import access, boosting, explain, gaps, isochrones, network, odmart, polygon, routing, spatial
 from ..sources import readers, sinks
 from ..streaming import windows
 from .catalog import ORDER_KEY, WITHOUT_SQL, query, r6, table
@@ -408,7 +408,7 @@ def active_network(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """Schemes of hold-outs by models: ridge and boosted trees over years and over groups of nations (ML-3, ML-5 to ML-7, AGG-13)."""
+    """Schemes of hold-outs by models: ridge, boosted trees and boosted histograms over years and over groups of nations (ML-3, ML-5 to ML-7, AGG-13)."""
     from .catalog_more import nation_quarters
 
     q = nation_quarters(spark, d)
@@ -417,6 +417,7 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     for scheme, df, fold in (("year", q, "yr"), ("nation_group", grouped, "fold")):
         frames[f"{scheme}/ridge"] = gaps.ridge_out_of_fold(df, ["x1", "x2"], "y", fold)
         frames[f"{scheme}/boosted"] = gaps.boosted_out_of_fold(df, ["x1", "x2"], "y", fold, rounds=5)
+        frames[f"{scheme}/histogram"] = boosting.histogram_out_of_fold(df, ["x1", "x2"], "y", fold, rounds=4, rate=0.3)[0]
     return gaps.compare_models(frames, "y").select(F.split_part("model", F.lit("/"), F.lit(1)).alias("scheme"), F.split_part("model", F.lit("/"), F.lit(2)).alias("model"), "rmse", "mae", "r2")
 
 

@@ -172,3 +172,68 @@ def test_gravity_equals_a_plain_solver(spark):
     assert fit.coefficients[0] == pytest.approx(slope, abs=1e-7) and fit.errors[0] == pytest.approx(error, rel=1e-6)
     got = {(r["o"], r["d"]): r["fitted"] for r in fit.fitted.collect()}
     assert got == pytest.approx({(o, d): m for (o, d, _, _), m in zip(rows, fitted)}, rel=1e-6)
+
+
+def tree_by_hand(x, r, leaves, least, penalty):
+    """Grows a tree leaf by leaf, trying every value of every feature as a split of every leaf; leaf of each row and the leaves' values."""
+    score = lambda v: v.sum() ** 2 / (len(v) + penalty)
+    parts = [np.arange(len(r))]
+    while len(parts) < leaves:
+        best = (0.0, None)
+        for k, part in enumerate(parts):
+            for f in range(x.shape[1]):
+                for v in np.unique(x[part, f])[:-1]:
+                    side = x[part, f] <= v
+                    if min(side.sum(), (~side).sum()) >= least:
+                        gain = score(r[part[side]]) + score(r[part[~side]]) - score(r[part])
+                        if gain > best[0] + 1e-9:
+                            best = (gain, (k, f, v))
+        if best[1] is None:
+            break
+        k, f, v = best[1]
+        side = x[parts[k], f] <= v
+        parts[k : k + 1] = [parts[k][side], parts[k][~side]]
+    return parts, [r[p].sum() / (len(p) + penalty) for p in parts]
+
+
+def test_histogram_boosting_equals_a_search_of_every_split(spark):
+    from geomart.operators import boosting
+
+    n = 240
+    x = np.column_stack([RANDOM.integers(0, 30, n), RANDOM.integers(0, 12, n)]).astype(float)
+    y = np.where(x[:, 0] > 11, 3.0, 0.0) + 0.2 * x[:, 1] + RANDOM.normal(size=n) * 0.3
+    fold = RANDOM.integers(0, 3, n)
+    rows = [(int(i), float(a), float(b), float(v), f"f{k}") for i, ((a, b), v, k) in enumerate(zip(x, y, fold))]
+    df = spark.createDataFrame([*rows, (999, None, 3.0, None, "f1"), (998, None, 3.0, 1.0, None)][:-1], "i long, a double, b double, y double, fold string")
+    found, forest = boosting.histogram_out_of_fold(df, ["a", "b"], "y", "fold", rounds=2, rate=0.3, leaves=5, least=10)
+    got = {r["i"]: r["prediction"] for r in found.collect()}
+    for k in range(3):
+        train = np.flatnonzero(fold != k)
+        p = np.full(n, y[train].mean())
+        for _ in range(2):
+            parts, values = tree_by_hand(x[train], (y - p)[train], 5, 10, 1.0)
+            lows = [x[train][q].min(0) for q in parts]
+            highs = [x[train][q].max(0) for q in parts]
+            for i in range(n):
+                inside = [j for j in range(len(parts)) if (x[i] >= lows[j]).all() and (x[i] <= highs[j]).all()]
+                if i in train:
+                    at = next(j for j, q in enumerate(parts) if i in train[q])
+                    p[i] += 0.3 * values[at]
+                elif len(inside) == 1:
+                    p[i] += 0.3 * values[inside[0]]
+                else:
+                    p[i] = np.nan  # between the rows of two leaves
+        for i in np.flatnonzero(fold == k):
+            assert np.isnan(p[i]) or got[i] == pytest.approx(p[i])
+        assert np.isfinite(p[fold == k]).mean() > 0.7
+    assert got[999] is not None and len(forest) == 2 and all(2 <= len(t.leaves) <= 5 for trees in forest for t in trees)
+    e = np.array([got[i] for i in range(n)]) - y
+    assert (e**2).mean() < 0.6 * y.var()
+
+
+def test_histogram_boosting_of_one_fold_and_of_no_rows(spark):
+    from geomart.operators import boosting
+
+    df = spark.createDataFrame([(1.0, 2.0, 1)], "a double, y double, fold int")
+    assert [r["prediction"] for r in boosting.histogram_out_of_fold(df, ["a"], "y", "fold", rounds=2)[0].collect()] == [None]
+    assert boosting.histogram_out_of_fold(df.limit(0), ["a"], "y", "fold", rounds=2)[0].collect() == []
