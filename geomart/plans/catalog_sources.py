@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, compat, geo
-from ..functions.tables import scratch
+from ..functions.tables import cut, scratch
 from ..operators import access, boosting, explain, gaps, isochrones, network, odmart, polygon, routing, spatial
 from ..sources import readers, sinks
 from ..streaming import windows
@@ -411,7 +411,7 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Schemes of hold-outs by models: ridge, boosted trees and boosted histograms over years and over groups of nations (ML-3, ML-5 to ML-7, AGG-13)."""
     from .catalog_more import nation_quarters
 
-    q = nation_quarters(spark, d)
+    q = cut(nation_quarters(spark, d), "quarters")
     grouped = q.join(gaps.balanced_group_folds(q, "nation"), "nation")
     frames = {}
     for scheme, df, fold in (("year", q, "yr"), ("nation_group", grouped, "fold")):
