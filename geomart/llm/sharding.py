@@ -4,7 +4,8 @@ Every document begins in the shard its doc_id hashes to. In each round the docum
 shards they lie in; joins bring the vote back and documents outside their group's leading shard ask to move there. A
 shard admits movers, in a fixed order, up to a quota: linked documents may fill it to `fill` of the mean size. A group
 too large for one shard leads in as many shards as it needs. When no document moves any more, unlinked documents flow
-from shards above the mean to shards below it, small ones last, until sizes are even.
+from shards above the mean to shards below it, small ones last, until sizes are even; where documents are few, single
+moves and swaps between the fullest and the emptiest shards do the rest.
 """
 
 from __future__ import annotations
@@ -86,6 +87,66 @@ def even_out(state: DataFrame, shards: int, near: float = 1e-4, passes: int = 20
     return state
 
 
+def transfers(loads: np.ndarray, held: list[dict[int, int]], near: float) -> dict[int, int]:
+    """Single moves and swaps that make sizes more even; held: copy and size of each shard's documents that may go. The shard each moved copy ends in.
+
+    A transfer from the fullest shard to the emptiest that gains by it, or to the emptiest from the fullest that does,
+    comes as close as it can to half of their difference. Each one lowers the sum of squared sizes, so it ends: when all
+    sizes are within `near` of the mean, or no transfer helps.
+    """
+    loads, held, moved = loads.copy(), [dict(h) for h in held], {}
+    while np.abs(loads - loads.mean()).max(initial=0) > near * loads.mean():
+        rank = np.argsort(loads)
+        pairs = [(rank[-1], e) for e in rank[:-1]] + [(f, rank[0]) for f in rank[:0:-1]]
+        for full, empty in pairs:
+            apart = loads[full] - loads[empty]
+            out, back = list(held[full].items()), [(None, 0), *held[empty].items()]
+            if not out or apart < 2:
+                continue
+            gain = np.array([size for _, size in out])[:, None] - np.array([size for _, size in back])[None, :]
+            off = np.where((gain > 0) & (gain < apart), np.abs(2 * gain - apart), np.inf)
+            at = np.unravel_index(off.argmin(), off.shape)
+            if np.isfinite(off[at]):
+                (copy, size), (other, smaller) = out[at[0]], back[at[1]]
+                held[empty][copy], moved[copy] = held[full].pop(copy), int(empty)
+                if other is not None:
+                    held[full][other], moved[other] = held[empty].pop(other), int(full)
+                loads[full] -= size - smaller
+                loads[empty] += size - smaller
+                break
+        else:
+            return moved
+    return moved
+
+
+def settle(state: DataFrame, shards: int, near: float = 1e-4) -> DataFrame:
+    """The same rows after transfers, with unlinked documents first and linked ones where these don't suffice, until sizes are within `near` of the mean or no transfer among the documents on offer helps.
+
+    A shard offers one document of each size class, 2 ** 16 classes in all shards and 32 octaves; so no more than that,
+    times two, reaches the driver, and as much is broadcast.
+    """
+    per = max(1, 65_536 // (32 * shards))
+    for with_linked in (False, True):
+        last = float("inf")
+        while True:
+            loads = _loads(state, shards)
+            off = float(((loads - loads.mean()) ** 2).sum())
+            if np.abs(loads - loads.mean()).max(initial=0) <= near * loads.mean() or off >= last:
+                break
+            last = off
+            kind = F.floor(F.log2(F.col("size").cast("double")) * per)
+            offered = state.filter(F.lit(with_linked) | ~F.col("linked")).groupBy("shard", kind.alias("kind")).agg(F.min(F.struct("copy", "size")).alias("one"))
+            held: list[dict[int, int]] = [{} for _ in range(shards)]
+            for row in offered.select("shard", "one.copy", "one.size").collect():
+                held[row["shard"]][row["copy"]] = row["size"]
+            moved = transfers(loads, held, near)
+            if not moved:
+                break
+            goals = state.sparkSession.createDataFrame(list(moved.items()), "copy long, goal int")
+            state = cut(state.join(F.broadcast(goals), "copy", "left").withColumn("shard", F.coalesce("goal", "shard")).drop("goal"), "settled")
+    return state
+
+
 def shard_documents(docs: DataFrame, shards: int = 40, fill: float = 0.9, rounds: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law ("bytes"), shard, slot, grown_shard (null), group_docs.
 
@@ -103,5 +164,5 @@ def shard_documents(docs: DataFrame, shards: int = 40, fill: float = 0.9, rounds
     state = cut(state.withColumn("linked", F.col("group_docs").isNotNull()), "state")
     linked = propagate(state.filter("linked").select("doc_id", "copy", "size", "group", "shard"), groups.select("group", "group_bytes"), shards, mean, fill, rounds)
     moved = state.filter("not linked").select("doc_id", "copy", "size", "shard", "linked").unionByName(linked.select("doc_id", "copy", "size", "shard", F.lit(True).alias("linked")))
-    placed = running_total(even_out(cut(moved, "moved"), shards).select("copy", "shard"), ["shard"], ["copy"], F.lit(1), "slot")
+    placed = running_total(settle(even_out(cut(moved, "moved"), shards), shards).select("copy", "shard"), ["shard"], ["copy"], F.lit(1), "slot")
     return state.select("copy", "doc_id", "size", "text_crc32", F.coalesce("group_docs", F.lit(1)).alias("group_docs")).join(placed, "copy").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_docs")

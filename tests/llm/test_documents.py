@@ -241,6 +241,27 @@ def test_shards_are_even_and_keep_groups(spark):
     assert sum(len(where[c]) == 1 for c in together) >= 0.9 * len(together)
 
 
+def test_shards_of_few_documents(spark):
+    texts = [(k, "x" * int(RANDOM.lognormvariate(7, 1))) for k in range(1000)]
+    texts += [(2000 + k, texts[k % 30][1]) for k in range(60)]
+    found = rows(sharding.shard_documents(spark.createDataFrame(texts, "doc_id long, text string"), shards=40))
+    loads = [sum(r["size"] for r in found if r["shard"] == k) for k in range(40)]
+    assert max(loads) - min(loads) < 0.002 * sum(loads) / 40
+    few = rows(sharding.shard_documents(spark.createDataFrame([(k, "y" * 50 * k) for k in range(7)], "doc_id long, text string"), shards=40))
+    assert len({r["shard"] for r in few}) == 7 and all(r["slot"] == 0 for r in few)
+
+
+def test_transfers():
+    import numpy as np
+
+    loads, held = np.array([50.0, 10.0, 30.0]), [{1: 40, 2: 10}, {3: 10}, {4: 30}]
+    moved = sharding.transfers(loads, held, 0.01)
+    where = {1: 0, 2: 0, 3: 1, 4: 2} | moved
+    sizes = {1: 40, 2: 10, 3: 10, 4: 30}
+    assert sorted(sum(sizes[c] for c in sizes if where[c] == k) for k in range(3)) == [20, 30, 40]
+    assert sharding.transfers(np.array([5.0, 5.0]), [{1: 5}, {2: 5}], 0.0) == {}
+
+
 def test_token_rollup(spark, tmp_path):
     r = token_rollup.TokenRollup(spark, f"file://{tmp_path}/rollup")
     kinds = "doc_id long, op string, source string, lang string, tokenizer_version string, n_tokens long"
