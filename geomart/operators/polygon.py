@@ -92,7 +92,7 @@ def overlay_shares(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: flo
 def coverage(zones: DataFrame, shapes: DataFrame, zone: str, origin: str, least: float = 0.1, cell: float | None = None) -> DataFrame:
     """zone, origin, ratio of the zone that the union of an origin's shapes covers, where at least `least` (JOIN-13). shapes: origin, shape, part, x1, y1, x2, y2. Boxes meet by the cells they cover."""
     z = zones.groupBy(zone).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_zone"))
-    s = shapes.groupBy(origin, "shape", "part").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("e")).groupBy(origin).agg(F.collect_list("e").alias("_shapes"))
+    s = shapes.groupBy(origin).agg(F.collect_list(F.struct(F.xxhash64("shape", "part").alias("of"), "x1", "y1", "x2", "y2")).alias("_shapes"))
     box = lambda df, k, t: df.groupBy(k).agg(F.min(F.least("x1", "x2")).alias(f"x0{t}"), F.max(F.greatest("x1", "x2")).alias(f"x9{t}"), F.min(F.least("y1", "y2")).alias(f"y0{t}"), F.max(F.greatest("y1", "y2")).alias(f"y9{t}"))
     near = _meeting(box(zones, zone, "_a"), box(shapes, origin, "_b"), zone, origin, cell)
 
@@ -101,7 +101,10 @@ def coverage(zones: DataFrame, shapes: DataFrame, zone: str, origin: str, least:
         for pdf in batches:
             ratio = []
             for zz, ss in zip(pdf["_zone"], pdf["_shapes"]):
-                own, parts = as_rows(zz), [as_rows(p) for p in ss]
+                of: dict[int, list] = {}
+                for e in ss:
+                    of.setdefault(e["of"], []).append(e)
+                own, parts = as_rows(zz), [as_rows(p) for p in of.values()]
                 # |zone and union| = |zone| + |union| - |zone or union|
                 whole, union, both = covered_area([own]), covered_area(parts, 1), covered_area([own, *parts], 1)
                 ratio.append((whole + union - both) / whole if whole else 0.0)

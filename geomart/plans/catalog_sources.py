@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, compat, geo
 from ..functions.tables import cut, scratch
-from ..operators import access, boosting, explain, gaps, isochrones, network, odmart, polygon, routing, spatial
+from ..operators import access, boosting, clipping, explain, gaps, isochrones, network, odmart, polygon, routing, spatial
 from ..sources import readers, sinks
 from ..streaming import windows
 from .catalog import ORDER_KEY, WITHOUT_SQL, query, r6, table
@@ -223,6 +223,13 @@ def polygon_overlay(spark: SparkSession, d: str) -> DataFrame:
     return o.select("p", "z", F.round("overlap", 6).alias("overlap"), r6("share").alias("share"))
 
 
+@query(f"WITH {BOX_SQL} SELECT a.p, b.z, CAST(({OVERLAP[0]}) * ({OVERLAP[1]}) AS DOUBLE) AS overlap, round(({OVERLAP[0]}) * ({OVERLAP[1]}) / CAST((a.x9 - a.x0) * (a.y9 - a.y0) AS DOUBLE), 6) AS share FROM boxes a JOIN zones b ON {OVERLAP[0]} > 0 AND {OVERLAP[1]} > 0")
+def clipped_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """The same shares from the trapezoids of edges clipped to cells, which take polygons of any size (JOIN-12)."""
+    o = clipping.overlay_areas(ring(part_boxes(spark, d), "p"), ring(zones(spark, d), "z"), "p", "z", most=4)
+    return o.select("p", "z", F.round("overlap", 6).alias("overlap"), r6("share").alias("share"))
+
+
 @query(f"""WITH {BOX_SQL}, c AS (SELECT a.land, b.z, ({OVERLAP[0]}) * ({OVERLAP[1]}) / CAST((a.x9 - a.x0) * (a.y9 - a.y0) AS DOUBLE) AS ratio FROM lands a JOIN zones b ON {OVERLAP[0]} > 0 AND {OVERLAP[1]} > 0)
 SELECT land, count(DISTINCT z) AS origin_count, round(max(ratio), 6) AS maximum_coverage, round(count(DISTINCT z) / CAST((SELECT count(*) FROM supplier) AS DOUBLE), 6) AS origin_ratio FROM c WHERE ratio >= 0.1 GROUP BY land""")
 def district_coverage(spark: SparkSession, d: str) -> DataFrame:

@@ -237,3 +237,50 @@ def test_histogram_boosting_of_one_fold_and_of_no_rows(spark):
     df = spark.createDataFrame([(1.0, 2.0, 1)], "a double, y double, fold int")
     assert [r["prediction"] for r in boosting.histogram_out_of_fold(df, ["a"], "y", "fold", rounds=2)[0].collect()] == [None]
     assert boosting.histogram_out_of_fold(df.limit(0), ["a"], "y", "fold", rounds=2)[0].collect() == []
+
+
+def star(n, x, y, r, seed, wild=0.5):
+    rng = np.random.default_rng(seed)
+    t = np.sort(rng.random(n)) * 2 * np.pi
+    d = r * (1 - wild * rng.random(n))
+    return [(float(x + a * math.cos(b)), float(y + a * math.sin(b))) for a, b in zip(d, t)]
+
+
+def ring_edges(spark, shapes, key):
+    rows = [(k, 0, i, i > 0, *p, *q) for k, rings in shapes.items() for i, ring in enumerate(rings) for p, q in zip(ring, ring[1:] + ring[:1])]
+    return spark.createDataFrame(rows, f"{key} string, part int, ring int, hole boolean, x1 double, y1 double, x2 double, y2 double")
+
+
+@pytest.mark.parametrize("most", [4, 256])
+def test_clipped_overlays_equal_the_sweep_over_whole_polygons(spark, most):
+    from geomart.operators import clipping, polygon
+
+    a = {"a": [star(40, 0, 0, 10, 1), star(9, 0, 0, 3, 2)], "b": [[(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0)]], "c": [star(25, 6, -3, 7, 3)], "far": [[(90.0, 90.0), (91.0, 90.0), (91.0, 91.0)]]}
+    b = {"p": [star(60, 2, 1, 9, 4)], "q": [[(2.0, 2.0), (6.0, 2.0), (6.0, 6.0), (2.0, 6.0)], [(3.0, 3.0), (5.0, 3.0), (5.0, 5.0), (3.0, 5.0)]], "r": [[(8.0, 0.0), (9.0, 0.0), (9.0, 8.0), (8.0, 8.0)]], "s": [[(-50.0, -50.0), (50.0, -50.0), (50.0, 50.0), (-50.0, 50.0)]]}
+    left, right = ring_edges(spark, a, "k"), ring_edges(spark, b, "z")
+    want = {(r["k"], r["z"]): r["overlap"] for r in polygon.overlay_shares(left, right, "k", "z").collect()}
+    got = {(r["k"], r["z"]): r["overlap"] for r in clipping.overlay_areas(left, right, "k", "z", most=most).collect()}
+    assert len(want) >= 8 and got == pytest.approx(want, rel=1e-9)
+    parts = clipping.overlay(left, right, "k", "z", most=most).filter("k = 'a' and z = 'p'")
+    again = parts.groupBy("part").agg(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")).alias("twice"))
+    assert again.filter("twice < -1e-9").count() == 0 and again.agg(F.sum("twice") / 2).first()[0] == pytest.approx(want["a", "p"])
+    assert clipping.overlay_areas(left.limit(0), right, "k", "z", cell=1.0).collect() == []
+    shapes = right.withColumn("origin", F.lit("o")).withColumn("shape", F.col("z"))
+    union = {r["k"]: r["ratio"] for r in polygon.coverage(left.filter("k <> 'far'"), shapes.filter("z <> 's'"), "k", "origin", least=0.0).collect()}
+    found = {r["k"]: r["share"] for r in clipping.overlay_areas(left, shapes.filter("z <> 's'"), "k", "origin", most=most, shape=["shape", "part"]).collect()}
+    assert found == pytest.approx({k: v for k, v in union.items() if v > 0})
+
+
+def test_large_polygons_in_cells(spark):
+    """Two stars of 10,000 vertices, whose whole sweep would cross all edges with all others."""
+    from geomart.operators import clipping
+
+    one, two = star(10_000, 0, 0, 10, 5, 0.1), star(10_000, 1, 0, 10, 6, 0.1)
+    a, b = ring_edges(spark, {"a": [one]}, "k"), ring_edges(spark, {"b": [two]}, "z")
+    cells = clipping.cells(a.withColumn("side", F.lit("")).withColumns({"cx0": F.lit(-10.0), "cy0": F.lit(-10.0), "cx1": F.lit(10.0), "cy1": F.lit(10.0)}), ["k"])
+    assert cells.agg(F.max(F.size(F.filter("rows", lambda r: r["kind"] == 0)))).first()[0] <= 256
+    shoelace = lambda p: abs(sum(u[0] * v[1] - v[0] * u[1] for u, v in zip(p, p[1:] + p[:1]))) / 2
+    around = ring_edges(spark, {"b": [[(-20.0, -20.0), (20.0, -20.0), (20.0, 20.0), (-20.0, 20.0)]]}, "z")
+    assert clipping.overlay_areas(a, around, "k", "z").first()["overlap"] == pytest.approx(shoelace(one))
+    both = clipping.overlay_areas(a, b, "k", "z").first()["overlap"]
+    assert 0.8 * shoelace(one) < both < min(shoelace(one), shoelace(two))
