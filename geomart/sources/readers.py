@@ -1,7 +1,8 @@
 """Scans: CSV in several encodings, archives, transit feeds, spreadsheets, shapes, GeoJSON and cached JSON.
 
-UTF-8 CSV goes through Spark's own reader with an explicit schema. Files that it can't open (other encodings, members of
-archives, spreadsheets, shapes) are read whole as binary rows, one file a row, and parsed in tasks.
+UTF-8 CSV goes through Spark's own reader with an explicit schema, CSV in archives through a data source of its own.
+Other files that Spark can't open (other encodings, spreadsheets, shapes) are read whole as binary rows, one file a row,
+and parsed in tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import struct
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.compat import require_columns
+from .archives import ZippedCsv, decode, member_names, pick_member
 
 ENCODINGS = ("utf-8-sig", "cp949", "euc-kr")
 GTFS_REQUIRED = ("stops", "trips", "stop_times")
@@ -40,50 +43,36 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def decode(data: bytes, encodings: tuple[str, ...] = ENCODINGS) -> str:
-    """Text by the first encoding that fits (SRC-3)."""
-    for name in encodings:
-        try:
-            return data.decode(name)
-        except UnicodeDecodeError:
-            continue
-    raise ValueError(f"none of {', '.join(encodings)} fits")
-
-
 def archive_member(data: bytes, pick: str, suffix: str = ".csv") -> bytes:
-    """The first member with the suffix, the only one, or the one of that name (SRC-4, SRC-5)."""
+    """The content of the member that `pick_member` takes."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = [n for n in z.namelist() if n.lower().endswith(suffix)]
-        if pick == "single" and len(names) != 1:
-            raise ValueError(f"{len(names)} members end with {suffix}, not one")
-        if pick not in ("first", "single"):
-            names = [n for n in z.namelist() if n.rpartition("/")[2] == pick]
-        if not names:
-            raise ValueError(f"no member {pick if pick not in ('first', 'single') else suffix}")
-        return z.read(names[0])
+        return z.read(pick_member(z.namelist(), pick, suffix))
 
 
 def _strings(columns: list[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
 
 
-def csv_any(spark: SparkSession, paths: str | list[str], columns: list[str], archive: str | None = None, encodings: tuple[str, ...] = ENCODINGS, block: int = 50_000) -> DataFrame:
-    """Named columns of CSV files as strings, in any of the encodings, plain or within a ZIP (SRC-2 to SRC-6). A missing column raises."""
+def csv_any(spark: SparkSession, paths: str | list[str], columns: list[str], archive: str | None = None, encodings: tuple[str, ...] = ENCODINGS, block: int = 64 << 20) -> DataFrame:
+    """Named columns of CSV files as strings, in any of the encodings, plain or within a ZIP (SRC-2 to SRC-6). A missing column raises.
+
+    Members of archives are read in blocks of `block` bytes; a plain file in another encoding is one row of one task.
+    """
+    if archive:
+        spark.dataSource.register(ZippedCsv)
+        reader = spark.read.format("zipped_csv").schema(_strings(columns)).option("member", archive).option("encodings", ",".join(encodings)).option("block", block)
+        return union_by_name([reader.load(p) for p in ([paths] if isinstance(paths, str) else paths)])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"]):
-                rows = csv.reader(io.StringIO(decode(archive_member(data, archive) if archive else data, encodings), newline=""))
+                rows = csv.reader(io.StringIO(decode(data, encodings), newline=""))
                 head = [h.strip() for h in next(rows, [])]
                 if missing := [c for c in columns if c not in head]:
                     raise ValueError(f"{path} lacks columns: {', '.join(missing)}")
-                at, held = [head.index(c) for c in columns], []
-                for row in rows:
-                    held.append([row[i] if i < len(row) and row[i] != "" else None for i in at])
-                    if len(held) == block:
-                        yield pd.DataFrame(held, columns=columns, dtype=object)
-                        held = []
-                yield pd.DataFrame(held, columns=columns, dtype=object)
+                at = [head.index(c) for c in columns]
+                while held := [[row[i] if i < len(row) and row[i] != "" else None for i in at] for row in islice(rows, 50_000)]:
+                    yield pd.DataFrame(held, columns=columns, dtype=object)
 
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(read, _strings(columns))
 
@@ -98,9 +87,7 @@ def gtfs_table(spark: SparkSession, source: str, name: str, columns: list[str])
 def gtfs_files(spark: SparkSession, source: str) -> dict[str, bool]:
     """Which tables a feed has; raises if one that is needed is missing (SRC-6)."""
     if source.lower().endswith(".zip"):
-        content = spark.read.format("binaryFile").load(source).select("content").first()[0]
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            names = {n.rpartition("/")[2] for n in z.namelist()}
+        names = {n.rpartition("/")[2] for n in member_names(source)}
     else:
         names = {r[0].rpartition("/")[2] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(source).select("path").collect()}
     found = {t: f"{t}.txt" in names for t in (*GTFS_REQUIRED, *GTFS_OPTIONAL)}

@@ -485,3 +485,38 @@ def test_requests_resume_without_a_second_call(spark, tmp_path):
     assert len(made()) == n + 3
     run(11)
     assert len(made()) == n + 6 and requests.answers(spark, cache).count() == 10
+
+
+def test_zipped_csv_in_blocks(spark, tmp_path):
+    import csv
+    import io
+    import zipfile
+
+    from geomart.sources import archives, readers
+
+    rows = [[str(i), "가나" * (i % 5) + f'"{i}",\n다' if i % 7 == 0 else f"값{i}", "x" * (i % 40)] for i in range(3000)]
+    out = io.StringIO()
+    w = csv.writer(out)
+    w.writerow(["번호 ", "이름", "그밖"])
+    w.writerows(rows)
+    for k, (encoding, kind) in enumerate([("cp949", zipfile.ZIP_DEFLATED), ("utf-8-sig", zipfile.ZIP_STORED)]):
+        with zipfile.ZipFile(tmp_path / f"{k}.zip", "w", kind) as z:
+            z.writestr("in/table.csv", out.getvalue().encode(encoding))
+            z.writestr("in/readme.txt", "no table")
+    want = sorted((r[0], r[1]) for r in rows) * 2
+    for block in (1 << 26, 4096, 257):
+        df = readers.csv_any(spark, f"file://{tmp_path}", ["번호", "이름"], archive="single", block=block)
+        assert sorted((r["번호"], r["이름"]) for r in df.collect()) == sorted(want)
+    assert df.rdd.getNumPartitions() > 400 and df.columns == ["번호", "이름"]
+    blocks = archives.ZippedCsv({"path": str(tmp_path), "block": "4096"})
+    assert blocks.schema().names == ["번호", "이름", "그밖"] and len(blocks.reader(blocks.schema()).partitions()) > 30
+    with pytest.raises(Exception, match="lacks columns"):
+        readers.csv_any(spark, f"file://{tmp_path}/0.zip", ["없음"], archive="table.csv").collect()
+    with pytest.raises(Exception, match="no member"):
+        readers.csv_any(spark, str(tmp_path), ["번호"], archive="other.csv").collect()
+    with zipfile.ZipFile(tmp_path / "empty.zip", "w") as z:
+        z.writestr("e.csv", "a,b\n")
+    assert readers.csv_any(spark, str(tmp_path / "empty.zip"), ["b"], archive="first").collect() == []
+    with zipfile.ZipFile(tmp_path / "bare.zip", "w") as z:
+        z.writestr("e.csv", "a,b\n1,2")
+    assert [tuple(r) for r in readers.csv_any(spark, str(tmp_path / "bare.zip"), ["b", "a"], archive="first").collect()] == [("2", "1")]
