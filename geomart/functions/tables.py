@@ -9,6 +9,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,3 +80,23 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
         none = left.filter(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])).select(*left.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in more])
         out = out.select(*none.columns).unionByName(none)
     return out
+
+
+def join_dealt(big: DataFrame, small: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
+    """big inner join small on `keys`, where many rows of both may have the same key.
+
+    The rows of a key with more than 1/share of big's rows are dealt to blocks of about that many, and small's rows of the
+    key repeated for each block. Such keys are fewer than `share` and have fewer than 2 x share blocks in all. big is read
+    several times: it should lie on storage or be cheap. With fewer than 5 x share rows no key is frequent enough to matter.
+    """
+    total = big.count()
+    per = -(-total // share)
+    frequent = big.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > per).select(*keys, F.ceil(F.col("_n") / per).cast("int").alias("_blocks")).collect() if total >= 5 * share else []  # fewer than `share`
+    if not frequent:
+        return big.join(small, keys)
+    names = [*keys, "_blocks"]
+    hot = big.sparkSession.createDataFrame([tuple(r[k] for k in names) for r in frequent], big.select(*keys).schema.add("_blocks", IntegerType()))
+    blocks = F.coalesce("_blocks", F.lit(1))
+    dealt = big.join(F.broadcast(hot), keys, "left").withColumn("_block", F.pmod(F.xxhash64(*big.columns), blocks).cast("int")).drop("_blocks")
+    repeated = small.join(F.broadcast(hot), keys, "left").withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_blocks")
+    return dealt.join(repeated, [*keys, "_block"]).drop("_block")

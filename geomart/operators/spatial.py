@@ -8,20 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.tables import cut, join_dealt
 
 
 def radius_join(a: DataFrame, b: DataFrame, radius_m: float, a_key: str, b_key: str, lon: str = "lon", lat: str = "lat", top_lat: float = 60.0) -> DataFrame:
     """a_key, b_key, metres of all pairs within the radius, inclusive (JOIN-14, JOIN-15).
 
     Cells are as high and, at `top_lat`, as wide as the radius, so a point's neighbours always lie in its own or the
-    eight cells around; between -top_lat and top_lat no pair is missed.
+    eight cells around; between -top_lat and top_lat no pair is missed. b's rows of a crowded cell are dealt to several tasks.
     """
     high = radius_m / 110_000.0
     wide = high / math.cos(math.radians(top_lat))
     left = a.select(F.col(a_key).alias("_a"), F.col(lon).alias("_x"), F.col(lat).alias("_y")).withColumn("_c", F.explode(geo.cells(F.col("_x") / wide, F.col("_y") / high, 1.0, 1)))
     right = b.select(F.col(b_key).alias("_b"), F.col(lon).alias("_u"), F.col(lat).alias("_v")).withColumn("_c", geo.cell(F.col("_u") / wide, F.col("_v") / high, 1.0))
     metres = geo.haversine_m(F.col("_x"), F.col("_y"), F.col("_u"), F.col("_v"))
-    return left.join(right, "_c").withColumn("metres", metres).filter(F.col("metres") <= radius_m).select(F.col("_a").alias(a_key if a_key != b_key else f"{a_key}_a"), F.col("_b").alias(b_key if a_key != b_key else f"{b_key}_b"), "metres")
+    return join_dealt(right, left, ["_c"]).withColumn("metres", metres).filter(F.col("metres") <= radius_m).select(F.col("_a").alias(a_key if a_key != b_key else f"{a_key}_a"), F.col("_b").alias(b_key if a_key != b_key else f"{b_key}_b"), "metres")
 
 
 def access_times(origins: DataFrame, stops: DataFrame, radius_m: float, walk_mps: float) -> DataFrame:
@@ -46,7 +47,8 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, point: str, polygon: l
 
     edges: polygon keys, part, hole, x1, y1, x2, y2. Points on an edge belong if `boundary` is set; inside is an odd
     number of crossings over all rings of a part. Points and polygons meet by the grid cells of `size` that a polygon's
-    box covers; where it isn't given, cells are as large as the boxes on average.
+    box covers; where it isn't given, cells are as large as the boxes on average. Points of crowded cells and of crowded
+    polygons are dealt to several tasks.
     """
     pts = points.select(F.col(point).alias("_p"), F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"))
     box = edges.groupBy(*polygon, "part").agg(F.min(F.least("x1", "x2")).alias("_x0"), F.max(F.greatest("x1", "x2")).alias("_x9"), F.min(F.least("y1", "y2")).alias("_y0"), F.max(F.greatest("y1", "y2")).alias("_y9"))
@@ -54,9 +56,10 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, point: str, polygon: l
     size = size or cell_size(box, "_x0", "_x9", "_y0", "_y9") + 2 * reach
     span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - reach) / size), F.floor((F.col(hi) + reach) / size))
     boxed = box.withColumn("_cx", F.explode(span("_x0", "_x9"))).withColumn("_cy", F.explode(span("_y0", "_y9")))
-    near = pts.withColumn("_cx", F.floor(F.col("_px") / size)).withColumn("_cy", F.floor(F.col("_py") / size)).join(boxed, ["_cx", "_cy"]).filter(inside)
+    placed = pts.withColumn("_cx", F.floor(F.col("_px") / size)).withColumn("_cy", F.floor(F.col("_py") / size))
+    near = cut(join_dealt(placed, boxed, ["_cx", "_cy"]).filter(inside).select("_p", "_px", "_py", *polygon, "part"), "near")
     at = [F.col(c) for c in ("_px", "_py", "x1", "y1", "x2", "y2")]
-    tested = near.select("_p", "_px", "_py", *polygon, "part").join(edges, [*polygon, "part"])
+    tested = join_dealt(near, edges, [*polygon, "part"])
     sums = tested.groupBy("_p", *polygon, "part").agg((F.count_if(geo.crosses(*at)) % 2).alias("odd"), F.bool_or(geo.on_edge(*at)).alias("edge"), F.min(geo.segment_distance(*at)).alias("away"))
     member = (F.col("odd") == 1) & ~F.col("edge") | F.lit(boundary) & F.col("edge")
     if reach > 0:

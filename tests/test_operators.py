@@ -520,3 +520,41 @@ def test_zipped_csv_in_blocks(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "bare.zip", "w") as z:
         z.writestr("e.csv", "a,b\n1,2")
     assert [tuple(r) for r in readers.csv_any(spark, str(tmp_path / "bare.zip"), ["b", "a"], archive="first").collect()] == [("2", "1")]
+
+
+def test_crowded_keys_are_dealt(spark):
+    from pyspark.sql import functions as F
+
+    from geomart.functions.tables import join_dealt
+
+    key = F.when(F.col("id") % 10 > 0, F.lit(7)).otherwise(F.col("id") % 97)
+    big = spark.range(20_000).select("id", key.alias("k"), F.when(F.col("id") % 500 == 0, None).otherwise(F.lit("a")).alias("j"))
+    small = spark.createDataFrame([(7, "a", "x"), (7, "a", "y"), (3, "a", "z"), (500, "a", "w"), (None, "a", "v")], "k long, j string, v string")
+    got = join_dealt(big, small, ["k", "j"])
+    assert got.columns == ["k", "j", "id", "v"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, big.join(small, ["k", "j"]).collect()))
+
+
+def test_crowded_cells(spark):
+    """Nine tenths of the points lie in one cell: no task gets more than twice the median's rows."""
+    from pyspark.sql import functions as F
+
+    from geomart.operators import spatial
+
+    p = spark.range(12_000).select("id", *[F.when(F.col("id") % 10 > 0, F.pmod(F.xxhash64("id", F.lit(s)), F.lit(1000)) / 1000.0).otherwise(F.pmod(F.xxhash64("id", F.lit(s)), F.lit(20_000)) / 1000.0).alias(s) for s in "xy"])
+    square = lambda z, a, b: [(z, 0, 0, False, float(u[0]), float(u[1]), float(v[0]), float(v[1])) for u, v in zip([(a, a), (b, a), (b, b), (a, b)], [(b, a), (b, b), (a, b), (a, a)])]
+    edges = spark.createDataFrame([r for k in range(20) for r in square(f"z{k}", k * 0.9, k * 0.9 + 1)], "z string, part int, ring int, hole boolean, x1 double, y1 double, x2 double, y2 double")
+    found = spatial.point_in_polygon(p, edges, "id", ["z"])
+    want = p.crossJoin(F.broadcast(spark.range(20).select((F.col("id") * 0.9).alias("a"), F.concat(F.lit("z"), "id").alias("z")))).filter("x > a and x < a + 1 and y > a and y < a + 1")
+    assert sorted((r["id"], r["z"]) for r in found.collect()) == sorted((r["id"], r["z"]) for r in want.select(p["id"], "z").collect())
+    from geomart.functions.tables import join_dealt
+
+    cells = p.withColumn("c", F.floor("x") * 100 + F.floor("y"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = sorted(r["n"] for r in join_dealt(cells, cells.select("c").distinct(), ["c"]).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(sizes) == 4 and sizes[-1] < 2 * sizes[len(sizes) // 2]
