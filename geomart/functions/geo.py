@@ -53,8 +53,11 @@ def transverse_mercator(lon: Column, lat: Column, lon0: float, lat0: float, scal
     return scale * radius * x + east, scale * radius * (y - base) + north
 
 
-def inverse_transverse_mercator(x: Column, y: Column, lon0: float, lat0: float, scale: float, east: float, north: float) -> tuple[Column, Column]:
-    """Longitude and latitude of x and y in metres on the GRS80 ellipsoid, by the Krueger series to the third order."""
+def inverse_transverse_mercator(x: Column, y: Column, lon0: float, lat0: float, scale: float, east: float, north: float) -> Column:
+    """Longitude and latitude, as an array of two, of x and y in metres on the GRS80 ellipsoid, by the Krueger series to the third order.
+
+    Each step's value is bound once, as a lambda's variable, so that it may stand in lambdas over long rings.
+    """
     a, f = 6_378_137.0, 1 / 298.257222101
     n = f / (2 - f)
     radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
@@ -64,17 +67,21 @@ def inverse_transverse_mercator(x: Column, y: Column, lon0: float, lat0: float,
     k, s0 = 2 * math.sqrt(n) / (1 + n), math.sin(math.radians(lat0))
     xi0 = math.atan(math.sinh(math.atanh(s0) - k * math.atanh(k * s0)))
     base = xi0 + sum(alpha[j] * math.sin(2 * (j + 1) * xi0) for j in range(3))
-    xi, eta = (y - north) / (scale * radius) + base, (x - east) / (scale * radius)
-    u, v = xi, eta
-    for j in range(3):
-        m = 2 * (j + 1)
-        u = u - beta[j] * F.sin(m * xi) * F.cosh(m * eta)
-        v = v - beta[j] * F.cos(m * xi) * F.sinh(m * eta)
-    chi = F.asin(F.sin(u) / F.cosh(v))
-    lat = chi
-    for j in range(3):
-        lat = lat + delta[j] * F.sin(2 * (j + 1) * chi)
-    return lon0 + F.degrees(F.atan2(F.sinh(v), F.cos(u))), F.degrees(lat)
+    bound = lambda values, then: F.transform(F.array(F.array(*values)), then)[0]
+
+    def straight(p: Column) -> Column:
+        xi, eta = p[0], p[1]
+        u = xi - sum(beta[j] * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j in range(3))
+        v = eta - sum(beta[j] * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j in range(3))
+        return bound([u, v], conformal)
+
+    def conformal(p: Column) -> Column:
+        return bound([F.asin(F.sin(p[0]) / F.cosh(p[1])), lon0 + F.degrees(F.atan2(F.sinh(p[1]), F.cos(p[0])))], geodetic)
+
+    def geodetic(p: Column) -> Column:
+        return F.array(p[1], F.degrees(p[0] + sum(delta[j] * F.sin(2 * (j + 1) * p[0]) for j in range(3))))
+
+    return bound([(y - north) / (scale * radius) + base, (x - east) / (scale * radius)], straight)
 
 
 def to_5181(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -85,18 +92,18 @@ def to_5179(lon: Column, lat: Column) -> tuple[Column, Column]:
     return transverse_mercator(lon, lat, 127.5, 38.0, 0.9996, 1_000_000.0, 2_000_000.0)
 
 
-def from_5181(x: Column, y: Column) -> tuple[Column, Column]:
+def from_5181(x: Column, y: Column) -> Column:
     return inverse_transverse_mercator(x, y, 127.0, 38.0, 1.0, 200_000.0, 500_000.0)
 
 
-def from_5179(x: Column, y: Column) -> tuple[Column, Column]:
+def from_5179(x: Column, y: Column) -> Column:
     return inverse_transverse_mercator(x, y, 127.5, 38.0, 0.9996, 1_000_000.0, 2_000_000.0)
 
 
-def reproject(geometry: Column, change: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
-    """A GeoJSON point, polygon or multipolygon, as text, with changed coordinates; null for a null or another kind."""
+def reproject(geometry: Column, change: Callable[[Column, Column], Column]) -> Column:
+    """A GeoJSON point, polygon or multipolygon, as text, with changed coordinates: change gives an array of two; null for a null or another kind."""
     kind, raw = F.get_json_object(geometry, "$.type"), F.get_json_object(geometry, "$.coordinates")
-    point = lambda p: F.array(*change(p[0], p[1]))
+    point = lambda p: change(p[0], p[1])
     ring = lambda r: F.transform(r, point)
     shape = lambda s: F.transform(s, ring)
     of = [("Point", "array<double>", point), ("Polygon", "array<array<array<double>>>", shape), ("MultiPolygon", "array<array<array<array<double>>>>", lambda m: F.transform(m, shape))]

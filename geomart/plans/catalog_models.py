@@ -145,7 +145,7 @@ def _gravity(spark: SparkSession, d: str) -> gravity.Gravity:
     return gravity.fit_gravity(c, "orig", "dest", "qty", ["near", "away"])
 
 
-@query(f"WITH {CHOICES_SQL} SELECT side, k, round(qty, 2) AS fitted FROM (SELECT 'orig' AS side, orig AS k, sum(qty) AS qty FROM flows GROUP BY orig UNION ALL SELECT 'dest', dest, sum(qty) FROM flows GROUP BY dest UNION ALL SELECT 'away', 0, sum(qty * abs(orig - dest) / 10.0) FROM flows)")
+@query(f"WITH {CHOICES_SQL} SELECT side, CAST(k AS BIGINT) AS k, round(qty, 2) AS fitted FROM (SELECT 'orig' AS side, orig AS k, sum(qty) AS qty FROM flows GROUP BY orig UNION ALL SELECT 'dest', dest, sum(qty) FROM flows GROUP BY dest UNION ALL SELECT 'away', 0, sum(qty * abs(orig - dest) / 10.0) FROM flows)")
 def gravity_balance(spark: SparkSession, d: str) -> DataFrame:
     """Fitted flows by origin and destination, and their total distance: a Poisson fit with both effects has the sums of the flows themselves, which the SQL takes (PLN-3)."""
     f = _gravity(spark, d).fitted

@@ -89,9 +89,9 @@ def ridge_dummies(spark: SparkSession, d: str) -> DataFrame:
 def reprojected_points(spark: SparkSession, d: str) -> DataFrame:
     """Points taken to degrees and back to whole metres, which gives the points themselves (SNK-2)."""
     o = table(spark, d, "orders").select("o_orderkey", F.format_string('{"type":"Point","coordinates":[%d,%d]}', 195000 + F.col("o_orderkey") % 9973, 540000 + F.col("o_custkey") * 7 % 9973).alias("g"))
-    degrees = o.withColumn("g", geo.reproject(F.col("g"), geo.from_5181))
-    whole = lambda x, y: tuple(F.round(c, 3) for c in geo.to_5181(x, y))
-    return degrees.select("o_orderkey", geo.reproject(F.col("g"), whole).alias("metres"))
+    degrees = o.select("o_orderkey", F.from_json(F.get_json_object(geo.reproject(F.col("g"), geo.from_5181), "$.coordinates"), "array<double>").alias("p"))
+    x, y = (F.round(c, 3).cast("string") for c in geo.to_5181(F.col("p")[0], F.col("p")[1]))
+    return degrees.select("o_orderkey", F.concat(F.lit('{"type":"Point","coordinates":['), x, F.lit(","), y, F.lit("]}")).alias("metres"))
 
 
 @query("WITH s AS (SELECT o_custkey, o_orderpriority AS p, CAST(o_totalprice AS DOUBLE) AS v FROM orders) SELECT p, round(quantile_cont(v, 0.05), 4) AS low, round(quantile_cont(v, 0.5), 4) AS middle FROM s GROUP BY p")

@@ -408,7 +408,7 @@ def test_projections_come_back(spark):
     p = spark.createDataFrame([(124.0 + i * 0.8, 33.0 + j * 0.65) for i in range(11) for j in range(11)], "lon double, lat double")
     for there, back in ((geo.to_5181, geo.from_5181), (geo.to_5179, geo.from_5179)):
         d = p.select("*", *[c.alias(n) for n, c in zip("xy", there(F.col("lon"), F.col("lat")))])
-        d = d.select("*", *[c.alias(n) for n, c in zip("uv", back(F.col("x"), F.col("y")))])
+        d = d.withColumn("p", back(F.col("x"), F.col("y"))).select("*", F.col("p")[0].alias("u"), F.col("p")[1].alias("v"))
         away = d.agg(F.max(geo.haversine_m(F.col("lon"), F.col("lat"), F.col("u"), F.col("v")))).first()[0]
         assert away < 0.001
 
