@@ -175,7 +175,7 @@ def evidence(values: np.ndarray, bias: float, blank: int = 0) -> np.ndarray:
 class Reader:
     """evidence(texts) of each text's sentences."""
 
-    def __init__(self, model: Model, cache_entries: int = 1_000_000):
+    def __init__(self, model: Model, cache_entries: int = 300_000):
         self.model, self.limit = model, cache_entries
         self.kernel = Kernel(model.landmarks, model.power)
         self.known: dict[str, float] = {}
@@ -195,9 +195,9 @@ class Reader:
         return [evidence(np.array([sum(map(get, s)) for s in text if s]), self.model.bias) for text in split]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def worker_reader(model: bytes) -> Reader:
-    """One for each model and Python worker: later tasks of the worker find its words known."""
+    """One for each Python worker, of its last model: later tasks find its words known. It stays in memory when other stages run."""
     return Reader(pickle.loads(model))
 
 
