@@ -170,7 +170,7 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sampler = Shingler(words), Sampler(bands, rows)
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):  # sets of few texts are held at a time
             sets = shingler.sets(_bytes(batch.column(1)))
             told = [sampler.describe(s) if len(s) else (None, None) for s in sets]
             named = [set_key(s) if len(s) else (None, None) for s in sets]
@@ -346,7 +346,7 @@ def links_in_blocks(blocks: DataFrame, percent: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             edges = ([], [])
-            for held in batch.column(0).to_pylist():
+            for held in map(pa.ListScalar.as_py, batch.column(0)):
                 ids = np.array([x["class_id"] for x in held])
                 root = local_roots([np.frombuffer(x["shingles"], U) for x in held], percent)
                 apart = np.flatnonzero(root != np.arange(len(ids)))
