@@ -1,16 +1,16 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a linear support vector machine on sentences.
 
-Two strings of at most WIDTH letters are compared by the three-letter subsequences they share, each weighted by DECAY to
-the power of its span, divided by what as many distinct letters would have with themselves: an insult with gaps or
-inserted characters stays close to its plain form. The kernel of two sentences is the sum, over the windows of their words, of a power
-of that value (products and sums of kernels are kernels), plus the same sum over the windows that lie inside a word, so
-training rows can tell how much those count. Landmarks are words and word beginnings that mark toxic texts of the training
-fold; a sentence's kernel values with them, whitened by the landmarks' own kernel matrix, are its Nystroem features.
-
-A squared-hinge machine is trained on the labelled sentences: all of those of clean texts, and of each toxic text the
-one that the machine of the step before finds worst. Spark tasks sum up its Newton steps, so no sentence is left out and
-none reaches the driver. The power is chosen on an inner split of the training fold. A text scores by its worst sentence
-and by how many come near.
+Strings are compared by the three-letter subsequences they share, each weighted by DECAY to the power of its span; a sign
+before each word counts as a letter. A landmark is compared with every window of WIDTH letters of a word, and the product
+is divided by the landmark's with itself: a plain insult has 1, wherever it stands in the window, and one with gaps or
+inserted characters little less. A word counts by its best window, a sentence by the sums of some powers of its words' values.
+Landmarks are words and word beginnings that mark toxic texts of the training fold; a sentence's values with them, whitened
+by the landmarks' own kernel matrix, are its Nystroem features.
+
+A squared-hinge machine is trained on the labelled sentences: all of those of clean texts, and of each toxic text the one
+that the machine of the step before finds worst and those that hold a landmark; landmarks with an inserted letter or inside
+a longer word are virtual examples beside them. Spark tasks sum up its Newton steps, so no sentence is left out and none
+reaches the driver. A text scores by its worst sentence and by how many come near.
 
 Training reads a bounded sample of labelled rows (`sample_rows`); everything else is done for every text, as a whole.
 """
@@ -34,17 +34,21 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-DECAY = 0.7
-WIDTH = 10
-WINDOWS = (4, 5, 6, 8, 10)
-#: Powers of the string kernel among which the inner split chooses; powers of 2.
-POWERS = (8, 16)
+DECAY = 0.85
+#: Letters of a window, the sign of a word's beginning included.
+WIDTH = 11
+#: Stands before each word; the letter after z.
+BEGIN = "{"
+#: The kernel is the sum of these powers of the string kernel: low ones hold gapped forms, high ones plain forms.
+POWERS = (4, 8, 32)
 #: A landmark's rate among clean texts is at most this share of its rate among toxic ones.
-PURE = 0.2
+PURE = 0.4
 #: Expected number of units, of all that are tested, that pass as a mark of toxic texts by chance.
 CHANCE = 0.1
-#: Powers of kernel values below this count as 0.
-TINY = 1 / 1024
+#: Weight, in training, of landmarks with an inserted letter or inside a word against that of all toxic texts.
+VIRTUAL = 0.3
+#: Kernel values below this count as 0.
+LEAST = 0.5
 #: Letters of a word that are taken at a time.
 PIECE = 20_000
 LEET = str.maketrans("013457", "oieast")
@@ -62,40 +66,37 @@ def plain(word: str) -> str:
 
 
 def letter_codes(text: str) -> np.ndarray:
-    """1 to 26 for letters, 0 for NUL."""
+    """1 to 26 for letters, 27 for BEGIN, 0 for NUL."""
     raw = np.frombuffer(text.encode("latin-1"), np.uint8)
     return np.where(raw, raw - 96, 0).astype(np.int32)
 
 
-def distinct_norm(n: int) -> float:
-    """Length of the feature vector of n distinct letters."""
-    return math.sqrt(sum((k - 1) * (n - k) * DECAY ** (2 * (k + 1)) for k in range(2, n)))
-
-
 class Kernel:
-    """values(words) -> for each word the sum of the kernel's `power` over its windows with each landmark, then the same over the windows that touch neither end.
+    """values(words) -> for each word and landmark the largest value of the kernel among the word's windows, at most 1; below LEAST it counts as 0.
 
-    A window whose value can't reach TINY with any landmark adds nothing; a bound by single numbers tells most of them.
+    A window that can't reach LEAST with any landmark is passed over; a bound by single numbers tells most of them.
     """
 
-    def __init__(self, landmarks: list[str], power: int):
-        self.landmarks, self.power = landmarks, power
+    def __init__(self, landmarks: list[str]):
+        self.landmarks = landmarks
         table = np.zeros((1 << 15, len(landmarks)), np.float32)
         for j, word in enumerate(landmarks):
-            c = letter_codes(word[:WIDTH])
+            c = letter_codes(BEGIN + word[: WIDTH - 1])
             for i, m, k in combinations(range(len(c)), 3):
                 table[(c[i] << 10) | (c[m] << 5) | c[k], j] += DECAY ** (k - i + 1)
-            table[:, j] /= distinct_norm(len(c))
-        self.table = table
-        self.most = table.max(axis=1) if landmarks else np.zeros(1 << 15, np.float32)
+        own = (table**2).sum(axis=0)
+        self.cosines = (table.T @ table) / np.sqrt(np.outer(own, own))
+        self.table = table / own
+        self.most = self.table.max(axis=1) if landmarks else np.zeros(1 << 15, np.float32)
 
     def values(self, words: list[str], most: int = 100_000) -> np.ndarray:
-        out = np.zeros((len(words), 2 * len(self.landmarks)), np.float32)
+        out = np.zeros((len(words), len(self.landmarks)), np.float32)
         held: list[tuple[int, int, str]] = []
         size = 0
         for i, w in enumerate(words):
-            for at in range(0, len(w), PIECE):
-                held.append((i, at, w[at : at + PIECE + WIDTH - 1]))
+            marked = BEGIN + w
+            for at in range(0, len(marked), PIECE):
+                held.append((i, at, marked[at : at + PIECE + WIDTH - 1]))
                 size += len(held[-1][2]) + WIDTH
             if size > most:
                 self._add(out, words, held)
@@ -114,7 +115,7 @@ class Kernel:
         place = start - first[piece]
         begins = place < PIECE
         place += np.array([x[1] for x in held])[piece]
-        whole = np.array([len(words[x[0]]) for x in held])[piece]
+        whole = np.array([len(words[x[0]]) + 1 for x in held])[piece]
         owner = np.array([x[0] for x in held])[piece]
         n, bound = len(codes) - WIDTH, np.zeros((WIDTH, len(codes)), np.float32)  # [k, i]: of the subsequences that begin at i and end at most k later
         for k in range(2, WIDTH):
@@ -122,22 +123,14 @@ class Kernel:
             pair = codes[:n] << 10 | codes[k : n + k]
             for j in range(1, k):
                 bound[k, :n] += np.float32(DECAY ** (k + 1)) * self.most[pair | codes[j : n + j] << 5]
-        m = len(self.landmarks)
-        for length in range(3, WIDTH + 1):
-            norm = np.float32(distinct_norm(length))
-            at = np.flatnonzero(begins & (place + length <= whole) & ((whole == length) | (length in WINDOWS)))
-            at = at[sum(bound[length - 1 - t, start[at] + t] for t in range(length - 2)) >= norm * np.float32(TINY ** (1 / self.power))]
-            for some in np.array_split(at, len(at) // 4096 + 1):
-                value = np.zeros((len(some), m), np.float32)
-                for i, j, k in combinations(range(length), 3):
-                    value += np.float32(DECAY ** (k - i + 1)) * self.table[codes[start[some] + i] << 10 | codes[start[some] + j] << 5 | codes[start[some] + k]]
-                value /= norm
-                for _ in range(self.power.bit_length() - 1):
-                    value *= value
-                value[value < TINY] = 0
-                np.add.at(out[:, :m], owner[some], value)
-                inner = (place[some] > 0) & (place[some] + length < whole[some])
-                np.add.at(out[:, m:], owner[some][inner], value[inner])
+        at = np.flatnonzero(begins & ((place + WIDTH <= whole) | (place == 0)))  # a shorter word is one window, with NULs behind it
+        at = at[sum(bound[WIDTH - 1 - t, start[at] + t] for t in range(WIDTH - 2)) >= np.float32(LEAST)]
+        for some in np.array_split(at, len(at) // 4096 + 1):
+            value = np.zeros((len(some), len(self.landmarks)), np.float32)
+            for i, j, k in combinations(range(WIDTH), 3):
+                value += np.float32(DECAY ** (k - i + 1)) * self.table[codes[start[some] + i] << 10 | codes[start[some] + j] << 5 | codes[start[some] + k]]
+            value[value < LEAST] = 0
+            np.maximum.at(out, owner[some], np.minimum(value, 1))
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -146,19 +139,29 @@ def sentences(text: str | None) -> list[list[str]]:
     return [s.split() for s in SENTENCE.split(lowered)]
 
 
+def powers(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([values**p for p in POWERS], axis=1)
+
+
 def whitened(kernel: Kernel) -> np.ndarray:
-    """The map from kernel values to Nystroem features: inverse roots of the landmarks' kernel matrix, once for each of the two sums."""
-    strings = kernel.table.T.astype(float) @ kernel.table.astype(float)
-    value, vector = np.linalg.eigh(strings**kernel.power)
-    keep = value > 1e-6 * value.max()
-    return np.kron(np.eye(2), vector[:, keep] / np.sqrt(value[keep]))
+    """The map from powers of kernel values to Nystroem features: for each power inverse roots of the landmarks' matrix of cosines to that power."""
+    maps = []
+    for p in POWERS:
+        value, vector = np.linalg.eigh(kernel.cosines.astype(float) ** p)
+        keep = value > 1e-6 * value.max()
+        maps.append(vector[:, keep] / np.sqrt(value[keep]))
+    m = len(kernel.landmarks)
+    out, at = np.zeros((len(POWERS) * m, sum(x.shape[1] for x in maps))), 0
+    for k, x in enumerate(maps):
+        out[k * m : (k + 1) * m, at : at + x.shape[1]] = x
+        at += x.shape[1]
+    return out
 
 
 @dataclass(frozen=True)
 class Model:
     landmarks: list[str]
-    power: int
-    weights: np.ndarray  # of the kernel values: the whitening is folded in
+    weights: np.ndarray  # of powers(kernel values): the whitening is folded in
     bias: float
     curve: np.ndarray  # of evidence()
 
@@ -177,7 +180,7 @@ class Reader:
 
     def __init__(self, model: Model, cache_entries: int = 300_000):
         self.model, self.limit = model, cache_entries
-        self.kernel = Kernel(model.landmarks, model.power)
+        self.kernel = Kernel(model.landmarks)
         self.known: dict[str, float] = {}
 
     def evidence(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -189,7 +192,7 @@ class Reader:
         new = list({w for text in split for sentence in text for w in sentence} - self.known.keys())
         forms = [plain(w) for w in new]
         distinct = list(dict.fromkeys(forms))
-        value = dict(zip(distinct, (self.kernel.values(distinct) @ self.model.weights).tolist()))
+        value = dict(zip(distinct, (powers(self.kernel.values(distinct)) @ self.model.weights).tolist()))
         self.known.update((w, value[f]) for w, f in zip(new, forms))
         get = self.known.__getitem__
         return [evidence(np.array([sum(map(get, s)) for s in text if s]), self.model.bias) for text in split]
@@ -258,7 +261,7 @@ def by_chance(toxic: int, clean: int, share: float) -> float:
 def choose_landmarks(candidates: list[str], held: list[list[int]], times: int = 3, least: int = 5) -> list[str]:
     """Candidates so that toxic texts hold `times` of them where they can, until the next would add to fewer than `least` texts; held: positions of each text's candidates.
 
-    The next is the one in most texts that still lack some, and of those that begin with it the longest that is in half as many.
+    The next is the one in most texts that still lack some, and of those that begin with it the longest that is in nearly as many.
     """
     text = np.repeat(np.arange(len(held)), [len(x) for x in held])
     unit = np.array([u for x in held for u in x], np.int64)
@@ -269,8 +272,8 @@ def choose_landmarks(candidates: list[str], held: list[list[int]], times: int =
         if (most := counts.max()) < least:
             break
         first = candidates[min(np.flatnonzero(counts == most), key=lambda i: (-len(candidates[i]), candidates[i]))]
-        i = max((i for i in np.flatnonzero(2 * counts >= most) if candidates[i].startswith(first)), key=lambda i: (len(candidates[i]), counts[i], candidates[i]))
-        chosen.append(candidates[i][:WIDTH])
+        i = max((i for i in np.flatnonzero(counts >= 0.9 * most) if candidates[i].startswith(first)), key=lambda i: (len(candidates[i]), counts[i], candidates[i]))
+        chosen.append(candidates[i][: WIDTH - 1])
         had[text[unit == i]] += 1
         alike = np.array([c.startswith(candidates[i]) or candidates[i].startswith(c) for c in candidates])
         stay = (had[text] < times) & ~alike[unit]
@@ -299,12 +302,11 @@ def marks_of(sample: DataFrame) -> list[str]:
     return choose_landmarks(candidates, [row["held"] for row in texts.filter("toxic = 1").select("text").mapInArrow(hold, "held array<long>").collect()])
 
 
-def described(sample: DataFrame, marks: list[str], power: int) -> DataFrame:
-    """toxic, inner, blank, rows of each text of sample: kernel values of its sentences in steps of 1/1024, 32-bit floats in one binary, and the number of sentences whose values are all 0 by that; inner: in the inner test fold."""
+def described(sample: DataFrame, marks: list[str]) -> DataFrame:
+    """toxic, blank, rows of each text of sample: for each of its sentences the sums of each power of its words' values, 32-bit floats in one binary, and the number of sentences whose values are all 0."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel, known, seen = Kernel(marks, power), {}, set()  # of the words seen, known has those with a value
-        none = np.zeros((1, 2 * len(marks)), np.float32)
+        kernel, known, seen = Kernel(marks), {}, set()  # of the words seen, known has those with a value
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
@@ -312,17 +314,16 @@ def described(sample: DataFrame, marks: list[str], power: int) -> DataFrame:
                 new = list({w for text in split for s in text for w in s} - seen)
                 values = kernel.values([plain(w) for w in new])
                 seen.update(new)
-                known.update((new[i], values[i]) for i in np.flatnonzero(values.any(axis=1)))
-                sums = [[np.sum([known[w] for w in s if w in known] or none, axis=0) for s in text if s] for text in split]
-                rows = [np.round(np.array(x, np.float32).reshape(-1, 2 * len(marks)) * 1024) / np.float32(1024) for x in sums]
-                held = [r[r.any(axis=1)] for r in rows]
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([len(r) - len(h) for r, h in zip(rows, held)], pa.int32()), pa.array([h.tobytes() for h in held], pa.binary())], names=["toxic", "inner", "blank", "rows"])
+                some = np.flatnonzero(values.any(axis=1))
+                known.update(zip([new[i] for i in some], powers(values[some])))
+                held = [[x for s in text if (x := [known[w] for w in s if w in known])] for text in split]
+                blank = [sum(map(bool, text)) - len(h) for text, h in zip(split, held)]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(blank, pa.int32()), pa.array([b"".join(np.sum(x, axis=0).tobytes() for x in h) for h in held], pa.binary())], names=["toxic", "blank", "rows"])
                 if len(seen) > 1_000_000:
                     known.clear()
                     seen.clear()
 
-    inner = F.crc32(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))) % 5 == 0
-    return cut(sample.select("text", "toxic", inner.alias("inner")).mapInArrow(describe, "toxic int, inner boolean, blank int, rows binary"), "described")
+    return cut(sample.select("text", "toxic").mapInArrow(describe, "toxic int, blank int, rows binary"), "described")
 
 
 def _bags(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -331,14 +332,23 @@ def _bags(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int,
             yield toxic, blank, np.frombuffer(rows.as_buffer(), np.float32).reshape(-1, width).astype(float)
 
 
-def fit_machine(bags: DataFrame, whiten: np.ndarray, ridge: float = 1e-3, rounds: int = 10) -> tuple[np.ndarray, float]:
+def variants(word: str) -> list[str]:
+    """The word with a letter that it lacks inserted at each inner place, and as often the word inside a longer one."""
+    new = next(x for x in "xqzjkv" + "abcdefghilmnoprstuwy" if x not in word)
+    return [v for i in range(1, len(word)) for v in (word[:i] + new + word[i:], new * 4 + word + new * 4)]
+
+
+def fit_machine(bags: DataFrame, whiten: np.ndarray, virtual: np.ndarray, ridge: float = 1e-3, rounds: int = 10) -> tuple[np.ndarray, float]:
     """Weights of the kernel values and bias of a squared-hinge machine over the sentences of bags (toxic, rows), by Newton steps that tasks sum up.
 
-    Of a toxic text the sentence that scores best so far counts, at first the one with the largest sum of values; of
-    clean texts all do. Both kinds of texts weigh the same in total.
+    Of a toxic text the sentence that scores best so far counts, and with it, for half, those that hold a landmark in
+    nearly plain form. Of clean texts all count. Both kinds of texts weigh the same in total, and the rows
+    of `virtual` (landmarks with an inserted letter or inside a word, toxic) a share of VIRTUAL of that.
     """
     counts = {r["toxic"]: r["count"] for r in bags.groupBy("toxic").count().collect()}
     width, size = whiten.shape[0], whiten.shape[1] + 1
+    plain_forms = width - width // len(POWERS)  # columns of the highest power
+    extra = np.concatenate([virtual @ whiten, np.ones((len(virtual), 1))], axis=1)
     w: np.ndarray | None = None
     for k in range(rounds):
 
@@ -350,9 +360,11 @@ def fit_machine(bags: DataFrame, whiten: np.ndarray, ridge: float = 1e-3, rounds
                 if blank:
                     times[-1] = blank
                 x = np.concatenate([rows @ whiten, np.ones((len(rows), 1))], axis=1)
-                f = rows[:, : width // 2].sum(1) if w is None else x @ w
+                f = rows.sum(1) if w is None else x @ w
                 if toxic:
-                    x, f, times = x[[f.argmax()]], f[[f.argmax()]], np.ones(1)
+                    near = np.flatnonzero(rows[:, plain_forms:].max(axis=1) >= 0.5)
+                    times = np.bincount(near, minlength=len(f)) / (2 * len(near) or 1)
+                    times[f.argmax()] += 1 - times.sum()
                 y = 1.0 if toxic else -1.0
                 inside = np.ones(len(x), bool) if w is None else y * f < 1
                 a = x[inside] * times[inside, None]
@@ -362,6 +374,9 @@ def fit_machine(bags: DataFrame, whiten: np.ndarray, ridge: float = 1e-3, rounds
 
         sums = sum(np.frombuffer(r["sums"]) for r in bags.select("toxic", "blank", "rows").mapInArrow(step, "sums binary").collect())  # a small matrix for each task
         h, g = sums[:-size].reshape(size, size), sums[-size:]
+        if len(extra):
+            a = (extra if w is None else extra[extra @ w < 1]) * (VIRTUAL / len(extra))
+            h, g = h + len(extra) / VIRTUAL * a.T @ a, g + a.sum(0)
         new = np.linalg.solve(h + ridge * np.diag([1.0] * (size - 1) + [1e-6]) + 1e-12 * np.eye(size), g)
         if w is not None and np.allclose(new, w, atol=1e-4 * np.abs(new).max()):
             break
@@ -385,27 +400,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> Mode
     sample = cut(training_rows(docs, labels, sample_rows), "training")
     by_label = {row["toxic"]: row["count"] for row in sample.groupBy("toxic").count().collect()}
     n1, n0 = by_label.get(1, 0), by_label.get(0, 0)
-    constant = lambda odds: Model([], POWERS[0], np.zeros(0), 0.0, np.array([0.0, 0.0, 0.0, min(-1e-6, odds)]))
+    constant = lambda odds: Model([], np.zeros(0), 0.0, np.array([0.0, 0.0, 0.0, min(-1e-6, odds)]))
     if not n1 or not n0:
         return constant(-1e-6)
     marks = marks_of(sample)
     if not marks:
         return constant(float(np.log(n1 / n0)))
-    best = None
-    for power in POWERS:
-        bags, whiten = described(sample, marks, power), whitened(Kernel(marks, power))
-        weights, bias = fit_machine(bags.filter("not inner"), whiten)
-        toxic, x = told(bags.filter("not inner"), weights, bias)
-        curve = fit_logistic(x, toxic)
-        toxic, x = told(bags.filter("inner"), weights, bias)
-        odds = np.clip(x @ curve, -30, 30)
-        result = (int(((odds >= 0) != toxic).sum()), float(np.log1p(np.exp(np.where(toxic, -odds, odds))).sum()), power)
-        if best is None or result < best[0]:
-            best = (result, bags, whiten)
-    (_, _, power), bags, whiten = best
-    weights, bias = fit_machine(bags, whiten)
+    bags, kernel = described(sample, marks), Kernel(marks)
+    virtual = powers(kernel.values([v for m in marks for v in variants(m)]))
+    weights, bias = fit_machine(bags, whitened(kernel), virtual)
     toxic, x = told(bags, weights, bias)
-    return Model(marks, power, weights, bias, fit_logistic(x, toxic))
+    return Model(marks, weights, bias, fit_logistic(x, toxic))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

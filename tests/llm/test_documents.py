@@ -396,38 +396,68 @@ def kernel_value(x, y):
         return out
 
     a, b = features(x), features(y)
-    return sum(v * b.get(c, 0) for c, v in a.items()) / (toxicity.distinct_norm(len(x)) * toxicity.distinct_norm(len(y)))
+    return sum(v * b.get(c, 0) for c, v in a.items())
+
+
+def best_window(word, mark):
+    marked, mark = "{" + word, ("{" + mark)[: toxicity.WIDTH]
+    windows = [marked[i : i + toxicity.WIDTH] for i in range(max(1, len(marked) - toxicity.WIDTH + 1))]
+    value = max(kernel_value(x, mark) for x in windows) / kernel_value(mark, mark)
+    return 0 if value < toxicity.LEAST else min(value, 1)
 
 
 def test_toxicity_kernel_equals_its_definition(monkeypatch):
     import numpy as np
 
-    marks, power = ["idiot", "scumbag", "trash", "zub", "worthless"], 8
+    marks = ["idiot", "scumbag", "trash", "zub", "worthless", "disgustingly"]
     rng = random.Random(1)
-    words = ["idiot", "xxidiotxx", "thisscumbagword", "idi", "zub", "ab", "", "worthlessones", "x" * 40 + "idiot" + "y" * 30, *("".join(rng.choice("idotscumrahw") for _ in range(rng.randint(0, 25))) for _ in range(60))]
+    words = ["idiot", "idxiot", "iidiiot", "xxidiotxx", "thisscumbagword", "idi", "zub", "ab", "", "worthlessones", "x" * 40 + "idiot" + "y" * 30, *("".join(rng.choice("idotscumrahw") for _ in range(rng.randint(0, 25))) for _ in range(60))]
     monkeypatch.setattr(toxicity, "PIECE", 13)
-    for word, found in zip(words, toxicity.Kernel(marks, power).values(words)):
-        want = np.zeros(2 * len(marks))
-        for n in range(3, toxicity.WIDTH + 1):
-            if n == len(word) or n in toxicity.WINDOWS and n < len(word):
-                for i in range(len(word) - n + 1):
-                    v = np.array([kernel_value(word[i : i + n], m) ** power for m in marks])
-                    v[v < toxicity.TINY] = 0
-                    want[:5] += v
-                    want[5:] += v * (0 < i < len(word) - n)
-        assert np.allclose(want, found, atol=1e-4, rtol=1e-3), word
+    for word, found in zip(words, toxicity.Kernel(marks).values(words)):
+        assert np.allclose([best_window(word, m) for m in marks], found, atol=1e-4, rtol=1e-3), word
     assert toxicity.plain("ÍD1-ot!") == "idiot"
-    gram = np.array([[kernel_value(a, b) ** power for b in marks] for a in marks])
-    whiten = toxicity.whitened(toxicity.Kernel(marks, power))[:5, :5]
-    assert np.allclose(whiten.T @ gram @ whiten, np.eye(5), atol=1e-4)
+    cut = [("{" + m)[: toxicity.WIDTH] for m in marks]
+    cosines = np.array([[kernel_value(a, b) / (kernel_value(a, a) * kernel_value(b, b)) ** 0.5 for b in cut] for a in cut])
+    whiten = toxicity.whitened(toxicity.Kernel(marks))
+    gram = np.zeros((len(whiten), len(whiten)))
+    for k, p in enumerate(toxicity.POWERS):
+        gram[k * 6 : k * 6 + 6, k * 6 : k * 6 + 6] = cosines**p
+    assert np.allclose(whiten.T @ gram @ whiten, np.eye(len(gram)), atol=1e-4)
+
+
+def test_toxicity_one_inserted_letter_keeps_half_of_the_lowest_power():
+    marks = ["idiot", "scum", "trash", "worthless", "loser", "stupid"]
+    for k, mark in enumerate(marks):
+        found = toxicity.Kernel(marks).values(toxicity.variants(mark)[::2])[:, k]
+        assert len(found) == len(mark) - 1 and (found ** toxicity.POWERS[0]).mean() > 0.5 and found.min() > 0.7, (mark, found)
+
+
+def test_toxicity_score_equals_its_definition(spark):
+    """A text's score from its words by the definition alone: kernel, powers, weights, evidence, curve."""
+    import numpy as np
+
+    rng = random.Random(9)
+    texts = [f"{' '.join(rng.choices(WORDS, k=12))} {'flurgle' if k % 2 else ''}. {' '.join(rng.choices(WORDS, k=6))}" for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int"))
+    others = ["you flurxgle! and more", "flurgle", "", None, "one. two. flurgles three flugrle.", "f l u r g l e"]
+    found = {r["doc_id"]: r["score"] for r in rows(toxicity.scores(spark.createDataFrame(list(enumerate(others)), "doc_id long, text string"), model))}
+    for k, text in enumerate(others):
+        margins = []
+        for sentence in toxicity.sentences(text):
+            if sentence:
+                values = np.array([[best_window(toxicity.plain(w), m) for m in model.landmarks] for w in sentence])
+                margins.append(sum(np.concatenate([v**p for p in toxicity.POWERS]) @ model.weights for v in values))
+        told = [model.bias + max(0.0, *margins, 0.0), np.log1p(sum(max(0.0, x + model.bias + 1) for x in margins)), np.log1p(len(margins)), 1.0]
+        assert abs(found[k] - 1 / (1 + np.exp(-model.curve @ told))) < 1e-3, text
 
 
 def test_toxicity_reads_whole_words():
     marks = ["idiot", "scumbag", "trash", "worthless", "pathetic"]
     joined = {"xxidiotxx": 0, "thisscumbagword": 1, "superidiotness": 0, "suchtrashtalk": 2, "theworthlessones": 3, "absolutelypatheticperson": 4, "x" * 60_000 + "idiot" + "y" * 70_000: 0}
-    found = dict(zip([*joined, "idiots"], toxicity.Kernel(marks, 8).values([*joined, "idiots"])))
-    assert all(found[w][k] > 0.4 and found[w][len(marks) + k] > 0.4 for w, k in joined.items())
-    assert found["idiots"][0] > 0.9 and found["idiots"][len(marks)] < 0.1 * found["idiots"][0]
+    found = dict(zip([*joined, "idiots"], toxicity.Kernel(marks).values([*joined, "idiots"])))
+    assert all(found[w][k] >= 0.5 for w, k in joined.items())
+    assert found["idiots"][0] > 0.99 > 0.9 > found["superidiotness"][0]
 
 
 def test_toxicity_with_ties_and_clashing_columns(spark):
