@@ -7,13 +7,15 @@ covered width is linear and its value at the middle times the height is exact.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import cell_size
+from ..functions.tables import cut, join_dealt
+from .spatial import cell_size, equal_shapes
 
 
 def _heights(edges: np.ndarray) -> np.ndarray:
@@ -70,11 +72,31 @@ def _meeting(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float | N
     cell = cell or max(cell_size(df, *[f"{c}{t}" for c in ("x0", "x9", "y0", "y9")]) for df, t in ((a, "_a"), (b, "_b")))
     cells = lambda c, t: F.sequence(F.floor(F.col(f"{c}0{t}") / cell), F.floor(F.col(f"{c}9{t}") / cell))
     spread = lambda df, t: df.withColumn("_cx", F.explode(cells("x", t))).withColumn("_cy", F.explode(cells("y", t)))
-    return spread(a, "_a").join(spread(b, "_b"), ["_cx", "_cy"]).filter("x0_a < x9_b and x0_b < x9_a and y0_a < y9_b and y0_b < y9_a").select(a_key, b_key).distinct()
+    once = reduce(lambda p, q: p & q, [F.col(f"_c{c}") == F.floor(F.greatest(f"{c}0_a", f"{c}0_b") / cell) for c in "xy"])  # the cell of the common box's lower left corner
+    return spread(a, "_a").join(spread(b, "_b"), ["_cx", "_cy"]).filter("x0_a < x9_b and x0_b < x9_a and y0_a < y9_b and y0_b < y9_a").filter(once).select(a_key, b_key)
 
 
-def overlay_shares(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float | None = None) -> DataFrame:
-    """a_key, b_key, overlap, area, share of a's area, for polygons that overlap (JOIN-12). Boxes meet by the cells they cover; a polygon's edges travel as one array."""
+def _of_first(edges: DataFrame, like: DataFrame, key: str) -> DataFrame:
+    """The edges of the first polygon of each shape."""
+    return edges.join(like.filter(F.col(key) == F.col("_like")).select(key), key, "left_semi")
+
+
+def _of_all(found: DataFrame, like_a: DataFrame, like_b: DataFrame, a_key: str, b_key: str) -> DataFrame:
+    """found, about first polygons, for all polygons of their shapes."""
+    rest = [c for c in found.columns if c not in (a_key, b_key)]
+    members = lambda like, key: like.select(F.col("_like").alias(f"_{key}"), key)
+    named = cut(found.withColumnsRenamed({a_key: f"_{a_key}", b_key: f"_{b_key}"}), "shares")
+    one = cut(join_dealt(named, members(like_a, a_key), [f"_{a_key}"]), "shares")
+    return join_dealt(one, members(like_b, b_key), [f"_{b_key}"]).select(a_key, b_key, *rest)
+
+
+def overlay_shares(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float | None = None, digits: int | None = None) -> DataFrame:
+    """a_key, b_key, overlap, area, share of a's area, for polygons that overlap (JOIN-12). Boxes meet by the cells they cover; a polygon's edges travel as one array.
+
+    Polygons of equal shape are measured once, and overlap and share rounded to `digits` there.
+    """
+    like_a, like_b = equal_shapes(a, [a_key]), equal_shapes(b, [b_key])
+    a, b = _of_first(a, like_a, a_key), _of_first(b, like_b, b_key)
     left, right = _boxes(a, a_key, "_a"), _boxes(b, b_key, "_b")
     meet = _meeting(left.drop("edges_a"), right.drop("edges_b"), f"{a_key}_a", f"{b_key}_b", cell)
     pairs = meet.join(left.select(f"{a_key}_a", "edges_a"), f"{a_key}_a").join(right.select(f"{b_key}_b", "edges_b"), f"{b_key}_b")
@@ -85,8 +107,15 @@ def overlay_shares(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: flo
             yield pd.DataFrame({a_key: pdf[f"{a_key}_a"], b_key: pdf[f"{b_key}_b"], "overlap": np.array(rows, float)})
 
     kinds = f"{a_key} {dict(a.dtypes)[a_key]}, {b_key} {dict(b.dtypes)[b_key]}, overlap double"
-    found = pairs.mapInPandas(measure, kinds).filter("overlap > 0").join(areas(a, a_key), a_key)
-    return found.withColumn("share", F.col("overlap") / F.col("area"))
+    return shares_of_all(pairs.mapInPandas(measure, kinds).filter("overlap > 0"), a, like_a, like_b, a_key, b_key, digits)
+
+
+def shares_of_all(found: DataFrame, a: DataFrame, like_a: DataFrame, like_b: DataFrame, a_key: str, b_key: str, digits: int | None = None) -> DataFrame:
+    """a_key, b_key, overlap, area, share for all polygons of the shapes whose first ones are found: a_key, b_key, overlap."""
+    found = found.join(areas(a, a_key), a_key).withColumn("share", F.col("overlap") / F.col("area"))
+    if digits is not None:
+        found = found.withColumns({c: F.round(c, digits) for c in ("overlap", "share")})
+    return _of_all(found, like_a, like_b, a_key, b_key)
 
 
 def coverage(zones: DataFrame, shapes: DataFrame, zone: str, origin: str, least: float = 0.1, cell: float | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.tables import cut, join_dealt
+from ..functions.tables import cut, join_dealt, join_unique
 
 
 def radius_join(a: DataFrame, b: DataFrame, radius_m: float, a_key: str, b_key: str, lon: str = "lon", lat: str = "lat", top_lat: float = 60.0) -> DataFrame:
@@ -42,6 +42,22 @@ def cell_size(boxes: DataFrame, x0: str, x9: str, y0: str, y9: str) -> float:
     return boxes.agg(F.avg(F.greatest(F.col(x9) - F.col(x0), F.col(y9) - F.col(y0)))).first()[0] or 1.0
 
 
+def equal_shapes(edges: DataFrame, polygon: list[str], more: list[str] | None = None) -> DataFrame:
+    """polygon keys and `_like`, the first of the polygons with the same edges (and columns `more`): its key, or a struct of several keys.
+
+    Edges are told by two sums of 64-bit hashes over a polygon's edges, so that their order is free and no polygon travels whole.
+    """
+    own = [c for c in [*dict.fromkeys(["part", "ring", "hole", *(more or []), "x1", "y1", "x2", "y2"])] if c in edges.columns and c not in polygon]
+    halves = []
+    for k in range(2):
+        h = F.xxhash64(F.lit(k), *[F.coalesce(F.col(c).cast("string"), F.lit("")) if c in (more or []) else F.col(c) for c in own])
+        halves += [F.sum(F.shiftrightunsigned(h, 32)).alias(f"_h{k}"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"_l{k}")]  # sums of 32 bits, so none overflows
+    marks = ["_m", "_h0", "_l0", "_h1", "_l1"]
+    told = cut(edges.dropna(subset=polygon).groupBy(*polygon).agg(F.count("*").alias("_m"), *halves), "shapes")
+    first = told.groupBy(*marks).agg(F.min(F.col(polygon[0]) if len(polygon) == 1 else F.struct(*polygon)).alias("_like"))
+    return cut(join_unique(told, first, marks).select(*polygon, "_like"), "shapes")
+
+
 def point_in_polygon(points: DataFrame, edges: DataFrame, point: str, polygon: list[str], x: str = "x", y: str = "y", boundary: bool = False, reach: float = 0.0, size: float | None = None) -> DataFrame:
     """point and polygon keys of the points within each polygon, or within `reach` of it (JOIN-10, JOIN-11, JOIN-16 to JOIN-18).
 

@@ -219,8 +219,7 @@ OVERLAP = "least(a.x9, b.x9) - greatest(a.x0, b.x0)", "least(a.y9, b.y9) - great
 @query(f"WITH {BOX_SQL} SELECT a.p, b.z, CAST(({OVERLAP[0]}) * ({OVERLAP[1]}) AS DOUBLE) AS overlap, round(({OVERLAP[0]}) * ({OVERLAP[1]}) / CAST((a.x9 - a.x0) * (a.y9 - a.y0) AS DOUBLE), 6) AS share FROM boxes a JOIN zones b ON {OVERLAP[0]} > 0 AND {OVERLAP[1]} > 0")
 def polygon_overlay(spark: SparkSession, d: str) -> DataFrame:
     """Shares of part boxes in supplier boxes (JOIN-12)."""
-    o = polygon.overlay_shares(ring(part_boxes(spark, d), "p"), ring(zones(spark, d), "z"), "p", "z")
-    return o.select("p", "z", F.round("overlap", 6).alias("overlap"), r6("share").alias("share"))
+    return polygon.overlay_shares(ring(part_boxes(spark, d), "p"), ring(zones(spark, d), "z"), "p", "z", digits=6).select("p", "z", "overlap", "share")
 
 
 @query(f"WITH {BOX_SQL} SELECT a.p, b.z, CAST(({OVERLAP[0]}) * ({OVERLAP[1]}) AS DOUBLE) AS overlap, round(({OVERLAP[0]}) * ({OVERLAP[1]}) / CAST((a.x9 - a.x0) * (a.y9 - a.y0) AS DOUBLE), 6) AS share FROM boxes a JOIN zones b ON {OVERLAP[0]} > 0 AND {OVERLAP[1]} > 0")

@@ -284,3 +284,24 @@ def test_large_polygons_in_cells(spark):
     assert clipping.overlay_areas(a, around, "k", "z").first()["overlap"] == pytest.approx(shoelace(one))
     both = clipping.overlay_areas(a, b, "k", "z").first()["overlap"]
     assert 0.8 * shoelace(one) < both < min(shoelace(one), shoelace(two))
+
+
+@pytest.mark.parametrize("way", ["sweep"])
+def test_equal_shapes_are_measured_once(spark, monkeypatch, way):
+    """30 copies of a star, edges in any order, and one other, against 20 copies of a square with a hole: two overlaps are measured, 620 returned."""
+    from geomart.operators import clipping, polygon
+
+    hole = [[(-4.0, -4.0), (6.0, -4.0), (6.0, 6.0), (-4.0, 6.0)], [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]]
+    a = ring_edges(spark, {f"a{i}": [star(12, 0, 0, 10, 1)] for i in range(30)} | {"b": [star(12, 0, 0, 10, 2)]}, "k").orderBy(F.rand(3))
+    b = ring_edges(spark, {f"z{i}": hole for i in range(20)}, "z")
+    module, measure = (polygon, polygon.overlay_shares) if way == "sweep" else (clipping, clipping.overlay_areas)
+    whole, measured = polygon.shares_of_all, []
+
+    def counted(found, *rest):
+        measured.append(found.count())
+        return whole(found, *rest)
+
+    monkeypatch.setattr(module, "shares_of_all", counted)
+    got = {(r["k"], r["z"]): r["overlap"] for r in measure(a, b, "k", "z").collect()}
+    area = {s: polygon.covered_area([np.array([(*p, *q) for ring in rings for p, q in zip(ring, ring[1:] + ring[:1])]) for rings in ([star(12, 0, 0, 10, s)], hole)]) for s in (1, 2)}
+    assert measured == [2] and got == pytest.approx({(k, f"z{i}"): area[1 if k != "b" else 2] for k in [*(f"a{i}" for i in range(30)), "b"] for i in range(20)})
