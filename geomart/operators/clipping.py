@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import cut
-from .polygon import _meeting, areas
+from .polygon import _meeting, _of_first, shares_of_all
+from .spatial import equal_shapes
 
 CELL = ["cell", "cx0", "cy0", "cx1", "cy1"]
 
@@ -154,8 +155,10 @@ def overlay(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float | No
     return clipped(sides[0].unionByName(sides[1]), ["_k_a", "_k_b"], most).withColumnsRenamed({"_k_a": a_key, "_k_b": b_key})
 
 
-def overlay_areas(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float | None = None, most: int = 256, shape: list[str] | None = None) -> DataFrame:
-    """a_key, b_key, overlap, area, share of a's area: the same rows as `overlay_shares`, or with `shape` the ratios of `coverage`."""
+def overlay_areas(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float | None = None, most: int = 256, shape: list[str] | None = None, digits: int | None = None) -> DataFrame:
+    """a_key, b_key, overlap, area, share of a's area: the same rows as `overlay_shares`, or with `shape` the ratios of `coverage`. Polygons of equal shape are measured once."""
+    like_a, like_b = equal_shapes(a, [a_key]), equal_shapes(b, [b_key], shape)
+    a, b = _of_first(a, like_a, a_key), _of_first(b, like_b, b_key)
     parts = overlay(a, b, a_key, b_key, cell, most, shape)
     found = parts.groupBy(a_key, b_key).agg((F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2).alias("overlap")).filter("overlap > 0")
-    return found.join(areas(a, a_key), a_key).withColumn("share", F.col("overlap") / F.col("area"))
+    return shares_of_all(found, a, like_a, like_b, a_key, b_key, digits)

@@ -225,8 +225,7 @@ def polygon_overlay(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {BOX_SQL} SELECT a.p, b.z, CAST(({OVERLAP[0]}) * ({OVERLAP[1]}) AS DOUBLE) AS overlap, round(({OVERLAP[0]}) * ({OVERLAP[1]}) / CAST((a.x9 - a.x0) * (a.y9 - a.y0) AS DOUBLE), 6) AS share FROM boxes a JOIN zones b ON {OVERLAP[0]} > 0 AND {OVERLAP[1]} > 0")
 def clipped_overlay(spark: SparkSession, d: str) -> DataFrame:
     """The same shares from the trapezoids of edges clipped to cells, which take polygons of any size (JOIN-12)."""
-    o = clipping.overlay_areas(ring(part_boxes(spark, d), "p"), ring(zones(spark, d), "z"), "p", "z", most=4)
-    return o.select("p", "z", F.round("overlap", 6).alias("overlap"), r6("share").alias("share"))
+    return clipping.overlay_areas(ring(part_boxes(spark, d), "p"), ring(zones(spark, d), "z"), "p", "z", most=4, digits=6).select("p", "z", "overlap", "share")
 
 
 @query(f"""WITH {BOX_SQL}, c AS (SELECT a.land, b.z, ({OVERLAP[0]}) * ({OVERLAP[1]}) / CAST((a.x9 - a.x0) * (a.y9 - a.y0) AS DOUBLE) AS ratio FROM lands a JOIN zones b ON {OVERLAP[0]} > 0 AND {OVERLAP[1]} > 0)

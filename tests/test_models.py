@@ -286,7 +286,7 @@ def test_large_polygons_in_cells(spark):
     assert 0.8 * shoelace(one) < both < min(shoelace(one), shoelace(two))
 
 
-@pytest.mark.parametrize("way", ["sweep"])
+@pytest.mark.parametrize("way", ["sweep", "cells"])
 def test_equal_shapes_are_measured_once(spark, monkeypatch, way):
     """30 copies of a star, edges in any order, and one other, against 20 copies of a square with a hole: two overlaps are measured, 620 returned."""
     from geomart.operators import clipping, polygon
