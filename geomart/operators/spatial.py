@@ -58,31 +58,65 @@ def equal_shapes(edges: DataFrame, polygon: list[str], more: list[str] | None =
     return cut(join_unique(told, first, marks).select(*polygon, "_like"), "shapes")
 
 
-def point_in_polygon(points: DataFrame, edges: DataFrame, point: str, polygon: list[str], x: str = "x", y: str = "y", boundary: bool = False, reach: float = 0.0, size: float | None = None) -> DataFrame:
-    """point and polygon keys of the points within each polygon, or within `reach` of it (JOIN-10, JOIN-11, JOIN-16 to JOIN-18).
-
-    edges: polygon keys, part, hole, x1, y1, x2, y2. Points on an edge belong if `boundary` is set; inside is an odd
-    number of crossings over all rings of a part. Points and polygons meet by the grid cells of `size` that a polygon's
-    box covers; where it isn't given, cells are as large as the boxes on average. Points of crowded cells and of crowded
-    polygons are dealt to several tasks.
-    """
-    pts = points.select(F.col(point).alias("_p"), F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"))
-    box = edges.groupBy(*polygon, "part").agg(F.min(F.least("x1", "x2")).alias("_x0"), F.max(F.greatest("x1", "x2")).alias("_x9"), F.min(F.least("y1", "y2")).alias("_y0"), F.max(F.greatest("y1", "y2")).alias("_y9"))
+def _hits(points: DataFrame, edges: DataFrame, polygon: list[str], x: str, y: str, boundary: bool, reach: float, size: float | None) -> tuple[DataFrame, DataFrame]:
+    """_px, _py, _like: each place of points with the shapes that hold it; and polygon keys, _like. Equal places and shapes are tested once."""
+    like = equal_shapes(edges.select(*polygon, "part", "x1", "y1", "x2", "y2"), polygon)
+    key = F.col(polygon[0]) if len(polygon) == 1 else F.struct(*polygon)
+    firsts = like.filter(key == F.col("_like"))
+    edges = cut(edges.join(firsts, polygon).select("_like", "part", "x1", "y1", "x2", "y2"), "edges")
+    pts = cut(points.select(F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).distinct(), "places")
+    box = edges.groupBy("_like", "part").agg(F.min(F.least("x1", "x2")).alias("_x0"), F.max(F.greatest("x1", "x2")).alias("_x9"), F.min(F.least("y1", "y2")).alias("_y0"), F.max(F.greatest("y1", "y2")).alias("_y9"))
     inside = (F.col("_px") >= F.col("_x0") - reach) & (F.col("_px") <= F.col("_x9") + reach) & (F.col("_py") >= F.col("_y0") - reach) & (F.col("_py") <= F.col("_y9") + reach)
     size = size or cell_size(box, "_x0", "_x9", "_y0", "_y9") + 2 * reach
     span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - reach) / size), F.floor((F.col(hi) + reach) / size))
     boxed = box.withColumn("_cx", F.explode(span("_x0", "_x9"))).withColumn("_cy", F.explode(span("_y0", "_y9")))
     placed = pts.withColumn("_cx", F.floor(F.col("_px") / size)).withColumn("_cy", F.floor(F.col("_py") / size))
-    near = cut(join_dealt(placed, boxed, ["_cx", "_cy"]).filter(inside).select("_p", "_px", "_py", *polygon, "part"), "near")
+    near = cut(join_dealt(placed, boxed, ["_cx", "_cy"]).filter(inside).select("_px", "_py", "_like", "part"), "near")
     at = [F.col(c) for c in ("_px", "_py", "x1", "y1", "x2", "y2")]
-    tested = join_dealt(near, edges, [*polygon, "part"])
-    sums = tested.groupBy("_p", *polygon, "part").agg((F.count_if(geo.crosses(*at)) % 2).alias("odd"), F.bool_or(geo.on_edge(*at)).alias("edge"), F.min(geo.segment_distance(*at)).alias("away"))
+    tested = join_dealt(near, edges, ["_like", "part"])
+    sums = tested.groupBy("_px", "_py", "_like", "part").agg((F.count_if(geo.crosses(*at)) % 2).alias("odd"), F.bool_or(geo.on_edge(*at)).alias("edge"), F.min(geo.segment_distance(*at)).alias("away"))
     member = (F.col("odd") == 1) & ~F.col("edge") | F.lit(boundary) & F.col("edge")
     if reach > 0:
         member = member | (F.col("odd") == 1) | (F.col("away") <= reach)
-    return sums.filter(member).select(F.col("_p").alias(point), *polygon).distinct()
+    return cut(sums.filter(member).select("_px", "_py", "_like").distinct(), "hits"), like
+
 
+def _placed(points: DataFrame, point: str, x: str, y: str) -> DataFrame:
+    return points.select(F.col(point).alias("_p"), F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"))
 
-def first_polygon(points: DataFrame, edges: DataFrame, point: str, polygon: str, order: DataFrame, **options) -> DataFrame:
-    """Each point with the first polygon that holds it; order: polygon, place (JOIN-16)."""
-    return point_in_polygon(points, edges, point, [polygon], **options).join(order, polygon).groupBy(point).agg(F.min_by(polygon, "place").alias(polygon))
+
+def point_in_polygon(points: DataFrame, edges: DataFrame, point: str, polygon: list[str], x: str = "x", y: str = "y", boundary: bool = False, reach: float = 0.0, size: float | None = None) -> DataFrame:
+    """point and polygon keys of the points within each polygon, or within `reach` of it (JOIN-10, JOIN-11, JOIN-16 to JOIN-18).
+
+    edges: polygon keys, part, hole, x1, y1, x2, y2. Points on an edge belong if `boundary` is set; inside is an odd
+    number of crossings over all rings of a part. Points and polygons meet by the grid cells of `size` that a polygon's
+    box covers; where it isn't given, cells are as large as the boxes on average. Points of crowded cells and of crowded
+    polygons are dealt to several tasks. Where only the first polygon of a point or their number is asked for,
+    `first_polygon` and `polygon_counts` form no table of the pairs.
+    """
+    hits, like = _hits(points, edges, polygon, x, y, boundary, reach, size)
+    found = cut(join_dealt(_placed(points, point, x, y), hits, ["_px", "_py"]).select("_p", "_like"), "hits")
+    return join_dealt(found, like, ["_like"]).select(F.col("_p").alias(point), *polygon).distinct()
+
+
+def first_polygon(points: DataFrame, edges: DataFrame, point: str, polygon: str, order: DataFrame, x: str = "x", y: str = "y", boundary: bool = False, reach: float = 0.0, size: float | None = None) -> DataFrame:
+    """Each point with the first polygon that holds it; order: polygon, place (JOIN-16). Only the first polygon of each shape is looked at."""
+    hits, like = _hits(points, edges, [polygon], x, y, boundary, reach, size)
+    least = like.join(order.filter("place is not null"), polygon).groupBy("_like").agg(F.min(F.struct("place", polygon)).alias("_first"))
+    by_place = cut(hits.join(least, "_like").groupBy("_px", "_py").agg(F.min("_first").alias("_first")), "first")
+    found = join_unique(_placed(points, point, x, y), by_place, ["_px", "_py"])
+    return found.groupBy(F.col("_p").alias(point)).agg(F.min("_first")[polygon].alias(polygon))
+
+
+def polygon_counts(points: DataFrame, edges: DataFrame, point: str, polygon: str, x: str = "x", y: str = "y", boundary: bool = False, reach: float = 0.0, size: float | None = None) -> DataFrame:
+    """point, polygons: the number of different polygons that hold each point, for points within any: sums over shapes (ISO-3)."""
+    hits, like = _hits(points, edges, [polygon], x, y, boundary, reach, size)
+    held = cut(hits.join(like.groupBy("_like").agg(F.count("*").alias("_held")), "_like"), "hits")
+    at = held.groupBy("_px", "_py").agg(F.sum("_held").alias("_held"))
+    placed = cut(_placed(points, point, x, y).distinct(), "places")
+    several = cut(placed.groupBy("_p").count().filter("count > 1").select("_p"), "several")  # points with several places, whose polygons may be the same
+    same = F.col("_p").eqNullSafe(F.col("_q"))
+    apart = placed.join(several.withColumnRenamed("_p", "_q"), same, "left_anti")
+    one = join_unique(cut(apart, "places"), at, ["_px", "_py"]).select("_p", "_held")
+    more = placed.join(several.withColumnRenamed("_p", "_q"), same, "left_semi").join(held, ["_px", "_py"]).select("_p", "_like", "_held").distinct().groupBy("_p").agg(F.sum("_held").alias("_held"))
+    return one.unionByName(more).select(F.col("_p").alias(point), F.col("_held").alias("polygons"))
