@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import station_key
 from ..functions.compat import set_concat
 from .polygon import coverage
-from .spatial import point_in_polygon
+from .spatial import point_in_polygon, polygon_counts
 
 
 def merge_stations(found: DataFrame, place: str = "place", by: list[str] | None = None) -> DataFrame:
@@ -39,6 +39,12 @@ def stop_summary(pairs: DataFrame, stop: str, origin: str, origins: int) -> Data
     return n.withColumn("reachable_origin_ratio", F.col("reachable_origin_count") / F.lit(origins))
 
 
+def stop_reach(stops: DataFrame, edges: DataFrame, stop: str, origin: str, origins: int, size: float | None = None) -> DataFrame:
+    """The same as `stop_summary` of `stops_in`, without a table of the pairs (ISO-3)."""
+    n = polygon_counts(stops, edges, stop, origin, size=size).withColumnRenamed("polygons", "reachable_origin_count")
+    return n.withColumn("reachable_origin_ratio", F.col("reachable_origin_count") / F.lit(origins))
+
+
 def district_coverage(zones: DataFrame, shapes: DataFrame, zone: str, origin: str, origins: int, least: float = 0.1) -> DataFrame:
     """Origins whose isochrones cover at least `least` of a district, their share, greatest coverage and names, most reached first (ISO-2, JOIN-13)."""
     c = coverage(zones, shapes, zone, origin, least)

@@ -241,8 +241,7 @@ def district_coverage(spark: SparkSession, d: str) -> DataFrame:
 def stops_in_isochrones(spark: SparkSession, d: str) -> DataFrame:
     """Places of parts within suppliers' boxes (ISO-3, JOIN-10)."""
     z = zones(spark, d)
-    pairs = isochrones.stops_in(part_points(spark, d), ring(z, "z"), "k", "z")
-    return isochrones.stop_summary(pairs, "k", "z", z.count()).withColumn("reachable_origin_ratio", r6("reachable_origin_ratio"))
+    return isochrones.stop_reach(part_points(spark, d), ring(z, "z"), "k", "z", z.count()).withColumn("reachable_origin_ratio", r6("reachable_origin_ratio"))
 
 
 @query(f"WITH {BOX_SQL} SELECT k AS cell_id, x, y, min(z) AS z, CASE WHEN min(z) IS NULL THEN 'outside' ELSE 'matched' END AS status FROM pts LEFT JOIN zones ON x > x0 AND x < x9 AND y > y0 AND y < y9 GROUP BY k, x, y")

@@ -305,3 +305,28 @@ def test_equal_shapes_are_measured_once(spark, monkeypatch, way):
     got = {(r["k"], r["z"]): r["overlap"] for r in measure(a, b, "k", "z").collect()}
     area = {s: polygon.covered_area([np.array([(*p, *q) for ring in rings for p, q in zip(ring, ring[1:] + ring[:1])]) for rings in ([star(12, 0, 0, 10, s)], hole)]) for s in (1, 2)}
     assert measured == [2] and got == pytest.approx({(k, f"z{i}"): area[1 if k != "b" else 2] for k in [*(f"a{i}" for i in range(30)), "b"] for i in range(20)})
+
+
+def test_places_and_shapes_are_tested_once(spark, monkeypatch):
+    """40 points at two places, one of them also elsewhere, in 30 copies of a square: one hit a place is kept, and counts and firsts equal those of the pairs."""
+    from geomart.operators import isochrones, odmart, spatial
+
+    box = lambda x, y, s: [[(x, y), (x + s, y), (x + s, y + s), (x, y + s)]]
+    edges = ring_edges(spark, {f"z{i:02}": box(0.0, 0.0, 4.0) for i in range(30)} | {"y": box(3.0, 3.0, 4.0), "far": box(50.0, 50.0, 1.0)}, "z")
+    pts = spark.createDataFrame([(k, 1.0 if k < 35 else 3.5, 1.0 if k < 35 else 3.5) for k in range(40)] + [(7, 3.5, 3.5), (8, 1.0, 1.0), (90, 9.0, 9.0)], "k int, x double, y double")
+    whole, kept = spatial._hits, []
+
+    def counted(*given):
+        hits, like = whole(*given)
+        kept.append(hits.count())
+        return hits, like
+
+    monkeypatch.setattr(spatial, "_hits", counted)
+    want = {k: 30 for k in range(40)} | {k: 31 for k in (7, *range(35, 40))}
+    pairs = spatial.point_in_polygon(pts, edges, "k", ["z"])
+    assert {r["k"]: r["n"] for r in pairs.groupBy("k").agg(F.count("*").alias("n")).collect()} == want
+    assert {r["k"]: (r["reachable_origin_count"], r["reachable_origin_ratio"]) for r in isochrones.stop_reach(pts, edges, "k", "z", 32).collect()} == {k: (n, n / 32) for k, n in want.items()}
+    order = edges.select("z").distinct().withColumn("place", F.when(F.col("z") == "z11", 1).when(F.col("z") == "y", 0).otherwise(2))
+    found = odmart.crosswalk(pts.filter("k not in (7, 8)").withColumnRenamed("k", "cell_id"), edges, "z", order)
+    assert {r["cell_id"]: r["z"] for r in found.collect()} == {k: None if k == 90 else "y" if k >= 35 else "z11" for k in (*range(7), *range(9, 40), 90)}
+    assert kept == [3, 3, 3]
