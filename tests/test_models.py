@@ -330,3 +330,18 @@ def test_places_and_shapes_are_tested_once(spark, monkeypatch):
     found = odmart.crosswalk(pts.filter("k not in (7, 8)").withColumnRenamed("k", "cell_id"), edges, "z", order)
     assert {r["cell_id"]: r["z"] for r in found.collect()} == {k: None if k == 90 else "y" if k >= 35 else "z11" for k in (*range(7), *range(9, 40), 90)}
     assert kept == [3, 3, 3]
+
+
+def test_scores_that_round_alike_tie_by_name(spark, tmp_path):
+    """Prices differ by a ten-millionth between years, so both models' errors round to 0 and the name decides, as in SQL; null keys are a group."""
+    import datetime
+
+    import duckdb
+
+    from geomart.plans import catalog, catalog_sources  # noqa: F401
+
+    rows = [(k, 100.0 + (k % 2) * 1e-5, datetime.datetime(1996 + k % 2, 1, 1), "F", [None, "1-URGENT", "2-HIGH"][k % 3]) for k in range(12)]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderdate timestamp_ntz, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    want = duckdb.connect().execute(catalog.SQL["better_model"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'")).fetchall()
+    assert [tuple(r) for r in catalog.QUERIES["better_model"](spark, f"file://{tmp_path}").collect()] == want == [("priority", 0.0, 0.0)]
+
