@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import cut
 from ..operators import autocorrelation, choice, factors, gravity
 from .catalog import WITHOUT_SQL, query, r6, table
 from .catalog_more import NQ, nation_quarters
@@ -67,9 +68,12 @@ sizes AS (SELECT n_nationkey AS dest, n_regionkey AS dest_region, count(c_custke
 
 
 def nation_flows(spark: SparkSession, d: str) -> DataFrame:
-    """orig, dest, yr, n, qty: line items from customers' to suppliers' nations."""
-    li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return li.groupBy(F.col("c_nationkey").alias("orig"), F.col("s_nationkey").alias("dest"), F.year("l_shipdate").alias("yr")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).cast("double").alias("qty"))
+    """orig, dest, yr, n, qty: line items from customers' to suppliers' nations, on storage."""
+    who = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("orig")), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "orig")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", F.year("l_shipdate").cast("short").alias("yr"), F.col("l_quantity").cast("long").alias("q"))
+    to = li.join(table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dest")), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "dest", "yr", "q")
+    flows = to.join(who, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("orig", "dest", "yr").agg(F.count("*").alias("n"), F.sum("q").cast("double").alias("qty"))
+    return cut(flows.withColumn("yr", F.col("yr").cast("int")), "flows")  # nations and years; read more than once
 
 
 def choices(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +106,7 @@ def choice_shares(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {CHOICES_SQL} SELECT 'size' AS feature, round(sum(n * size), 2) AS total FROM choices UNION ALL SELECT 'near', round(sum(n * near), 2) FROM choices UNION ALL SELECT 'away', round(sum(n * away), 2) FROM choices")
 def choice_fit_totals(spark: SparkSession, d: str) -> DataFrame:
     """Totals of the features over fitted choices: where the likelihood is highest they equal those over the choices made, which is what the SQL sums (PLN-2)."""
-    c = choices(spark, d)
+    c = cut(choices(spark, d), "choices")
     fit = choice.fit_choice(c, "stratum", "n", FEATURES)
     made = choice.shares(c, "stratum", FEATURES, list(fit.coefficients)).join(c.groupBy("stratum").agg(F.sum("n").alias("all")), "stratum")
     totals = made.agg(*[F.sum(F.col("all") * F.col("share") * F.col(f)).alias(f) for f in FEATURES])

@@ -345,3 +345,10 @@ def test_scores_that_round_alike_tie_by_name(spark, tmp_path):
     want = duckdb.connect().execute(catalog.SQL["better_model"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'")).fetchall()
     assert [tuple(r) for r in catalog.QUERIES["better_model"](spark, f"file://{tmp_path}").collect()] == want == [("priority", 0.0, 0.0)]
 
+
+def test_flows_are_taken_once(spark):
+    """Lines are joined once and their sums kept: what follows reads no fact table."""
+    from geomart.plans import catalog_models
+
+    plan = catalog_models.choices(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan
