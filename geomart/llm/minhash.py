@@ -37,7 +37,7 @@ MOST_BITS = 110
 MISSED, MOST_SAMPLES = 2e-5, 240
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
-BASE, CHUNK = 0x9E3779B97F4A7C15, 1 << 20
+BASE, CHUNK = 0x9E3779B97F4A7C15, 1 << 18
 SIGNATURE = "doc_id long, key_hi long, key_lo long, n_shingles long, bands array<long>, sketch array<long>"
 
 

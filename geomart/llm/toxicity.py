@@ -51,6 +51,8 @@ VIRTUAL = 0.3
 LEAST = 0.5
 #: Letters of a word that are taken at a time.
 PIECE = 20_000
+#: Texts, and words that are new in them, that a task describes at a time: with 64 landmarks a word takes 1 KB.
+TEXTS, AT_ONCE = 250, 4096
 LEET = str.maketrans("013457", "oieast")
 SENTENCE = re.compile(r"[.!?\n]+")
 SPACED = re.compile(r"(?<!\S)\w(?:[ ._*-]\w){2,}(?!\S)")
@@ -192,7 +194,10 @@ class Reader:
         new = list({w for text in split for sentence in text for w in sentence} - self.known.keys())
         forms = [plain(w) for w in new]
         distinct = list(dict.fromkeys(forms))
-        value = dict(zip(distinct, (powers(self.kernel.values(distinct)) @ self.model.weights).tolist()))
+        value: dict[str, float] = {}
+        for at in range(0, len(distinct), AT_ONCE):
+            part = distinct[at : at + AT_ONCE]
+            value.update(zip(part, (powers(self.kernel.values(part)) @ self.model.weights).tolist()))
         self.known.update((w, value[f]) for w, f in zip(new, forms))
         get = self.known.__getitem__
         return [evidence(np.array([sum(map(get, s)) for s in text if s]), self.model.bias) for text in split]
@@ -200,7 +205,7 @@ class Reader:
 
 @lru_cache(maxsize=1)
 def worker_reader(model: bytes) -> Reader:
-    """One for each Python worker, of its last model: later tasks find its words known. It stays in memory when other stages run."""
+    """One for each Python worker, of its last model. Its words are forgotten at a task's end, since it stays in memory when other stages run."""
     return Reader(pickle.loads(model))
 
 
@@ -420,10 +425,11 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = worker_reader(held)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 s = [model.score(x) for x in reader.evidence(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=["doc_id", "score", "predicted"])
+        reader.known.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rate, "doc_id long, score double, predicted int")
 
@@ -447,8 +453,9 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         reader = worker_reader(held)
         for batch in batches:
             texts = batch.column(batch.schema.names.index("text"))
-            for at in range(0, batch.num_rows, 1000):
-                fine = [model.score(x) < 0.5 for x in reader.evidence(texts.slice(at, 1000).to_pylist())]
-                yield batch.slice(at, 1000).filter(pa.array(fine, pa.bool_()))
+            for at in range(0, batch.num_rows, TEXTS):
+                fine = [model.score(x) < 0.5 for x in reader.evidence(texts.slice(at, TEXTS).to_pylist())]
+                yield batch.slice(at, TEXTS).filter(pa.array(fine, pa.bool_()))
+        reader.known.clear()
 
     return docs.mapInArrow(keep, docs.schema)

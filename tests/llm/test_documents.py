@@ -511,3 +511,14 @@ def test_warc_broken_chain_raises(spark, tmp_path):
     path.write_bytes(data[:second] + b"X" + data[second + 1 :])
     with pytest.raises(ValueError, match="chain of records ends"):
         warc.whole_chains(files, warc.cut(warc.candidates(files)))
+
+
+def test_toxicity_describes_few_words_at_a_time(monkeypatch):
+    import numpy as np
+
+    sizes, values = [], toxicity.Kernel.values
+    monkeypatch.setattr(toxicity.Kernel, "values", lambda self, words, *more: sizes.append(len(words)) or values(self, words, *more))
+    text = " ".join("w" + "".join(x) for x in itertools.product("abcdefghij", repeat=4))
+    found = toxicity.Reader(toxicity.Model(["idiot"], np.zeros(3), 0.5, np.ones(4))).evidence([text])
+    assert sum(sizes) == 10_000 and max(sizes) <= 5000
+    assert len(found) == 1
