@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, join_unique
+from .common import cut, fresh, join_unique, marked
 
 #: Fixed forms, written without backtracking; a match can only begin where a run of its first characters begins or the last match ended.
 FORMS = {
@@ -31,6 +31,7 @@ LOOSE = {
 }
 #: Characters of context on either side; a word that isn't whole within them is no part of a pattern.
 CONTEXT = 48
+UNSEEN = "array<struct<kind:string,begin:int,end:int>>"
 SPAN = "struct<begin:int,end:int,value:string,left:string,right:string>"
 
 
@@ -114,14 +115,21 @@ def _of_kind(kind: str):
     return lambda x: x["kind"] == kind
 
 
+def _where(text: Column, kind: str, form: str, loose: bool) -> Column:
+    """located(), left out for texts that a plain test shows to have no such place."""
+    may = {"email": text.contains("@") | F.lower(text).rlike(r"[(\[]at[)\]]") if loose else text.contains("@"), "ip": text.rlike("[0-9]"), "card": text.rlike("[0-9]{2}|[0-9][ -][0-9]"), "phone": text.rlike("[0-9]") if loose else text.contains("+")}
+    return F.when(may[kind], located(text, form)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _base(text: Column, kind: str, loose: bool = False) -> Column:
+    return F.filter(_where(text, kind, FORMS[kind], loose), _true_of(kind))
+
+
 def base_spans(docs: DataFrame, loose: bool = False) -> DataFrame:
     """doc_id, text_key and, for each kind, an array of (begin, end, value, left, right): `email` and so on; with `loose` also `loose_email` and so on."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.array().cast(f"array<{SPAN}>")
-    may = {"email": text.contains("@") | F.lower(text).rlike(r"[(\[]at[)\]]") if loose else text.contains("@"), "ip": text.rlike("[0-9]"), "card": text.rlike("[0-9]{2}|[0-9][ -][0-9]"), "phone": text.rlike("[0-9]") if loose else text.contains("+")}
-    found = {k: F.filter(F.when(may[k], located(text, f)).otherwise(none), _true_of(k)).alias(k) for k, f in FORMS.items()}
-    wide = {f"loose_{k}": F.when(may[k], located(text, f)).otherwise(none).alias(f"loose_{k}") for k, f in LOOSE.items()} if loose else {}
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.encode(text, "UTF-8")).alias("text_key"), *found.values(), *wide.values())
+    wide = [_where(text, k, f, True).alias(f"loose_{k}") for k, f in LOOSE.items()] if loose else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.encode(text, "UTF-8")).alias("text_key"), *[_base(text, k, loose).alias(k) for k in FORMS], *wide)
 
 
 def instances(spans: DataFrame) -> DataFrame:
@@ -192,7 +200,7 @@ def with_discovered(docs: DataFrame, **options) -> DataFrame:
     """base_spans of each row and `unseen`: array of (kind, begin, end) that context adds."""
     spans = cut(base_spans(docs, loose=True), "spans")
     more = discovered(cut(instances(spans), "instances"), **options).groupBy("text_key").agg(F.collect_list(F.struct("kind", "begin", "end")).alias("unseen"))
-    none = F.array().cast("array<struct<kind:string,begin:int,end:int>>")
+    none = F.array().cast(UNSEEN)
     return join_unique(spans.select("doc_id", "text_key", *FORMS), cut(more, "unseen"), ["text_key"], "left").withColumn("unseen", F.coalesce("unseen", none))
 
 
@@ -253,17 +261,24 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:
-    """docs with personal data in `text` masked at its places and `n_chars`, where there is one, set to the new length. A null text stays null, an empty one empty."""
-    key = F.md5(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))
-    spans = cut(base_spans(docs, loose=True), "spans")
-    more = discovered(cut(instances(spans), "instances"), **options)
-    named = F.concat(*[F.transform(k, _with_kind(k)) for k in FORMS])
-    base = spans.dropDuplicates(["text_key"]).select("text_key", F.explode(named).alias("x")).select("text_key", "x.*")
-    text_key, held = fresh(docs, "_key", "_spans")
-    per_text = base.unionByName(more).groupBy(F.col("text_key").alias(text_key)).agg(F.collect_list(F.struct("kind", "begin", "end")).alias(held))
-    found = cut(per_text.select(text_key, covered(F.col(held)).alias(held)), "covered")
-    joined = docs.withColumn(text_key, key).join(found, text_key, "left")
-    out = joined.withColumn("text", F.when(F.col(held).isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col(held))))
+    """docs with personal data in `text` masked at its places and `n_chars`, where there is one, set to the new length. A null text stays null, an empty one empty.
+
+    Fixed forms are found anew where the text lies; only texts to which context adds a place (told by a bitmap) are shuffled.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    none = F.array().cast(UNSEEN)
+    text_key, held, known = fresh(docs, "_key", "_spans", "_known")
+    found = discovered(cut(instances(cut(base_spans(docs, loose=True), "spans")), "instances"), **options)
+    more = cut(found.groupBy(F.col("text_key").alias(text_key)).agg(F.collect_list(F.struct("kind", "begin", "end")).alias(held)), "unseen")
+    n = more.count()
+    if n == 0:
+        joined = docs.withColumn(held, none)
+    else:
+        told = marked(docs.withColumn(text_key, F.md5(F.encode(text, "UTF-8"))), more, [text_key], n, known)
+        here = told.filter(~F.col(known)).select(*docs.columns, none.alias(held))
+        joined = join_unique(told.filter(known).drop(known), more, [text_key], "left").select(*docs.columns, F.coalesce(held, none).alias(held)).unionByName(here)
+    spans = F.concat(*[F.transform(_base(text, k), _with_kind(k)) for k in FORMS], F.col(held))
+    out = joined.withColumn("text", F.when(F.col("text").isNotNull(), let(covered(spans), lambda s: masked(F.col("text"), s))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(docs.columns)

@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 
 from geomart.llm import bpe, media, minhash, packing, pii, queries, sharding, token_rollup, toxicity, warc
+from geomart.llm.common import marked
 from geomart.llm.tokens import load_ranks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, rank long, key string, `group` string, length long, _b int, label string, kept boolean, root long"
@@ -371,6 +372,35 @@ def test_pii_marks_places_and_not_values(spark):
     assert rows(pii.redact(spark.createDataFrame([], "doc_id long, text string"))) == []
 
 
+def test_pii_masks_without_shuffling_texts(spark):
+    """Base places are masked where the text lies; texts are shuffled only if context adds a place."""
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    plain = [(k, f"{prose(9)} write to a{k}@b.org now", k) for k in range(60)] + [(60, None, 7), (61, "", 0), (62, prose(5), 1)]
+    seeds = [(k, f"{prose(5)} please ring me at +1 (555) 010-{1000 + k} {prose(3)}", k) for k in range(100, 130)]
+    more = [(200 + k, f"{prose(4)} please ring me at (555) 867 5309 today, or write to a@b.org", k) for k in range(3)]
+    schema, before = "doc_id long, text string, n_chars long", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        alone = pii.redact(spark.createDataFrame(plain, schema))
+        assert not re.search("Exchange|Join", plan(alone))
+        want = [(i, t, n) if t is None else (i, m := re.sub(r"a\d+@b\.org", "[EMAIL]", t), len(m)) for i, t, n in plain]
+        assert by_text(rows(alone), "doc_id", "text", "n_chars") == sorted(want, key=repr)
+        both = rows(pii.redact(spark.createDataFrame([*plain, *seeds, *more, *more], schema)))
+        assert [r for r in by_text(both, "doc_id", "text", "n_chars") if r[0] < 100] == sorted(want, key=repr)
+        masked = [(i, t.replace("(555) 867 5309", "[PHONE]").replace("a@b.org", "[EMAIL]")) for i, t, _ in more]
+        assert sorted((r["doc_id"], r["text"]) for r in both if r["doc_id"] >= 200) == sorted(masked * 2)
+        many, keys = spark.range(20_000).withColumnRenamed("id", "key"), spark.range(0, 20_000, 40).withColumnRenamed("id", "key")
+        told = marked(many, keys, ["key"], 500, "_at")
+        found = [r["key"] for r in told.filter("_at").collect()]
+        assert {*range(0, 20_000, 40)} <= {*found} and len(found) < 2000 and told.count() == 20_000
+        assert "BroadcastHashJoin" in plan(told) and "SortMergeJoin" not in plan(told)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_toxicity(spark, docs, none):
     insults = ["flurgle", "snobbet"]
     texts = [(k, f"{prose(12)}. {prose(5)} {RANDOM.choice(insults) if k % 3 == 0 else ''} {prose(4)}. {prose(8)}") for k in range(600)]
